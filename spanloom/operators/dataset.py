@@ -80,29 +80,28 @@ def cap_labels(rows: DataFrame, pct: float, order: list[str], doc: str = "doc_id
 
 def _cap_by_fold(rows: DataFrame, order: list[str], doc: str, labels: str,
                  columns: list[str]) -> DataFrame:
-    row = F.struct(F.struct(*order).alias("o"), F.col(labels).alias("l"),
-                   F.struct(*columns).alias("r"))
-    groups = rows.groupBy(doc).agg(F.array_sort(F.collect_list(row)).alias("a"),
-                                   F.first("_limit").alias("m"))
-    # The state holds the labels of kept rows so far, one entry each.
-    start = F.struct(F.array().cast("array<string>").alias("used"),
-                     F.array().cast("array<int>").alias("kept"),
-                     F.lit(0).alias("i"))
-
     def names(x: Column) -> Column:
         return F.when(F.size(x["l"]) == 0, F.array(F.lit(UNLABELED))).otherwise(x["l"])
 
-    def step(limit: Column):
-        def merge(s: Column, x: Column) -> Column:
-            full = F.exists(names(x), lambda n: F.size(
-                F.filter(s["used"], lambda u: u == n)) >= limit)
-            return F.struct(
-                F.when(full, s["used"]).otherwise(F.concat(s["used"], names(x))).alias("used"),
-                F.when(full, s["kept"]).otherwise(F.array_append(s["kept"], s["i"])).alias("kept"),
-                (s["i"] + 1).alias("i"))
-        return merge
-
-    folded = groups.select("a", F.aggregate("a", start, step(F.col("m"))).alias("s"))
+    row = F.struct(F.struct(*order).alias("o"), F.col(labels).alias("l"),
+                   F.struct(*columns).alias("r"))
+    groups = (rows.groupBy(doc).agg(F.array_sort(F.collect_list(row)).alias("a"),
+                                    F.first("_limit").alias("m"))
+              .withColumn("known", F.array_distinct(F.flatten(F.transform("a", names)))))
+    # State: rows used per known label, places of the kept rows, current place.
+    start = F.struct(F.transform("known", lambda _: F.lit(0)).alias("used"),
+                     F.array().cast("array<int>").alias("kept"), F.lit(0).alias("i"))
+
+    def step(s: Column, x: Column) -> Column:
+        holds = F.transform("known", lambda n: F.array_contains(names(x), n))
+        full = F.exists(F.zip_with(holds, s["used"], lambda h, u: h & (u >= F.col("m"))),
+                        lambda over: over)
+        counted = F.zip_with(holds, s["used"], lambda h, u: u + h.cast("int"))
+        return F.struct(F.when(full, s["used"]).otherwise(counted).alias("used"),
+                        F.when(full, s["kept"]).otherwise(F.array_append(s["kept"], s["i"])).alias("kept"),
+                        (s["i"] + 1).alias("i"))
+
+    folded = groups.select("a", F.aggregate("a", start, step).alias("s"))
     return (folded.select("a", F.explode("s.kept").alias("i"))
             .select(F.get("a", F.col("i"))["r"].alias("r")).select("r.*"))
 
@@ -304,8 +303,8 @@ def support_analysis(rows: DataFrame, doc: str = "doc_id") -> DataFrame:
             label_token(s["label"]).alias("token"), s["k"].alias("k"), s["pool"].alias("pool"),
             s["stars"].alias("stars")))
     entries = rows.select(doc, F.explode("label").alias("token"), pairs.alias("_pairs")).select(
-        doc, "token", F.element_at(F.filter(
-            "_pairs", lambda p: p["token"] == F.col("token")), -1).alias("p"))
+        doc, "token", F.try_element_at(F.filter(
+            "_pairs", lambda p: p["token"] == F.col("token")), F.lit(-1)).alias("p"))
     ratio = F.when(F.col("p.pool") > 0, F.col("p.k") / F.col("p.pool"))
     per_doc = entries.groupBy("token", doc).agg(
         F.count("*").alias("c"), F.sum("p.k").alias("k"), F.sum(ratio).alias("r"),

@@ -140,10 +140,18 @@ def label_matrix(corpus: Corpus) -> DataFrame:
     table = table.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     every = Window.partitionBy()                        # one row per label
     spans = ["raw", "aligned", "unmatched", "ambiguous"]
-    return table.select(
+    totals = corpus.text_units.agg(
+        F.count_if(F.col("unit_kind") == "sentence").alias("_sentences"),
+        F.count_if(F.col("label_category").isin(*DEFINED)).alias("_defined"))
+
+    def share(part: Column, whole: Column) -> Column:
+        return F.when(whole > 0, part / whole).otherwise(0.0)
+
+    return table.crossJoin(F.broadcast(totals)).select(       # a single row
         "label", *counts,
-        *[F.when(F.sum(c).over(every) > 0, F.col(c) / F.sum(c).over(every)).otherwise(0.0)
-          .alias(f"{c}_share") for c in spans],
+        *[share(F.col(c), F.sum(c).over(every)).alias(f"{c}_share") for c in spans],
+        share(F.col("sentences"), F.col("_sentences")).alias("sentences_share"),
+        share(F.col("hits"), F.col("_defined")).alias("hits_share"),
         *[(F.col(c) / F.greatest(F.max(c).over(every), F.lit(1))).alias(f"{c}_of_max")
           for c in counts])
 
@@ -175,24 +183,25 @@ def document_labels(corpus: Corpus, doc_ids=None) -> DataFrame:
             .groupBy("doc_id", "label").agg(F.count("*").alias("n")))
 
 
+DOC_BUCKET = 1 << 16
+
+
 def document_neighbours(documents: DataFrame) -> DataFrame:
     """Previous and next document in (subset, num) order.
 
-    Range partitioning replaces the single-task window: rows are sorted by
-    range, numbered by (partition, place), and edges meet in one small join.
+    The order is cut into number ranges; each range is one window group and only
+    the first and last document of every range meet in one small window.
     """
-    ordered = (documents.select("doc_id", "subset", "num")
-               .repartitionByRange("subset", "num").sortWithinPartitions("subset", "num")
-               .withColumn("_id", F.monotonically_increasing_id())
-               .withColumns({"_part": F.shiftright("_id", 33)}))
-    inside = Window.partitionBy("_part").orderBy("_id")
-    near = ordered.withColumns({"_prev": F.lag("doc_id").over(inside),
-                                "_next": F.lead("doc_id").over(inside)})
-    edges = ordered.groupBy("_part").agg(F.min_by("doc_id", "_id").alias("first"),
-                                         F.max_by("doc_id", "_id").alias("last"))
-    parts = Window.partitionBy().orderBy("_part")       # one row per partition
-    edges = edges.select("_part", F.lag("last").over(parts).alias("before"),
-                         F.lead("first").over(parts).alias("after"))
-    return near.join(F.broadcast(edges), "_part").select(
+    docs = documents.select("doc_id", "subset", "num",
+                            F.floor(F.col("num") / DOC_BUCKET).alias("_b"))
+    inside = Window.partitionBy("subset", "_b").orderBy("num")
+    edges = docs.groupBy("subset", "_b").agg(F.min_by("doc_id", "num").alias("first"),
+                                             F.max_by("doc_id", "num").alias("last"))
+    ranges = Window.partitionBy().orderBy("subset", "_b")     # one row per range
+    edges = edges.select("subset", "_b", F.lag("last").over(ranges).alias("before"),
+                         F.lead("first").over(ranges).alias("after"))
+    near = docs.withColumns({"_prev": F.lag("doc_id").over(inside),
+                             "_next": F.lead("doc_id").over(inside)})
+    return near.join(edges, ["subset", "_b"]).select(
         "doc_id", F.coalesce("_prev", "before").alias("prev_id"),
         F.coalesce("_next", "after").alias("next_id"))
