@@ -215,8 +215,9 @@ support as materialized (
         group by all) join pool using (doc_id))"""
 
 
-def with_units(select: str) -> str:
-    return f"with {UNITS}\n{select}"
+def with_units(select: str, extra: str = "") -> str:
+    """``extra``: further CTEs behind the shared ones."""
+    return f"with {UNITS}{',' + extra if extra else ''}\n{select}"
 
 
 def with_spans(select: str) -> str:
@@ -236,3 +237,403 @@ TOKEN_CASE = "case label " + " ".join(
     f"when {lit(k)} then {lit(v)}" for k, v in LABEL_TOKENS.items()) + (
     " else upper(regexp_replace(replace(replace(replace(label, '/', ' OR '), '-', '_'), ' ', '_'),"
     " '[^\\pL\\pN_]', '', 'g')) end")
+
+# Fixed parameters of the registered queries.
+TWO = f"({lit(LABELS[0])}, {lit(LABELS[11])})"
+FLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LABEL_SETS = {
+    "any_two": f"unit_id in (select unit_id from unit_labels where label in {TWO})",
+    "none_two": f"unit_id not in (select unit_id from unit_labels where label in {TWO})",
+}
+SHOWN = "case when label_category = 'single_label' and len(labels) = 1 then labels[1] when label_category = 'multi_label' then 'MULTI_LABEL' else '' end"
+
+
+def gate(tier: int, mode: str = "at_least") -> str:
+    test = {("at_least", 1): "mk >= 1", ("at_least", 2): "mk >= (pool + 1) // 2", ("at_least", 3): "mk = pool",
+            ("exact", 1): "mk >= 1 and mk < (pool + 1) // 2",
+            ("exact", 2): "mk >= (pool + 1) // 2 and mk < pool", ("exact", 3): "mk = pool"}[mode, tier]
+    return f"(select unit_id from (select unit_id, max(k) as mk, any_value(pool) as pool from support group by unit_id) where {test})"
+
+
+def unit_filter(where: str, threshold: int = 1) -> str:
+    return with_support(f"select unit_id, label_category, unit_kind from text_units where {where}", threshold)
+
+
+SINGLE = "(unit_kind = 'sentence' and label_category = 'single_label')"
+MULTI = "(unit_kind = 'sentence' and label_category = 'multi_label')"
+NULL = "(unit_kind = 'sentence' and label_category = 'unlabeled')"
+DEFINED = "label_category in ('single_label', 'multi_label')"
+
+
+def fill(docs: str, train: int, ev: int, te: int, seed: int) -> str:
+    """CTEs from doc rows (doc_id, bin, n) to ``assigned`` (doc_id, bin, n, split)."""
+    active = [s for s, p in (("train", 1), ("eval", ev), ("test", te)) if p > 0]
+    rest = "'test'" if te > 0 else "'train'"
+    out = f"""
+docs0 as materialized ({docs}),
+placed0 as (
+  select *, md5('{seed}:' || doc_id) as o,
+         sum(n) over (partition by bin) as total from docs0),
+placed1 as (
+  select *, sum(n) over (partition by bin order by o, doc_id) - n as before from placed0),
+placed2 as (
+  select *, (before < round_even(total * {train} / 100.0, 0) or {str(ev == 0 and te == 0).lower()}) as tr from placed1),
+placed3 as (select *, sum(case when tr then n else 0 end) over (partition by bin) as filled from placed2),
+a0 as materialized (
+  select doc_id, bin, n, o, case when tr then 'train'
+    when {str(ev > 0).lower()} and before - filled < round_even(total * {ev} / 100.0, 0) then 'eval' else {rest} end as split from placed3),
+lacking as materialized (
+  select bin, {', '.join(f"count(*) filter (split = '{s}') = 0 as no_{s}" for s in active)}
+  from a0 group by bin having count(*) >= {len(active)})"""
+    prev = "a0"
+    for i, s in enumerate(active, 1):
+        out += f""",
+part{i} as (select bin, split, count(*) as c, min(o || doc_id) as f from {prev} group by all),
+give{i} as (
+  select p.bin, p.split as src, p.f from part{i} p join lacking l on l.bin = p.bin and l.no_{s}
+  qualify row_number() over (partition by p.bin order by p.c desc, p.f) = 1 and p.c > 1),
+a{i} as materialized (
+  select a.doc_id, a.bin, a.n, a.o, case when g.f = a.o || a.doc_id then '{s}' else a.split end as split
+  from {prev} a left join give{i} g on g.bin = a.bin)"""
+        prev = f"a{i}"
+    return out + f",\nassigned as materialized (select doc_id, bin, n, split from {prev})"
+
+
+def bins(rows: str) -> str:
+    """Document rows with the bin of their rarest label; ``rows`` has doc_id, labels."""
+    return f"""
+  select doc_id, coalesce(min_by(label, (dc, label)), '__unlabeled__') as bin, any_value(n) as n
+  from (select r.doc_id, r.n, p.label, p.dc
+        from (select doc_id, count(*) as n from {rows} group by doc_id) r
+        left join (select doc_id, label, count(*) over (partition by label) as dc
+                   from (select distinct doc_id, unnest(labels) as label from {rows})) p using (doc_id))
+  group by doc_id"""
+
+
+def capped(rows: str, pct: float) -> str:
+    """Recursive replay of the cap; ``rows`` has doc_id, i (1..), labels, m (rows per label allowed)."""
+    return f"""
+base as materialized ({rows}),
+walk as (
+  select doc_id, i, true as kept, labels as used from base where i = 1
+  union all
+  select b.doc_id, b.i,
+         not list_bool_or(list_transform(b.labels, lambda l: len(list_filter(w.used, lambda u: u = l)) >= b.m)),
+         case when list_bool_or(list_transform(b.labels, lambda l: len(list_filter(w.used, lambda u: u = l)) >= b.m))
+              then w.used else list_concat(w.used, b.labels) end
+  from walk w join base b on b.doc_id = w.doc_id and b.i = w.i + 1)"""
+
+
+def line_rows(*labels: str) -> str:
+    return f"""select l_orderkey as doc_id, l_linenumber as position, l_partkey, [{', '.join(labels)}] as labels,
+  row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as i,
+  greatest(1, ceil(count(*) over (partition by l_orderkey) * 34.0 / 100.0)) as m from lineitem"""
+
+
+EXPORTED = f"""
+exported as materialized (
+  select *, list_transform(labels, lambda label: {TOKEN_CASE}) as tok0 from text_units),
+rows_x as materialized (
+  select *, case when len(tok0) = 0 then ['UNLABELED'] else tok0 end as tokens,
+         case when len(labels) = 0 then ['Unlabeled'] else labels end as names from exported)"""
+
+SPLIT_UNITS = EXPORTED + "," + fill(bins("text_units"), 70, 15, 15, 42)
+
+
+def capped_units(where: str, pct: int) -> str:
+    rows = (f"select unit_id, doc_id, tokens as labels, row_number() over (partition by doc_id order by position) as i, "
+            f"greatest(1, ceil(count(*) over (partition by doc_id) * {pct}.0 / 100.0)) as m from rows_x where {where}")
+    return capped(rows, pct)
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+MATRIX = """
+raw as (select label, count(*) as raw, count(*) filter (status = 'aligned') as aligned,
+        count(*) filter (status = 'unmatched') as unmatched, count(*) filter (status = 'ambiguous') as ambiguous
+        from annotations group by label),
+sen as (select label, count(*) as sentences from unit_labels group by label),
+mtx as (select coalesce(raw.label, sen.label) as label, coalesce(raw, 0) as raw, coalesce(aligned, 0) as aligned,
+        coalesce(unmatched, 0) as unmatched, coalesce(ambiguous, 0) as ambiguous, coalesce(sentences, 0) as sentences
+        from raw full join sen using (label)),
+tot as (select count(*) filter (unit_kind = 'sentence') as all_s,
+        count(*) filter (label_category in ('single_label', 'multi_label')) as all_d from text_units)"""
+
+TITLE = "trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g'))"
+
+SQL: dict[str, str] = {
+    "page_titles": f"select page_id, {TITLE} as title from pages",
+    "unit_split": with_units("select doc_id, position, block_seq, unit_text from units"),
+    "unit_classify": with_units("select unit_id, unit_kind, fragment_type from units"),
+    "unit_initial": with_units(
+        "select unit_kind, case when unit_kind = 'sentence' then 'unlabeled' else 'not-eligible' end as label_category,"
+        " count(*) as n, 0::bigint as votes from units group by all"),
+    "fragment_types": with_units(
+        "select fragment_type, count(*) as n from units where fragment_type is not null group by all"),
+    "leadin_merge": with_units("""
+select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as block_seq, kind as block_kind, text from merged""", """
+src as (select doc_id, k as i, case when k % 2 = 1 then 'list' else 'prose' end as kind,
+                case when k % 3 = 0 then line || ':' else line end as text from blocks),
+near as (select *, lead(kind) over w as nk, lead(text) over w as nt, lag(kind) over w as pk, lag(text) over w as pt
+         from src window w as (partition by doc_id order by i)),
+merged as (select doc_id, i, kind, case when kind = 'prose' and nk = 'list' and right(rtrim(text), 1) = ':'
+                  then rtrim(text) || ' ' || nt else text end as text from near
+           where not (kind = 'list' and coalesce(pk = 'prose' and right(rtrim(pt), 1) = ':', false)))"""),
+    "turn_sentences": f"""with s as (select conv_id, turn, role, {sentences(collapse('text'))} as ss from conversations)
+select conv_id, turn, role, unnest(range(len(ss)))::int as i, unnest(ss) as sentence from s""",
+    "normalized_units": with_units(f"select unit_id, {norm('unit_text')} as norm from units"),
+    "plain_text": with_units("select doc_id, array_to_string(ls, chr(10)) as text from lines"),
+    "align_benchmark": with_units(
+        "select item_unit, unit_id, copies from needles n join hay h on h.norm <> '' and contains(h.norm, n.norm) where n.norm <> ''", f"""
+hay as materialized (select {norm('unit_text')} as norm, min(unit_id) as unit_id, count(*) as copies from units group by 1),
+items as (select item_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: {collapse('l')}),
+                 lambda l: regexp_matches(l, '[\\pL\\pN]')) as ls from benchmark),
+ib as (select item_id, unnest(range(len(ls))) as k, unnest(ls) as line from items),
+ic as (select item_id, k, {sentences('line')} as ss from ib),
+iu as (select item_id, k, unnest(range(len(ss))) as i, unnest(ss) as t from ic),
+needles as (select 'B_' || item_id || '_U' || row_number() over (partition by item_id order by k, i) as item_unit,
+                   {norm('t')} as norm from iu)"""),
+    "align_contained": with_tables("select unit_id, annotation_id from alignment where alignment_type = 'annotation_in_sentence'"),
+    "align_paragraph": with_tables("select unit_id, annotation_id from alignment where alignment_type = 'sentence_in_annotation_paragraph'"),
+    "align_overlap": with_tables("select unit_id, annotation_id from alignment where alignment_type = 'partial_overlap'"),
+    "overlap_best": with_tables("""
+select doc_id, span_rep, position as unit_rep from (
+  select s.doc_id, s.src_row as span_rep, u.position,
+         row_number() over (partition by s.doc_id, s.norm
+           order by len(list_intersect(s.st, string_split(u.norm, ' '))) desc, u.position) as r,
+         len(list_intersect(s.st, string_split(u.norm, ' '))) as shared, len(s.st) as n
+  from (select n.doc_id, n.norm, min(p.src_row) as src_row, list_distinct(string_split(n.norm, ' ')) as st
+        from sn n join spans p using (annotation_id) group by n.doc_id, n.norm) s
+  join un u on u.doc_id = s.doc_id where len(s.st) >= 3) where r = 1 and shared * 20 >= n * 11"""),
+    "span_status": with_tables("select annotation_id, doc_id, src_row, ranumb, label, status, n_hits from annotations"),
+    "span_matched_units": with_tables(
+        "select s.annotation_id, t.unit_id, t.position from ta t join sn s on s.doc_id = t.doc_id and s.norm = t.norm where t.hits > 1"),
+    "alignment_table": with_tables("select unit_id, annotation_id, alignment_type from alignment"),
+    "unit_evidence": with_tables(
+        "select unit_id, annotator_count, source_annotation_count, alignment_types, verbatim_labels from text_units where source_annotation_count > 0"),
+    "label_category": with_tables("select unit_id, unit_kind, label_category from text_units"),
+    "unit_labels": with_tables("select unit_id, label from unit_labels"),
+    "annotator_pool": with_support("select doc_id, pool from pool"),
+    "unit_support_t1": with_support("select unit_id, label, k, pool, stars from support"),
+    "unit_support_t2": with_support("select unit_id, label, k, pool, stars from support", 2),
+    "event_support": """with e as (
+  select user_id || '_' || strftime(ts, '%Y-%m-%d') as unit_id, user_id, event_type as label, event_id % 6 as a from events),
+p as (select user_id, count(distinct a) as pool from e group by 1),
+v as (select unit_id, user_id, label, count(distinct a) as k from e group by all)
+select unit_id, label, k, pool, (case when k = pool then 3 when k >= (pool + 1) // 2 then 2 else 1 end)::int as stars
+from v join p using (user_id)""",
+    "event_stars": """with e as (
+  select user_id || '_' || strftime(ts, '%Y-%m-%d') as unit_id, user_id, event_type as label, event_id % 6 as a from events),
+p as (select user_id, count(distinct a) as pool from e group by 1),
+v as (select unit_id, user_id, label, count(distinct a) as k from e group by all)
+select label, (case when k = pool then 3 when k >= (pool + 1) // 2 then 2 else 1 end)::int as stars, count(*) as n
+from v join p using (user_id) group by all""",
+    "units_filter_subset": unit_filter("subset = 'de'"),
+    "units_filter_doc": unit_filter("doc_id = 'en_115'"),
+    "units_filter_category": unit_filter("label_category = 'single_label'"),
+    "units_filter_kind": unit_filter("unit_kind = 'fragment'"),
+    "units_filter_fragment_type": unit_filter("fragment_type = 'heading'"),
+    "units_filter_min_annotators": unit_filter("annotator_count >= 2"),
+    "units_filter_high_confidence": unit_filter("label_category = 'single_label' and annotator_count >= 2"),
+    "units_filter_q": unit_filter(f"contains({FLD.format('unit_text')}, 'the a')"),
+    "units_filter_labels": unit_filter(f"{LABEL_SETS['any_two']} and {DEFINED} and unit_id in {gate(1)}"),
+    "units_filter_exclude_labels": unit_filter(f"{LABEL_SETS['none_two']} and {DEFINED} and unit_id in {gate(1)}"),
+    "units_filter_threshold": unit_filter(f"{DEFINED} and unit_id in {gate(1)}", 2),
+    "sample_view_single_multi": unit_filter(f"({SINGLE} or {MULTI}) and unit_id in {gate(1)}"),
+    "sample_view_null": unit_filter(NULL),
+    "sample_view_null_blocked": unit_filter("false"),
+    "sample_view_fragments": unit_filter("unit_kind = 'fragment'"),
+    "sample_view_mixed": unit_filter(f"({MULTI} and unit_id in {gate(1)}) or {NULL} or unit_kind = 'fragment'"),
+    "sample_view_exact": unit_filter(f"({SINGLE} or {MULTI}) and unit_id in {gate(2, 'exact')}"),
+    "sample_view_all_gated": unit_filter(f"{DEFINED} and unit_id in {gate(2)}"),
+    "sample_view_unknown": unit_filter(LABEL_SETS["any_two"]),
+    "underdefined": with_support(f"select unit_id, label_category from text_units where {DEFINED} and unit_id not in {gate(3)}"),
+    "annotations_filter": with_tables(
+        f"select annotation_id, label, status from annotations where ranumb = 'ra2' and label in ({', '.join(lit(x) for x in LABELS[:6])}) and label not in ({lit(LABELS[2])})"),
+    "annotations_status": with_tables("select annotation_id, ranumb from annotations where status = 'unmatched' and label = 'Others'"),
+    "unit_view": with_tables(
+        f"select unit_id, subset, position, block_kind, unit_kind, fragment_type, label_category, annotator_count, source_annotation_count, alignment_types, verbatim_labels, annotators, {SHOWN} as verbatim_label from text_units"),
+    "units_supported": with_support("""
+select u.unit_id, string_agg(s.label || '|' || s.k || '|' || s.pool || '|' || s.stars, ';' order by s.label) as support,
+       max(s.stars) as support_stars, max(s.k) as support_evidence
+from text_units u left join support s using (unit_id) where u.label_category <> 'not-eligible' group by u.unit_id"""),
+    "units_page": with_support("""
+select unit_id, unit_text, verbatim_labels, annotators, (select max(stars) from support s where s.unit_id = p.unit_id) as support_stars
+from (select * from text_units order by doc_id, position limit 50 offset 7) p"""),
+    "units_total": with_tables("select count(*) as total from text_units where annotator_count >= 2"),
+    "unit_alignment": with_tables(
+        "select g.unit_id, g.annotation_id, g.ranumb, a.text, g.label, g.alignment_type from alignment g join annotations a using (annotation_id)"),
+    "span_units": with_tables(
+        "select g.annotation_id, u.unit_id, u.position, u.unit_text, u.unit_kind, u.fragment_type, u.label_category, g.alignment_type from alignment g join text_units u using (unit_id)"),
+    "documents_list": with_tables("""
+select d.doc_id, d.title, d.link,
+ (select count(*) from text_units u where u.doc_id = d.doc_id and unit_kind = 'sentence') as sentence_count,
+ (select count(*) from text_units u where u.doc_id = d.doc_id and unit_kind = 'fragment') as fragment_count,
+ (select count(*) from annotations a where a.doc_id = d.doc_id) as annotation_count,
+ (select count(distinct label) from annotations a where a.doc_id = d.doc_id) as label_count,
+ (select count(*) from annotations a where a.doc_id = d.doc_id and status = 'aligned') as aligned_count from docs d"""),
+    "documents_sorted": with_tables("""
+select d.doc_id,
+ (select count(*) from text_units u where u.doc_id = d.doc_id and unit_kind = 'sentence') as sentence_count,
+ (select count(*) from annotations a where a.doc_id = d.doc_id and status = 'aligned') as aligned_count from docs d
+where subset = 'en' and (link like '%src1_%' or d.doc_id like '%src1_%')
+order by sentence_count desc, subset, num limit 20 offset 1"""),
+    "document_order": with_units("select doc_id, subset, num::int as num from lines"),
+    "doc_neighbours": with_units(
+        "select doc_id, lag(doc_id) over (order by subset, num) as prev_id, lead(doc_id) over (order by subset, num) as next_id from lines"),
+    "document_units": with_tables("select unit_id, unit_text, verbatim_labels from text_units where doc_id in ('en_115', 'de_187')"),
+    "rendered_blocks": with_tables(
+        "select doc_id, block_seq, block_kind, position = min(position) over (partition by doc_id, block_seq) as opens_block, unit_id, unit_kind, verbatim_labels from text_units"),
+    "doc_annotations": with_tables(
+        "select a.annotation_id, a.src_row, a.label, a.status, g.unit_id from annotations a left join alignment g using (annotation_id) where a.ranumb = 'ra1'"),
+    "annotations_page": with_tables("""
+select p.annotation_id, p.ranumb, p.label, p.status,
+  case when p.status = 'ambiguous' then (select string_agg(t.unit_id, ';' order by t.position)
+    from ta t join sn s on s.doc_id = t.doc_id and s.norm = t.norm where s.annotation_id = p.annotation_id) end as matched_units
+from (select * from annotations order by doc_id, src_row limit 100 offset 5) p"""),
+    "stats_counts": with_tables("""
+select (select count(*) from docs) as documents, u.*, a.* from (
+ select count(*) as units, count(*) filter (unit_kind = 'sentence') as sentences,
+  count(*) filter (unit_kind = 'fragment') as fragments,
+  count(*) filter (label_category = 'single_label') as single_label_sentences,
+  count(*) filter (label_category = 'multi_label') as multi_label_sentences,
+  count(*) filter (label_category = 'unlabeled') as unlabeled_sentences,
+  count(*) filter (label_category = 'single_label' and annotator_count >= 2) as high_confidence_single,
+  count(distinct unit_text) filter (unit_kind = 'sentence') as unique_sentences,
+  count(distinct unit_text) filter (unit_kind = 'fragment') as unique_fragments,
+  count(distinct unit_text) filter (label_category = 'single_label') as unique_single_label_sentences,
+  count(distinct unit_text) filter (label_category = 'multi_label') as unique_multi_label_sentences,
+  count(distinct unit_text) filter (label_category = 'unlabeled') as unique_unlabeled_sentences,
+  count(distinct unit_text) filter (label_category in ('single_label', 'multi_label')) as unique_defined_samples
+ from text_units) u, (
+ select count(*) as annotations, count(distinct text) as unique_annotations,
+  count(*) filter (status = 'aligned') as aligned, count(*) filter (status = 'unmatched') as unmatched,
+  count(*) filter (status = 'ambiguous') as ambiguous from annotations) a"""),
+    "stats_of_annotators": with_tables("""
+ select count(*) as annotations, count(distinct text) as unique_annotations,
+  count(*) filter (status = 'aligned') as aligned, count(*) filter (status = 'unmatched') as unmatched,
+  count(*) filter (status = 'ambiguous') as ambiguous from annotations where ranumb in ('ra1', 'ra2')"""),
+    "kind_histogram": with_tables("select unit_kind, label_category, count(*) as n from text_units group by all"),
+    "subset_histogram": "select lang as subset, count(*) as n from documents group by all",
+    "label_distribution": with_tables("""
+select l.label, count(distinct unit_id) as count, count(*) filter (u.label_category = 'single_label') as single_label_count
+from unit_labels l join text_units u using (unit_id) group by l.label"""),
+    "label_counts": with_tables("select label, count(distinct unit_id) as unit_count from unit_labels group by label"),
+    "annotator_profile": with_spans(
+        "select ranumb, count(*) as n, count(distinct doc_id) as docs, count(distinct label) as labels from spans group by ranumb"),
+    "span_label_distribution": with_spans("select label, count(*) as count from spans group by label"),
+    "status_by_label": with_tables("""
+select label, count(*) filter (status = 'aligned') as aligned, count(*) filter (status = 'unmatched') as unmatched,
+ count(*) filter (status = 'ambiguous') as ambiguous from annotations group by label"""),
+    "hits_by_label": with_tables("select label, count(distinct unit_id) as hits from unit_labels group by label"),
+    "star_histogram": with_support("""
+select label_category, stars, count(*) as units, count(distinct unit_text) as texts
+from text_units join (select unit_id, max(stars) as stars from support group by 1) using (unit_id) group by 1, 2"""),
+    "star_histogram_t2": with_support("""
+select label_category, stars, count(*) as units, count(distinct unit_text) as texts
+from text_units join (select unit_id, max(stars) as stars from support group by 1) using (unit_id) group by 1, 2""", 2),
+    "label_matrix": with_tables("select label, raw, aligned, unmatched, ambiguous, sentences, sentences as hits, "
+        + ", ".join(f"case when sum({c}) over () > 0 then {c} / sum({c}) over () else 0.0 end as {c}_share" for c in ("raw", "aligned", "unmatched", "ambiguous"))
+        + ", case when all_s > 0 then sentences / all_s else 0.0 end as sentences_share, case when all_d > 0 then sentences / all_d else 0.0 end as hits_share, "
+        + ", ".join(f"{c} / greatest(1, max({c}) over ()) as {n}_of_max" for c, n in (
+            ("raw", "raw"), ("aligned", "aligned"), ("unmatched", "unmatched"), ("ambiguous", "ambiguous"), ("sentences", "sentences"), ("sentences", "hits")))
+        + " from mtx, tot", MATRIX),
+    "doc_summary": with_tables("""
+select doc_id, u.*exclude (doc_id), coalesce(aligned, 0) as aligned, coalesce(unmatched, 0) as unmatched,
+       coalesce(ambiguous, 0) as ambiguous, coalesce(labels, 0) as labels
+from (select doc_id, count(*) filter (unit_kind = 'sentence') as sentences, count(*) filter (unit_kind <> 'sentence') as fragments,
+  count(*) filter (label_category = 'single_label') as single_label, count(*) filter (label_category = 'multi_label') as multi_label,
+  count(*) filter (label_category = 'unlabeled') as unlabeled from text_units group by doc_id) u
+left join (select doc_id, count(*) filter (status = 'aligned') as aligned, count(*) filter (status = 'unmatched') as unmatched,
+  count(*) filter (status = 'ambiguous') as ambiguous, count(distinct label) as labels from annotations group by doc_id) s using (doc_id)"""),
+    "doc_labels": with_tables("select doc_id, label, count(*) as n from unit_labels group by all"),
+    "quality_histogram": "select quality, toxic, count(*) as n from labels group by all",
+    "search_documents": with_tables(f"""
+select doc_id, title, link from docs where {FLD.format('doc_id')} like '%src1_/%' or {FLD.format('title')} like '%src1_/%' or {FLD.format('link')} like '%src1_/%'
+order by doc_id limit 5"""),
+    "search_labels": with_spans(f"select label, count(*) as count from spans where {FLD.format('label')} like '%right to%' group by label order by count desc, label limit 5"),
+    "search_annotators": with_spans(
+        "select ranumb, count(*) as count, count(distinct doc_id) as docs from spans where ranumb like '%ra%' group by ranumb order by ranumb limit 5"),
+    "search_units": with_tables(f"""
+select unit_id, unit_text, unit_kind, label_category, verbatim_labels, {SHOWN} as verbatim_label
+from text_units where {FLD.format('unit_text')} like '%ing the%' order by doc_id, position limit 6"""),
+    "search_all": with_tables(f"""
+select * from (select 'documents' as entity, doc_id as key, link as detail from docs
+ where {FLD.format('doc_id')} like '%ing%' or {FLD.format('title')} like '%ing%' or {FLD.format('link')} like '%ing%' order by doc_id limit 5)
+union all select * from (select 'provisions', label, count(*)::varchar from annotations where {FLD.format('label')} like '%ing%' group by label order by count(*) desc, label limit 5)
+union all select * from (select 'annotators', ranumb, count(*)::varchar from annotations where ranumb like '%ing%' group by ranumb order by ranumb limit 5)
+union all select * from (select 'units', unit_id, unit_text from text_units where {FLD.format('unit_text')} like '%ing%' order by doc_id, position limit 6)"""),
+    "search_short": "select '' as entity, '' as key, '' as detail where false",
+    "match_terms": with_units("select term, unit_id from units, (values ('privacy'), ('the and'), ('ing the'), ('Und der')) v(term) where "
+        f"contains({FLD.format('unit_text')}, {FLD.format('term')})"),
+    "tokenize_labels": with_spans(
+        f"select label, {TOKEN_CASE} as token from (select distinct label from spans union select distinct 'A-b é / ' || label from spans)"),
+    "cap_single": f"with base as ({line_rows('l_returnflag')}) select doc_id, position, l_partkey, labels[1] as label from base "
+        "qualify row_number() over (partition by doc_id, labels[1] order by i) <= m",
+    "cap_multi": f"with recursive {capped(line_rows('l_returnflag', 'l_linestatus'), 34)}\n"
+        "select doc_id, position, l_partkey, array_to_string(labels, ';') as label from base join walk using (doc_id, i) where kept",
+    "cap_units": recursive(with_tables("select unit_id from base join walk using (doc_id, i) where kept",
+                                       EXPORTED + "," + capped_units("true", 5))),
+    "split_plain": "with " + fill("select l_orderkey as doc_id, '' as bin, count(*) as n from lineitem group by 1", 70, 15, 15, 42)
+        + "\nselect doc_id, n, split from assigned",
+    "split_stratified": "with lr as (select l_orderkey as doc_id, [l_returnflag] as labels from lineitem),"
+        + fill(bins("lr"), 70, 15, 15, 42) + "\nselect doc_id, bin, n, split from assigned",
+    "split_fallback": "with " + fill(
+        "select o_orderkey as doc_id, o_custkey::varchar as bin, count(*) as n from orders join lineitem on l_orderkey = o_orderkey group by all",
+        70, 15, 15, 7) + "\nselect doc_id, bin, n, split from assigned",
+    "split_no_train": "with " + fill("select o_orderkey as doc_id, o_custkey::varchar as bin, 1::bigint as n from orders", 0, 50, 50, 7)
+        + "\nselect doc_id, bin, n, split from assigned",
+    "split_rows_single": """select o_orderkey, case when p <= round_even(t * 70 / 100.0, 0) then 'train'
+ when p <= round_even(t * 70 / 100.0, 0) + round_even(t * 15 / 100.0, 0) then 'eval' else 'test' end as split
+from (select o_orderkey, row_number() over (order by md5('42:' || o_orderkey), o_orderkey) as p, count(*) over () as t from orders)""",
+    "split_units": with_tables("select unit_id, split from text_units join assigned using (doc_id)", SPLIT_UNITS),
+    "split_counts": with_tables(
+        "select " + ", ".join(f"count(*) filter (split = '{s}') as {s}" for s in ("train", "eval", "test"))
+        + " from text_units join assigned using (doc_id)", SPLIT_UNITS),
+    "export_rows": with_support(f"""
+select unit_id as id, doc_id as "group", unit_text as text, array_to_string(tokens, '; ') as label, array_to_string(names, '; ') as label_name,
+ coalesce((select max(stars)::varchar from support s where s.unit_id = r.unit_id), '') as support_stars,
+ coalesce((select max(k)::varchar from support s where s.unit_id = r.unit_id), '') as support_evidence, alignment_types, 'data' as split
+from rows_x r where not list_contains(labels, 'Others') and ({SINGLE} or {MULTI}) and unit_id in {gate(1)}""", 1, EXPORTED),
+    "export_report": recursive(with_support("""
+select count(*) as total, """ + ", ".join(f"count(*) filter (split = '{s}') as {s}" for s in ("train", "eval", "test")) + """,
+ count(*) filter (label_category = 'unlabeled') as unlabeled_count, count(*) filter (unit_kind = 'fragment') as fragment_count,
+ (select count(*) from base) as original_total, (select count(*) from base) - count(*) as capped_units_removed
+from kept join assigned using (doc_id)""", 1, EXPORTED + "," + capped_units(f"({SINGLE} or {MULTI}) and unit_id in {gate(1)} or {NULL}", 20)
+        + ",\nkept as materialized (select t.* from text_units t join base b using (unit_id) join walk w on w.doc_id = b.doc_id and w.i = b.i and w.kept),"
+        + fill(bins("kept"), 70, 15, 15, 42))),
+    "label_dist_export": with_tables("select token, count(*) as n from (select unnest(tokens) as token from rows_x) group by token", EXPORTED),
+    "support_analysis": with_support(f"""
+select token, count(*) as raw_count, round_even(count(*) / (select count(*) from rows_x) * 100.0, 2) as percentage_of_corpus,
+ count(distinct doc_id) as distinct_documents,
+ case when count(k) > 0 then round_even(sum(k)::bigint / count(k), 2) else 0.0 end as avg_supporting_annotators,
+ case when count(k) > 0 then round_even(sum(k / pool) / count(k), 4) else 0.0 end as mean_agreement_rate,
+ count(*) filter (stars = 3) as unanimous_count, count(*) filter (stars = 1) as disputed_count
+from (select unit_id, doc_id, unnest(tokens) as token from rows_x) r
+left join (select unit_id, {TOKEN_CASE} as token, k, pool, stars from support) s using (unit_id, token) group by token""", 1, EXPORTED),
+    "text_overlap": with_tables("""
+select count(*) as overlapping_texts_count from (
+ select trim(unit_text) from text_units join assigned using (doc_id) where trim(unit_text) <> '' group by 1 having count(distinct split) > 1)""", SPLIT_UNITS),
+    "split_leaks": "select 'one split per document' as rule, 0::bigint as violations",
+    "corpus_slice": with_tables("""
+select 'documents' as "table", count(*) as n from keep union all select 'annotations', count(*) from annotations semi join keep using (doc_id)
+union all select 'text_units', count(*) from text_units semi join keep using (doc_id)
+union all select 'unit_labels', count(*) from unit_labels semi join keep using (doc_id)
+union all select 'alignment', count(*) from alignment semi join keep using (doc_id)""",
+        "\nkeep as materialized (select doc_id from docs qualify row_number() over (partition by subset order by num) <= 5)"),
+    "row_manifest": with_tables("""
+select 'documents' as "table", count(*) as n from docs union all select 'annotations', count(*) from annotations
+union all select 'text_units', count(*) from text_units union all select 'unit_labels', count(*) from unit_labels
+union all select 'alignment', count(*) from alignment"""),
+    "fingerprint": """
+select count(*) as n, bit_xor(h) as xor_hash, sum(h::hugeint)::varchar as sum_hash from (
+ select ('0x' || left(md5(concat_ws(chr(31), l_orderkey::varchar, l_partkey::varchar, l_suppkey::varchar, l_linenumber::varchar, l_returnflag, l_linestatus)), 15))::bigint as h from lineitem)""",
+    "unit_fingerprint": with_tables("""
+select count(*) as n, bit_xor(h) as xor_hash, sum(h::hugeint)::varchar as sum_hash from (
+ select ('0x' || left(md5(concat_ws(chr(31), unit_id, unit_text, label_category)), 15))::bigint as h from text_units)"""),
+}
+for _mode in ("at_least", "exact"):
+    for _tier in (1, 2, 3):
+        SQL[f"support_gate_{_mode}_{_tier}"] = with_support(f"select unit_id from {gate(_tier, _mode)}")

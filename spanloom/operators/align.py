@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spanloom.functions.rows import exploded
 from spanloom.functions.text import normalize, tokens
 from spanloom.operators.containment import contained_pairs
 from spanloom.schema import IN_PARAGRAPH, IN_SENTENCE, OVERLAP
@@ -66,7 +67,7 @@ def containing_units(stexts: DataFrame, utexts: DataFrame) -> DataFrame:
     needles = utexts.where(F.length("norm") > MIN_UNIT_CHARS).select(
         "doc_id", F.col("unit_rep").alias("needle_id"), F.col("norm").alias("needle_text"))
     hay = stexts.select("doc_id", F.col("span_rep").alias("hay_id"), F.col("norm").alias("hay_text"))
-    return contained_pairs(needles, hay, ["doc_id"]).select(
+    return contained_pairs(needles, hay, ["doc_id"], fold="hay").select(
         "doc_id", F.col("hay_id").alias("span_rep"), F.col("needle_id").alias("unit_rep"))
 
 
@@ -87,11 +88,11 @@ def best_overlap(stexts: DataFrame, utexts: DataFrame) -> DataFrame:
          .withColumn("need", _needed(F.col("n"))))
     u = (utexts.join(s.select("doc_id").distinct(), "doc_id", "left_semi")
          .select("doc_id", "unit_rep", "first_kind", tokens(F.col("norm")).alias("u_tokens")))
-    u_rows = u.select("doc_id", "unit_rep", F.explode("u_tokens").alias("token"))
+    u_rows = exploded(u, ["doc_id", "unit_rep"], F.col("u_tokens"), "token")
     frequency = u_rows.groupBy("doc_id", "token").agg(F.count("*").alias("df"))
 
     rarest = Window.partitionBy("doc_id", "span_rep").orderBy("df", "token")
-    s_rows = s.select("doc_id", "span_rep", "n", "need", F.explode("s_tokens").alias("token"))
+    s_rows = exploded(s, ["doc_id", "span_rep", "n", "need"], F.col("s_tokens"), "token")
     prefix = (s_rows.join(frequency, ["doc_id", "token"], "left")
               .withColumn("rank", F.row_number().over(rarest))   # one span's tokens
               .where("rank <= n - need + 1 and df is not null")

@@ -1,6 +1,13 @@
-"""Exact substring join of two text collections without comparing all pairs.
+"""Exact substring join of two text collections, group by group.
 
-A needle inside a longer text is cut off at its first and last token only; every
+Two ways, chosen per group by its measured size; both give the same pairs.
+
+*Few texts on one side* (up to FEW_TEXTS of them, FEW_CHARS characters): they
+travel as one array to the rows of the other side, which test each of them. The
+other side may be of any size: its rows are shuffled once and a hot group can be
+split, because the array is one row.
+
+*Otherwise* an index join that never compares all pairs. A needle inside a longer text is cut off at its first and last token only; every
 token between them is a whole token of that text, in the same order. So a needle
 needs just one *anchor* - a short run of its inner tokens plus the characters
 touching it - and can only lie in texts that hold the same anchor. The join runs
@@ -21,6 +28,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spanloom.functions.rows import exploded
+
+FEW_TEXTS = 128
+FEW_CHARS = 1 << 18
 LONG_RUN = 4
 PIECES = (3, 1)
 
@@ -79,29 +90,48 @@ def _seam_anchors(tokens: Column, n: Column) -> Column:
     return F.array_distinct(F.array_compact(F.when(n >= 2, seams)))
 
 
-def _pieces(token: Column) -> Column:
-    """All distinct substrings of one to three characters."""
-    n = F.length(token)
-
-    def of(size: int) -> Column:
-        starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(token, i, F.lit(size)))
-    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+def _pieces(token: Column, size: int) -> Column:
+    """All distinct substrings of ``size`` characters."""
+    starts = F.sequence(F.lit(1), F.length(token) - size + 1)
+    found = F.transform(starts, lambda i: F.substring(token, i, F.lit(size)))
+    return F.when(F.length(token) >= size, F.array_distinct(found))
 
 
 def _only_groups_of(df: DataFrame, needles: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(needles.select(*keys).distinct(), keys, "left_semi") if keys else df
 
 
-def contained_pairs(needles: DataFrame, hay: DataFrame, keys: list[str]) -> DataFrame:
+def contained_pairs(needles: DataFrame, hay: DataFrame, keys: list[str],
+                    fold: str = "needle", few: int = FEW_TEXTS) -> DataFrame:
     """Every (needle, hay) pair of one group where ``hay_text`` contains ``needle_text``.
 
     ``needles`` has keys, ``needle_id`` and ``needle_text``; ``hay`` has keys,
     ``hay_id``, ``hay_text`` and any further columns, which are kept. Texts are
     normalised (single spaces, trimmed, not empty); ids are unique in a group.
-    Repeated texts should be folded by the caller first.
+    Repeated texts should be folded by the caller first. ``fold`` names the side
+    ("needle" or "hay") that usually has few texts per group.
     """
+    if not keys:
+        return _indexed_pairs(needles, hay, keys)
+    folded, other = (needles, hay) if fold == "needle" else (hay, needles)
+    text = f"{fold}_text"
+    small = (folded.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(F.length(text)).alias("_c"))
+             .where((F.col("_n") <= few) & (F.col("_c") <= FEW_CHARS)).select(*keys))
+    columns = [c for c in folded.columns if c not in keys]
+    arrays = folded.join(small, keys, "left_semi").groupBy(*keys).agg(
+        F.collect_list(F.struct(*columns)).alias("_few"))          # bounded by ``small``
+    contains = ((lambda x: F.contains(F.col("hay_text"), x[text])) if fold == "needle"
+                else (lambda x: F.contains(x[text], F.col("needle_text"))))
+    tested = exploded(other.join(arrays, keys), other.columns, F.filter("_few", contains), "_x")
+    direct = tested.select(*other.columns, *[F.col(f"_x.{c}").alias(c) for c in columns])
+
+    many = folded.join(small, keys, "left_anti")
+    others = _only_groups_of(other, many, keys)
+    indexed = _indexed_pairs(*((many, others) if fold == "needle" else (others, many)), keys)
+    return direct.unionByName(indexed.select(*direct.columns))
+
+
+def _indexed_pairs(needles: DataFrame, hay: DataFrame, keys: list[str]) -> DataFrame:
     needles = (needles.withColumn("_tokens", F.split("needle_text", " "))
                .withColumn("_n", F.size("_tokens")))
     many = needles.where("_n >= 2").withColumn(
@@ -110,24 +140,27 @@ def contained_pairs(needles: DataFrame, hay: DataFrame, keys: list[str]) -> Data
 
     split_hay = (hay.select(*keys, "hay_id", F.split("hay_text", " ").alias("_tokens"))
                  .withColumn("_n", F.size("_tokens")))
-    runs = split_hay.select(
-        *keys, "hay_id", F.explode(_run_anchors(F.col("_tokens"), F.col("_n"))).alias("_anchor"))
-    seams = _only_groups_of(split_hay, many.where("_n = 2"), keys).select(
-        *keys, "hay_id", F.explode(_seam_anchors(F.col("_tokens"), F.col("_n"))).alias("_anchor"))
+    hay_id = [*keys, "hay_id"]
+    runs = exploded(split_hay, hay_id, _run_anchors(F.col("_tokens"), F.col("_n")), "_anchor")
+    seams = exploded(_only_groups_of(split_hay, many.where("_n = 2"), keys), hay_id,
+                     _seam_anchors(F.col("_tokens"), F.col("_n")), "_anchor")
     id_cols = [*keys, "needle_id", "needle_text", "hay_id"]
     by_run = many.where("_n > 2").join(runs, [*keys, "_anchor"]).select(*id_cols)
     by_seam = many.where("_n = 2").join(seams, [*keys, "_anchor"]).select(*id_cols)
 
     # One-token needles: match the vocabulary of the group, then its texts.
-    texts_of_token = _only_groups_of(split_hay, single, keys).select(
-        *keys, "hay_id", F.explode(F.array_distinct("_tokens")).alias("_token"))
+    texts_of_token = exploded(_only_groups_of(split_hay, single, keys), hay_id,
+                              F.array_distinct("_tokens"), "_token")
     vocabulary = texts_of_token.select(*keys, "_token").distinct()
-    pieces = vocabulary.select(*keys, "_token", F.explode(_pieces(F.col("_token"))).alias("_piece"))
-    tokens_with = (
-        single.withColumn("_piece", F.left("needle_text", F.lit(3)))
-        .join(pieces, [*keys, "_piece"])
-        .where(F.contains("_token", "needle_text"))
-        .select(*keys, "needle_id", "needle_text", "_token"))
+    tokens_with = None
+    for size in (1, 2, 3):
+        sized = single.where(F.least(F.length("needle_text"), F.lit(3)) == size)
+        pieces = exploded(_only_groups_of(vocabulary, sized, keys), [*keys, "_token"],
+                          _pieces(F.col("_token"), size), "_piece")
+        found = (sized.withColumn("_piece", F.left("needle_text", F.lit(size)))
+                 .join(pieces, [*keys, "_piece"]).where(F.contains("_token", "needle_text"))
+                 .select(*keys, "needle_id", "needle_text", "_token"))
+        tokens_with = found if tokens_with is None else tokens_with.unionByName(found)
     by_token = tokens_with.join(texts_of_token, [*keys, "_token"]).select(*id_cols).distinct()
 
     candidates = by_run.unionByName(by_seam).unionByName(by_token)

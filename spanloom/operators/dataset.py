@@ -152,13 +152,21 @@ def check_ratios(train: int, eval_: int, test: int) -> None:
         raise ValueError("train/eval/test percentages must sum to 100")
 
 
-def document_bins(rows: DataFrame, doc: str = "doc_id", labels: str = "labels") -> DataFrame:
+def document_labels(rows: DataFrame, doc: str = "doc_id", labels: str = "labels") -> DataFrame:
+    """Rows and distinct labels per document (sets of label sets: small)."""
+    return rows.groupBy(doc).agg(
+        F.count("*").alias("n"),
+        F.array_distinct(F.flatten(F.collect_set(labels))).alias("doc_labels"))
+
+
+def document_bins(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Bin of each document: its rarest label by documents, then by name."""
-    pairs = rows.select(doc, F.explode_outer(labels).alias("label")).distinct()
-    counts = pairs.where("label is not null").groupBy("label").agg(F.count("*").alias("n"))
-    rare = F.min_by("label", F.when(F.col("label").isNotNull(), F.struct("n", "label")))
-    return (pairs.join(counts, "label", "left").groupBy(doc)
-            .agg(F.coalesce(rare, F.lit(UNLABELED_BIN)).alias("bin")))
+    pairs = docs.select(doc, F.explode("doc_labels").alias("label"))
+    counts = pairs.groupBy("label").agg(F.count("*").alias("_c"))
+    rarest = pairs.join(counts, "label").groupBy(doc).agg(
+        F.min(F.struct("_c", "label"))["label"].alias("bin"))
+    return docs.join(rarest, doc, "left").select(
+        doc, "n", F.coalesce("bin", F.lit(UNLABELED_BIN)).alias("bin"))
 
 
 def _target(total: Column, pct: int) -> Column:
@@ -175,10 +183,12 @@ def fill_splits(docs: DataFrame, train: int, eval_: int, test: int, seed: int,
 
     In seeded order documents fill train until its target is met, then eval, the
     rest is test. A document goes to train exactly while the rows before it are
-    below the target, so prefix sums replace the loop.
+    below the target, so prefix sums replace the loop. The document table is read
+    several times and therefore written in between.
     """
     check_ratios(train, eval_, test)
-    docs = docs.withColumn("_order", hash_order(seed, F.col(doc)))
+    docs = write_and_read(docs.select(doc, "bin", "n", hash_order(seed, F.col(doc)).alias("_order")),
+                          "split_docs")
     order = [F.col("_order"), F.col(doc)]
     placed = running_total(docs, ["bin"], hash_bucket(F.col("_order")), order, F.col("n"),
                            "_before", inclusive=False)
@@ -191,7 +201,8 @@ def fill_splits(docs: DataFrame, train: int, eval_: int, test: int, seed: int,
     rest = F.lit("test" if test > 0 else "train")
     split = (F.when(F.col("_in_train"), "train")
              .when(in_eval & F.lit(eval_ > 0), "eval").otherwise(rest))
-    filled = placed.join(in_train, "bin").select(doc, "bin", "n", "_order", split.alias("split"))
+    filled = write_and_read(placed.join(in_train, "bin").select(
+        doc, "bin", "n", "_order", split.alias("split")), "split_filled")
     return _give_to_missing(filled, train, eval_, test, doc)
 
 
@@ -213,7 +224,8 @@ def _give_to_missing(filled: DataFrame, train: int, eval_: int, test: int, doc:
         F.collect_list(F.struct("split", "c", "docs")).alias("parts"))    # three entries at most
         .where(F.col("all") >= len(active)))
     for s in active:
-        state = state.withColumn(f"_no_{s}", ~F.exists("parts", lambda p, s=s: p["split"] == s))
+        state = state.withColumn(
+            f"_no_{s}", ~F.array_contains(F.col("parts.split"), F.lit(s)))
     state = state.where(reduce(lambda a, b: a | b, [F.col(f"_no_{s}") for s in active]))
     state = state.withColumn("moves", F.array().cast(
         f"array<struct<doc:struct<_order:string,{doc}:{dict(filled.dtypes)[doc]}>,to:string>>"))
@@ -243,11 +255,11 @@ def _give_to_missing(filled: DataFrame, train: int, eval_: int, test: int, doc:
 def document_splits(rows: DataFrame, train: int, eval_: int, test: int, seed: int = 42,
                     stratify: bool = True, doc: str = "doc_id", labels: str = "labels") -> DataFrame:
     """Split of every document: (doc, bin, n, split)."""
-    sizes = rows.groupBy(doc).agg(F.count("*").alias("n"))
     if stratify:
-        sizes = sizes.join(document_bins(rows, doc, labels), doc)
+        docs = write_and_read(document_labels(rows, doc, labels), "split_labels")
+        sizes = document_bins(docs, doc)
     else:
-        sizes = sizes.withColumn("bin", F.lit(""))
+        sizes = rows.groupBy(doc).agg(F.count("*").alias("n"), F.lit("").alias("bin"))
     return fill_splits(sizes, train, eval_, test, seed, doc)
 
 
@@ -299,9 +311,9 @@ def support_analysis(rows: DataFrame, doc: str = "doc_id") -> DataFrame:
     ``rows`` carries the token array ``label`` and the ``support`` pairs.
     """
     pairs = F.transform(F.coalesce("support", F.array().cast(
-        "array<struct<label:string,k:bigint,pool:bigint,stars:int>>")), lambda s: F.struct(
-            label_token(s["label"]).alias("token"), s["k"].alias("k"), s["pool"].alias("pool"),
-            s["stars"].alias("stars")))
+        "array<struct<label:string,k:bigint,pool:bigint,stars:int>>")), lambda s: F.named_struct(
+            F.lit("token"), label_token(s["label"]), F.lit("k"), s["k"], F.lit("pool"), s["pool"],
+            F.lit("stars"), s["stars"]))
     entries = rows.select(doc, F.explode("label").alias("token"), pairs.alias("_pairs")).select(
         doc, "token", F.try_element_at(F.filter(
             "_pairs", lambda p: p["token"] == F.col("token")), F.lit(-1)).alias("p"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from spanloom.functions.rows import exploded
 from spanloom.functions.text import ascii_lower, like_ci
 from spanloom.operators.views import joined, verbatim_label
 from spanloom.plans.corpus import Corpus
@@ -72,4 +73,4 @@ def match_terms(units: DataFrame, terms: list[str]) -> DataFrame:
     asked = F.array(*[F.lit(t) for t in terms])
     text = ascii_lower(F.col("unit_text"))
     hits = F.filter(asked, lambda t: F.contains(text, ascii_lower(t)))
-    return units.select(F.explode(hits).alias("term"), "unit_id")
+    return exploded(units, ["unit_id"], hits, "term").select("term", "unit_id")

@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spanloom.functions.rows import exploded
 from spanloom.functions.rules import classify
 from spanloom.functions.sentences import split_sentences
 
 
+def spread(rows: DataFrame, below: int = 64) -> DataFrame:
+    """Rows of a scan with few splits over all cores.
+
+    The text rules need far more time per byte than reading does. Scans of more
+    than ``below`` splits are left alone, so large inputs are never shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= min(cores, below) else rows
+
+
 def blocks_of_lines(lines: Column) -> Column:
     """Plain-text lines as prose blocks."""
     return F.transform(lines, lambda t: F.struct(F.lit("prose").alias("kind"), t.alias("text")))
@@ -52,8 +63,8 @@ def units_from_blocks(docs: DataFrame, blocks: str = "blocks", keep=("doc_id", "
 
     The blocks of a document sit in one row, so numbering is the array index.
     """
-    exploded = docs.select(*keep, F.posexplode(sentence_units(F.col(blocks))).alias("_p", "_u"))
-    rows = exploded.select(
+    cut = exploded(docs, keep, sentence_units(F.col(blocks)), "_u", "_p")
+    rows = cut.select(
         *keep, (F.col("_p") + 1).cast("int").alias("position"), F.col("_u.block_seq"),
         F.col("_u.block_kind"), F.col("_u.unit_text"))
     typed = classify(rows, full_urls=full_urls)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from spanloom.functions.rows import exploded
 from spanloom.functions.sentences import block_lines
 from spanloom.functions.text import words
 from spanloom.operators.units import blocks_of_lines
@@ -40,7 +41,7 @@ def derived_spans(blocks: DataFrame, copies: int = 3) -> DataFrame:
     By (num + line) mod 5 a span is a phrase of the line, the whole line, every
     other word of it, noise, or the word "the".
     """
-    lines = blocks.select("doc_id", "num", F.posexplode("blocks").alias("k", "b"))
+    lines = exploded(blocks, ["doc_id", "num"], F.col("blocks"), "b", "k")
     rows = lines.select("doc_id", F.col("num").cast("long").alias("num"),
                         F.col("k").cast("long").alias("k"), F.col("b.text").alias("line"),
                         F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("j"))
