@@ -76,7 +76,7 @@ def label_counts(text_units: DataFrame) -> DataFrame:
 
 
 def fragment_types(text_units: DataFrame) -> DataFrame:
-    return (text_units.where("unit_kind = 'fragment' and fragment_type is not null")
+    return (text_units.where("fragment_type is not null")       # set for fragments only
             .groupBy("fragment_type").agg(F.count("*").alias("n"))
             .orderBy(F.desc("n"), "fragment_type"))
 
