@@ -47,15 +47,18 @@ def cap_limits(rows: DataFrame, pct: float, doc: str = "doc_id", labels: str = "
 
 def cap_labels(rows: DataFrame, pct: float, order: list[str], doc: str = "doc_id",
                labels: str = "labels", bucket: Column | None = None,
-               fold_rows: int = FOLD_ROWS) -> DataFrame:
+               fold_rows: int = FOLD_ROWS, written: bool = False) -> DataFrame:
     """Keep at most ``pct`` percent of a document's rows per label.
 
     Rows are taken in ``order``; a row is dropped when any of its labels is used
     up, and only kept rows use labels up. ``bucket`` cuts a document into
-    ordered parts (default: ``position`` ranges).
+    ordered parts (default: ``position`` ranges). Rows are read several times, so
+    they are written first unless they come from a table (``written``).
     """
     if pct <= 0:
         return rows
+    if not written:
+        rows = write_and_read(rows, "cap_input")
     limits = cap_limits(rows, pct, doc, labels)
     bucket = F.floor(F.col("position") / BUCKET_ROWS) if bucket is None else bucket
     sized = rows.join(limits, doc)

@@ -28,13 +28,13 @@ def verbatim_label() -> Column:
             .when(F.col("label_category") == "multi_label", "MULTI_LABEL").otherwise(""))
 
 
-def unit_view(units: DataFrame) -> DataFrame:
+def unit_view(units: DataFrame, *extra: Column) -> DataFrame:
     return units.select(
         "unit_id", "doc_id", "subset", "position", "block_kind", "unit_text", "unit_kind",
         "fragment_type", "label_category", "annotator_count", "source_annotation_count",
         "alignment_types", joined(F.col("labels")).alias("verbatim_labels"),
         joined(F.col("annotators")).alias("annotators"),
-        F.col("unit_text").alias("text"), verbatim_label().alias("verbatim_label"))
+        F.col("unit_text").alias("text"), verbatim_label().alias("verbatim_label"), *extra)
 
 
 def corpus_support(corpus: Corpus, threshold: int | None = 1,

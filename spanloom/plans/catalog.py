@@ -16,7 +16,7 @@ from spanloom.operators.containment import contained_pairs
 from spanloom.operators.filters import UnitFilter, filter_units
 from spanloom.plans import corpus as C, export as X
 from spanloom.schema import LABELS
-from spanloom.session import configure
+from spanloom.session import configure, write_and_read
 from spanloom.sources.tables import derived_spans, document_blocks, document_rows, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,8 +146,8 @@ def plain_text(spark, sf_dir):
 def align_benchmark(spark, sf_dir):
     """Where whole benchmark passages lie inside document units, across documents."""
     docs = units(spark, sf_dir).select("unit_id", normalize(F.col("unit_text")).alias("norm"))
-    hay = docs.where("norm <> ''").groupBy("norm").agg(F.min("unit_id").alias("hay_id"),
-                                                       F.count("*").alias("copies"))
+    hay = write_and_read(docs.where("norm <> ''").groupBy("norm").agg(
+        F.min("unit_id").alias("hay_id"), F.count("*").alias("copies")), "benchmark_hay")
     lines = units_of_items(read(spark, sf_dir, "benchmark"))
     pairs = contained_pairs(lines, hay.withColumnRenamed("norm", "hay_text"), [])
     return pairs.select(F.col("needle_id").alias("item_unit"), F.col("hay_id").alias("unit_id"), "copies")
