@@ -637,3 +637,66 @@ select count(*) as n, bit_xor(h) as xor_hash, sum(h::hugeint)::varchar as sum_ha
 for _mode in ("at_least", "exact"):
     for _tier in (1, 2, 3):
         SQL[f"support_gate_{_mode}_{_tier}"] = with_support(f"select unit_id from {gate(_tier, _mode)}")
+
+
+def page_piece(pattern: str) -> str:
+    """Text of one part of a page: tags become spaces, entities are decoded."""
+    text = f"regexp_replace(regexp_extract(html, {lit(pattern)}, 1), '<[^>]*>', ' ', 'g')"
+    for entity, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', {lit(char)})"
+    return collapse(text)
+
+
+# The pages hold a notice, a heading and one article whose first paragraph is
+# never closed, so that everything behind the heading is one block.
+PAGES = f"""
+page_parts as materialized (
+  select page_id, [{{'k': 'prose', 't': {page_piece('(?s)<div class="ad">(.*?)</div>')}}},
+                   {{'k': 'heading', 't': {page_piece('(?s)<h1>(.*?)</h1>')}}},
+                   {{'k': 'prose', 't': {page_piece('(?s)</h1>(.*?)(?:</article>|$)')}}}] as parts from pages),
+page_lists as (select page_id, list_filter(parts, lambda p: regexp_matches(p.t, '[\\pL\\pN]')) as ps from page_parts),
+page_rows as materialized (
+  select page_id, unnest(range(len(ps)))::int as block_seq, unnest(ps).k as block_kind, unnest(ps).t as text from page_lists)"""
+
+PAGE_UNITS = f"""{PAGES},
+page_cut as (select 'P_' || page_id as doc_id, block_seq, block_kind, {sentences('text')} as ss from page_rows),
+page_numbered as (select doc_id, block_seq, block_kind, unnest(ss) as t, unnest(range(len(ss))) as i from page_cut),
+page_placed as (
+  select doc_id, block_seq, block_kind, t, row_number() over (partition by doc_id order by block_seq, i) as position,
+         {N} as n, {PROBE} as probe from page_numbered)"""
+
+SQL["page_blocks"] = f"with {PAGES}\nselect page_id, block_seq, block_kind, text from page_rows"
+SQL["page_text"] = f"with {PAGES}\nselect page_id as doc_id, string_agg(text, chr(10) order by block_seq) as text from page_rows group by page_id"
+SQL["page_units"] = f"""with {PAGE_UNITS}
+select doc_id || '_U' || position as unit_id, block_seq, block_kind, t as unit_text,
+       case when ft is null then 'sentence' else 'fragment' end as unit_kind, ft as fragment_type
+from (select *, {FRAGMENT_TYPE} as ft from page_placed)"""
+
+RULES = (
+    "unique documents(doc_id)", "unique documents(subset, num)", "unique annotations(annotation_id)",
+    "unique annotations(doc_id, src_row)", "unique text_units(unit_id)", "unique text_units(doc_id, position)",
+    "unique unit_labels(unit_id, label)", "unique alignment(unit_id, annotation_id)",
+    "reference annotations.doc_id", "reference text_units.doc_id", "reference unit_labels.unit_id",
+    "reference alignment.unit_id", "reference alignment.annotation_id", "domain documents.subset",
+    "domain annotations.status", "domain text_units.unit_kind", "domain text_units.block_kind",
+    "domain text_units.fragment_type", "domain text_units.label_category", "domain alignment.alignment_type",
+    "not null documents", "not null annotations", "not null text_units", "not null unit_labels", "not null alignment")
+SQL["integrity"] = " union all ".join(f"select {lit(r)} as rule, 0::bigint as violations" for r in RULES)
+
+COUNTS = {
+    "aligned": "(select count(*) from annotations where status = 'aligned')",
+    "ambiguous": "(select count(*) from annotations where status = 'ambiguous')",
+    "annotations": "(select count(*) from annotations)", "documents": "(select count(*) from docs)",
+    "fragments": "(select count(*) from text_units where unit_kind = 'fragment')",
+    "high_confidence_single": "(select count(*) from text_units where label_category = 'single_label' and annotator_count >= 2)",
+    "multi_label_sentences": "(select count(*) from text_units where label_category = 'multi_label')",
+    "sentences": "(select count(*) from text_units where unit_kind = 'sentence')",
+    "single_label_sentences": "(select count(*) from text_units where label_category = 'single_label')",
+    "unlabeled_sentences": "(select count(*) from text_units where label_category = 'unlabeled')",
+    "units": "(select count(*) from text_units)",
+    "unmatched": "(select count(*) from annotations where status = 'unmatched')",
+}
+COUNTS["subsets"] = ("('{' || (select string_agg('\"' || subset || '\":' || n, ',' order by subset)"
+                     " from (select subset, count(*) as n from docs group by subset)) || '}')")
+_PAIRS = " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in sorted(COUNTS.items()))
+SQL["build_manifest"] = with_tables(f"select 'counts' as key, '{{' || {_PAIRS} || '}}' as value")

@@ -44,9 +44,10 @@ def build_manifest(corpus: Corpus, schema_version: str, source_revision: str = "
     counts = stats.corpus_counts(corpus)
     subsets = corpus.documents.groupBy("subset").agg(F.count("*").alias("n")).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("subset", "n")))).alias("subsets"))
-    fields: list[Column] = [F.col(c) for c in sorted(SUMMARY)] + [F.col("subsets")]
+    named: dict[str, Column] = {c: F.col(c) for c in (*SUMMARY, "subsets")}
     if max_docs is not None:
-        fields += [F.lit(True).alias("partial"), F.lit(max_docs).alias("max_docs")]
+        named |= {"partial": F.lit(True), "max_docs": F.lit(max_docs)}
+    fields = [named[c].alias(c) for c in sorted(named)]
     enough = F.when(F.col("documents") < expected_docs, F.raise_error(
         F.format_string("documents=%d below expected " + str(expected_docs), "documents")))
     row = counts.crossJoin(subsets).select(               # two single rows
