@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,7 +17,7 @@ from spanloom.operators.containment import contained_pairs
 from spanloom.operators.filters import UnitFilter, filter_units
 from spanloom.plans import corpus as C, export as X
 from spanloom.schema import LABELS
-from spanloom.session import configure, write_and_read
+from spanloom.session import configure, shared_dir, write_and_read
 from spanloom.sources.tables import derived_spans, document_blocks, document_rows, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +38,10 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def built(spark: SparkSession, sf_dir: str) -> C.Corpus:
     """Tables of the corpus in ``sf_dir``: built once per application, then read."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
+    folder = shared_dir(spark)
+    local = "/" + folder.removeprefix("file:").lstrip("/") if folder.startswith(("file:", "/")) else folder
+    lost = local.startswith("/") and not os.path.isdir(local)      # a cleared scratch folder
+    if key not in _BUILT or lost:
         configure(spark)
         b = blocks(spark, sf_dir)
         _BUILT[key] = C.build(document_rows(b), b, derived_spans(b))
