@@ -76,8 +76,10 @@ def label_counts(text_units: DataFrame) -> DataFrame:
 
 
 def fragment_types(text_units: DataFrame) -> DataFrame:
-    return (text_units.where("fragment_type is not null")       # set for fragments only
-            .groupBy("fragment_type").agg(F.count("*").alias("n"))
+    """Fragments per type. The count carries the condition: a filter on the type
+    would be pushed below and make freshly classified units be typed twice."""
+    return (text_units.groupBy("fragment_type")
+            .agg(F.count_if(F.col("unit_kind") == "fragment").alias("n")).where("n > 0")
             .orderBy(F.desc("n"), "fragment_type"))
 
 
