@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import simhash
+from spanloom.llm import bpe, lines, posindex, simhash
 from spanloom.llm.common import read
 
 QUERIES = {}
@@ -20,3 +20,24 @@ def op2_simhash(spark, sf_dir):
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"),
                         "component_id")
+
+
+@query
+def op5_positional_index(spark, sf_dir):
+    found = posindex.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op8_bpe(spark, sf_dir):
+    return bpe.round_trip(read(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query
+def op10_line_dedup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped",
+                                          F.sha2("text", 256).alias("kept_sha256"))

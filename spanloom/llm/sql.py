@@ -2,4 +2,23 @@
 
 from __future__ import annotations
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 SQL: dict[str, str] = {}
+
+SQL["op10_line_dedup"] = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+keyed AS (SELECT *, translate(trim(line, {SPACES}), '{UPPER}', '{LOWER}') AS k FROM lines),
+shared AS (SELECT k, min(doc_id) AS first FROM keyed WHERE length(k) >= 10
+           GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+judged AS (SELECT doc_id, i, line, coalesce(doc_id <> first, false) AS gone
+           FROM keyed LEFT JOIN shared USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), ''))
+         AS kept_sha256
+FROM judged GROUP BY doc_id"""
+
