@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, lines, posindex, simhash
+from spanloom.llm import bpe, lines, posindex, simhash, urls
 from spanloom.llm.common import read
+from spanloom.llm.digests import DigestIndex
+from spanloom.llm.urls import Rule
 
 QUERIES = {}
 
@@ -15,6 +19,25 @@ def query(f):
     return f
 
 
+#: The rules that ``op1_url_filter`` is asked to apply.
+URL_RULES = [Rule.of("allow", "com/"), Rule.of("block", "example.com/en/"),
+             Rule.of("allow", "www.example.com/en/"), Rule.of("block", "net/es/"),
+             Rule.of("block", "net/fr/")]
+#: Pages with less html than this, in code points, are listed.
+THIN_PAGE = 1000
+
+
+@query
+def op1_url_filter(spark, sf_dir):
+    """Every page against the rules and the list of thin pages' canonical addresses."""
+    pages = read(spark, sf_dir, "pages")
+    host, path = urls.host_and_path(F.col("url"))
+    thin = pages.where(F.length("html") < THIN_PAGE).select(host.alias("host"), path.alias("path"))
+    listed = thin.where("host <> ''").select(urls.canonical(F.col("host"), F.col("path")).alias("canonical"))
+    return urls.judge(pages.select("page_id", "url"), URL_RULES, listed).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op2_simhash(spark, sf_dir):
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -31,6 +54,13 @@ def op5_positional_index(spark, sf_dir):
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query
+def op6_digest_index(spark, sf_dir):
+    index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
+    return index.ingest(read(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 @query
 def op8_bpe(spark, sf_dir):
     return bpe.round_trip(read(spark, sf_dir, "documents"), ["doc_id"])

@@ -22,3 +22,36 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
          AS kept_sha256
 FROM judged GROUP BY doc_id"""
 
+SQL["op6_digest_index"] = """
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, h AS text_sha256
+FROM d WINDOW w AS (PARTITION BY h)"""
+
+SQL["op1_url_filter"] = r"""
+WITH cut AS (
+  SELECT page_id, html,
+         translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path
+  FROM pages),
+named AS (
+  SELECT page_id, host, path, length(html) < 1000 AS thin,
+         regexp_replace(host, '^(www|m)\.', '') ||
+         regexp_replace(regexp_replace(path, '\.html$', ''), '/+$', '') AS canonical
+  FROM cut),
+listed AS (SELECT DISTINCT canonical FROM named WHERE thin AND host <> ''),
+rules(rule, rhost, rpath, rverdict) AS (VALUES
+  ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+  ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+fits AS (
+  SELECT page_id, rule, rverdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS n
+  FROM named, rules
+  WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IS NOT NULL THEN rverdict
+            WHEN host <> '' AND canonical IN (SELECT canonical FROM listed) THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM named LEFT JOIN (SELECT page_id, rule, rverdict FROM fits WHERE n = 1) USING (page_id)"""
