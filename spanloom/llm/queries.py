@@ -6,14 +6,19 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, lines, posindex, simhash, urls
+from spanloom.llm import bpe, lines, pii, posindex, secrets, simhash, urls
 from spanloom.llm.common import read
 from spanloom.llm.digests import DigestIndex
+from spanloom.llm.spans import written
 from spanloom.llm.urls import Rule
 
 QUERIES = {}
 
 
+def _count(spans, kind):
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -61,11 +66,31 @@ def op6_digest_index(spark, sf_dir):
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query
+def op7_weak_pii(spark, sf_dir):
+    found = pii.find(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[_count("base", k) for k in pii.KINDS],
+        F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"))
+
+
 @query
 def op8_bpe(spark, sf_dir):
     return bpe.round_trip(read(spark, sf_dir, "documents"), ["doc_id"])
 
 
+@query
+def op9_trigram_secrets(spark, sf_dir):
+    found = secrets.find(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
+    rows = found.select("doc_id", "spans", base.alias("base"))
+    return rows.select(
+        "doc_id", *[_count("base", k) for k in ("assign", "access", "hex")],
+        F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"))
+
+
 @query
 def op10_line_dedup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
