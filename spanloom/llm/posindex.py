@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from spanloom.llm.common import staged
+from spanloom.llm.common import NULL_ID, staged
 
 #: Bytes of words: digits, letters (lowered) and all of other alphabets; the rest are gaps.
 WORD_BYTES = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128
@@ -246,3 +246,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int
     return documents(index).join(hits, ["segment", "place"], "left").select(
         F.col("doc_id").alias(doc_id), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id",
+               text: str = "text") -> DataFrame:
+    """Rows of ``docs`` without a window of an item; rows with one id go together."""
+    own = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
+    hit = staged(contamination(docs, items, window, 0, doc_id, text).where("n_hit > 0")
+                 .select(own.alias("_hit")).distinct(), "contaminated")
+    return docs.join(hit, F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)) == hit["_hit"],
+                     "left_anti")

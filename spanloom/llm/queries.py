@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, lines, pii, posindex, secrets, simhash, urls
+from spanloom.llm import bpe, lines, pii, posindex, quality, rollups, secrets, simhash, urls
 from spanloom.llm.common import read
 from spanloom.llm.digests import DigestIndex
+from spanloom.llm.rollups import Rollup
 from spanloom.llm.spans import written
 from spanloom.llm.urls import Rule
+from spanloom.session import shared_dir
 
 QUERIES = {}
 
@@ -50,6 +52,34 @@ def op2_simhash(spark, sf_dir):
                         "component_id")
 
 
+@query
+def op3_token_rollup(spark, sf_dir):
+    """All documents counted; those not in English recounted by another tokenizer; toxic ones removed.
+
+    The first batch is then sent once more, which changes nothing.
+    """
+    docs = read(spark, sf_dir, "documents")
+    rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    foreign = docs.where(~F.col("lang").eqNullSafe("en"))
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    load = rollups.counts(docs, "words-1")
+    rollup.apply("1-load", load)
+    rollup.apply("2-recount", rollups.deletes(foreign, "words-1").unionByName(
+        rollups.counts(foreign, "pieces-1")))
+    rollup.apply("3-remove", rollups.deletes(toxic, "words-1").unionByName(
+        rollups.deletes(toxic, "pieces-1")))
+    rollup.apply("1-load", load)
+    return rollup.totals()
+
+
+@query
+def op4_pairwise_quality(spark, sf_dir):
+    found = quality.scores(read(spark, sf_dir, "documents"),
+                           quality.training_labels(read(spark, sf_dir, "labels")))
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op5_positional_index(spark, sf_dir):
     found = posindex.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

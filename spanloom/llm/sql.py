@@ -55,3 +55,17 @@ SELECT page_id, host, path, rule,
             WHEN host <> '' AND canonical IN (SELECT canonical FROM listed) THEN 'block'
             ELSE 'allow' END AS verdict
 FROM named LEFT JOIN (SELECT page_id, rule, rverdict FROM fits WHERE n = 1) USING (page_id)"""
+
+SQL["op3_token_rollup"] = r"""
+WITH kept AS (SELECT *, coalesce(lang, '') <> 'en' AS foreign_ FROM documents
+              WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+counted AS (
+  SELECT source, lang, CASE WHEN foreign_ THEN 'pieces-1' ELSE 'words-1' END AS tokenizer,
+         CASE WHEN foreign_ THEN len(regexp_extract_all(coalesce(text, ''),
+           '[A-Za-z0-9]+|[^\x00-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]'))
+         ELSE len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) END AS n,
+         length(coalesce(text, '')) AS c
+  FROM kept)
+SELECT source, lang, tokenizer, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens,
+       sum(c)::BIGINT AS n_chars
+FROM counted GROUP BY source, lang, tokenizer"""
