@@ -136,21 +136,29 @@ def windows(item: object, text: str | None, size: int) -> list[tuple[object, tup
     return [(item, tuple(own[i:i + size])) for i in range(max(1, len(own) - size + 1))] if own else []
 
 
-def _occurrences(phrase: Phrase, postings: dict[bytes, np.ndarray], slop: int):
+def _occurrences(phrase: Phrase, postings: dict[bytes, np.ndarray], slop: int,
+                 starts: np.ndarray, lengths: np.ndarray) -> np.ndarray | None:
     """Addresses at which the phrase begins, by its rarest term."""
-    found = None
+    found = low = high = None
     for term, place in zip(phrase.terms, phrase.places):
         at = postings.get(term)
-        if at is None:
+        if at is None or (found is not None and not len(found)):
             return None
         if found is None:
             found = at - place
-        elif len(found):
-            # the term at its place in the phrase, or up to ``slop`` words from it
-            left = np.searchsorted(at, found + (place - slop))
-            found = found[(left < len(at)) & (at[np.minimum(left, len(at) - 1)] <= found + (place + slop))]
-        else:
-            return None
+            if slop:                         # the bounds of the documents that hold the rarest term
+                inside = np.searchsorted(starts, at, "right") - 1
+                low, high = starts[inside], starts[inside] + lengths[inside] - 1
+            continue
+        # the term at its place in the phrase, or up to ``slop`` words from it
+        first = last = found + place
+        if slop:
+            first, last = np.maximum(first - slop, low), np.minimum(last + slop, high)
+        next_ = np.searchsorted(at, first)
+        good = (next_ < len(at)) & (at[np.minimum(next_, len(at) - 1)] <= last)
+        found = found[good]
+        if slop:
+            low, high = low[good], high[good]
     return found
 
 
@@ -164,17 +172,19 @@ def _search(phrases: list[Phrase], slop: int):
                     for t, x in zip(terms, rows.column("addresses")) if t is not None}
         spans: dict[object, list] = {}
         for phrase in phrases:
-            found = _occurrences(phrase, postings, slop)
+            found = _occurrences(phrase, postings, slop, starts, lengths)
             if found is not None and len(found):
                 spans.setdefault(phrase.item, []).append(
-                    np.stack([found - slop, found + phrase.length + slop], 1))
+                    np.stack([found - slop, found + phrase.length + slop, found + phrase.places[0]], 1))
         out = []
         for item, parts in spans.items():
             edges = np.concatenate(parts)
-            edges = edges[np.lexsort((edges[:, 1], edges[:, 0]))]
-            inside = np.searchsorted(starts, edges[:, 0] + slop, "right") - 1
+            # a phrase with ``slop`` may begin or end outside its document; its rarest term does not
+            inside = np.searchsorted(starts, edges[:, 2], "right") - 1
             low = np.maximum(edges[:, 0], starts[inside])
             high = np.minimum(edges[:, 1], starts[inside] + lengths[inside])
+            order = np.lexsort((high, low, inside))
+            inside, low, high = inside[order], low[order], high[order]
             reach = np.maximum.accumulate(high)              # runs of overlapping occurrences
             first = np.r_[True, (low[1:] > reach[:-1]) | (inside[1:] != inside[:-1])]
             last = np.r_[np.nonzero(first)[0][1:] - 1, len(low) - 1]

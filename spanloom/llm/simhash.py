@@ -12,8 +12,9 @@ their other bits meet, so each member is joined to the points of its own ball:
 linear in the members, and no link is lost.
 
 Rows: a null or empty text has the fingerprint zero and is linked like any
-other. Rows with the same id are one document, and so are rows without an id,
-which counts as the largest one; each row gets an answer. Extra columns are not
+other. Rows with the same id are one document, and so are rows that are the first
+of their text but have no id: no id counts as the largest, and a class of such
+rows has a null ``component_id``. Each row gets an answer. Extra columns are not
 read. An empty table gives an empty result.
 """
 

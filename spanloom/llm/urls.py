@@ -120,14 +120,14 @@ def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "ur
         found.select("host", "path", F.lit(None).cast("long").alias("weight"), F.lit(1).alias("listed")))
     best = best.groupBy("host", "path").agg(F.max("weight").alias("_weight"),
                                             F.max("listed").alias("_listed"))
-    at = F.col("_weight").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") + 1
+    at = best["_weight"].bitwiseAND(F.lit((1 << 32) - 1)).cast("int") + 1
     texts = F.array(*[F.lit(r.host + r.path) for r in rules]).cast("array<string>")
     verdicts = F.array(*[F.lit(r.verdict) for r in rules]).cast("array<string>")
-    listed_here = F.coalesce(F.col("_listed") == 1, F.lit(False))
+    listed_here = F.coalesce(best["_listed"] == 1, F.lit(False))
     return named.join(best, ["host", "path"], "left").select(
-        *[F.col(c) for c in named.columns], listed_here.alias("listed"),
-        F.when(F.col("_weight").isNotNull(), F.element_at(texts, at)).alias("rule"),
-        F.when(F.col("_weight").isNotNull(), F.element_at(verdicts, at))
+        *[named[c] for c in named.columns], listed_here.alias("listed"),
+        F.when(best["_weight"].isNotNull(), F.element_at(texts, at)).alias("rule"),
+        F.when(best["_weight"].isNotNull(), F.element_at(verdicts, at))
         .when(listed_here, "block").otherwise("allow").alias("verdict"))
 
 
