@@ -6,9 +6,94 @@ by blanking out the full stops that do not count, alignment compares all pairs.
 
 from __future__ import annotations
 
-from spanloom.functions import rules as R
-from spanloom.functions.sentences import ABBREVIATIONS
-from spanloom.schema import LABEL_TOKENS, LABELS
+# --- fixed values, stated here once more so that a slip in the package shows -----
+VERBS = (
+    "is are was were be been being am have has had do does did may might can could "
+    "will would shall should must need ought "
+    "use uses used using collect collects collected collecting "
+    "share shares shared sharing disclose discloses disclosed disclosing "
+    "sell sells sold selling delete deletes deleted deleting "
+    "store stores stored storing retain retains retained retaining "
+    "process processes processed processing provide provides provided providing "
+    "offer offers offered offering require requires required requiring "
+    "allow allows allowed allowing permit permits permitted "
+    "apply applies applied access accesses accessed "
+    "transfer transfers transferred transferring receive receives received receiving "
+    "obtain obtains obtained obtaining protect protects protected protecting "
+    "safeguard safeguards safeguarded secure secures secured "
+    "maintain maintains maintained maintaining update updates updated updating "
+    "change changes changed changing inform informs informed informing "
+    "notify notifies notified notifying contact contacts contacted contacting "
+    "request requests requested requesting consent consents consented "
+    "object objects objected restrict restricts restricted "
+    "correct corrects corrected erase erases erased "
+    "remove removes removed removing govern governs governed "
+    "control controls controlled limit limits limited "
+    "track tracks tracked log logs logged record records recorded "
+    "publish publishes published post posts posted display displays displayed "
+    "send sends sent sending deliver delivers delivered "
+    "transmit transmits transmitted comply complies complied "
+    "ensure ensures ensured describe describes described "
+    "contain contains contained include includes included "
+    "cover covers covered explain explains explained "
+    "state states stated outline outlines outlined "
+    "summarize summarizes summarized define defines defined "
+    "means refers refer referred relate relates related "
+    "belongs concern concerns concerned represent represents represented "
+    "let lets make makes made take takes taken give gives given look looks "
+    "follow follows followed continue continues continued "
+    "reserve reserves reserved review reviews reviewed "
+    "expect expects expected happen happens happened "
+    "agree agrees agreed accept accepts accepted "
+    "remain remains remained believe believes believed "
+    "understand understands understood know knows known "
+    "note notes noted assume assumes assumed assure assures assured "
+).split()
+UI_LABELS = (
+    "login", "log in", "sign in", "sign up", "register", "contact us", "about us",
+    "home", "menu", "search", "faq", "help", "get started", "free trial",
+    "pricing", "privacy policy", "terms", "terms of use", "terms & conditions",
+    "terms and conditions", "cookie policy", "sitemap", "language", "english",
+    "español", "espanol", "more", "learn more", "read more", "accept", "agree",
+    "decline", "ok", "okay", "close", "submit", "cancel", "back", "next",
+    "continue", "shop", "cart", "account", "my account", "support", "download",
+    "subscribe", "unsubscribe", "newsletter", "all rights reserved", "back to top",
+)
+MODALS = (
+    "am is are was were have has had do does did may might must can could will would "
+    "shall should need ought cannot can't won't don't doesn't didn't isn't aren't "
+    "wasn't weren't haven't hasn't hadn't shouldn't couldn't wouldn't mustn't needn't"
+).split()
+PRONOUNS = "we you they i it".split()
+DETERMINERS = "the this these those our your their its his her a an".split()
+SUBORDINATORS = (
+    "when if although because unless while after before since whereas whether as "
+    "though until provided"
+).split()
+TRAILING = " .!?;:”“\"'）)]»"
+ABBREVIATIONS = (
+    "mr mrs ms miss dr prof rev capt col gen lt sgt gov sen rep dept est inc ltd "
+    "corp co jr sr etc vs no nos fig vol st mt ft sec min hrs approx esq univ "
+    "calif ave blvd ct rd am pm jan feb mar apr jun jul aug sep sept oct nov dec "
+    "mon tue wed thu fri sat sun"
+).split()
+LABEL_TOKENS = {
+    "Categories of Personal Information Collected": "CATEGORIES_OF_PERSONAL_INFORMATION_COLLECTED",
+    "Categories of Personal Information Shared / Disclosed": "CATEGORIES_OF_PERSONAL_INFORMATION_SHARED_OR_DISCLOSED",
+    "Categories of Personal Information Sold": "CATEGORIES_OF_PERSONAL_INFORMATION_SOLD",
+    "Description of Right to Correct Information": "DESCRIPTION_OF_RIGHT_TO_CORRECT_INFORMATION",
+    "Description of Right to Delete": "DESCRIPTION_OF_RIGHT_TO_DELETE",
+    "Description of Right to Know PI Collected": "DESCRIPTION_OF_RIGHT_TO_KNOW_PI_COLLECTED",
+    "Description of Right to Know PI sold / shared": "DESCRIPTION_OF_RIGHT_TO_KNOW_PI_SOLD_OR_SHARED",
+    "Description of Right to Limit use of PI": "DESCRIPTION_OF_RIGHT_TO_LIMIT_USE_OF_PI",
+    "Description of Right to Non-discrimination on exercising rights": "DESCRIPTION_OF_RIGHT_TO_NON_DISCRIMINATION",
+    "Description of Right to Opt-out of sale of PI": "DESCRIPTION_OF_RIGHT_TO_OPT_OUT_OF_SALE_OF_PI",
+    "Methods to exercise rights": "METHODS_TO_EXERCISE_RIGHTS",
+    "Others": "OTHERS",
+    "Updated Privacy Policy": "UPDATED_PRIVACY_POLICY",
+}
+LABELS = tuple(LABEL_TOKENS)
+# --- end of fixed values ----------------------------------------------------
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NWS = "[^" + WS[1:]
@@ -76,13 +161,13 @@ def rx(pattern: str, opts: str = "") -> str:
 URL = rf"^(?:(?:https?://|www\.|(?:[a-z0-9-]+\.)+[a-z]{{2,}})(?:/{NWS}*)?)$"
 EMAIL = rf"^[\pL\pN_.+-]+@[\pL\pN_.-]+\.[a-z]{{2,}}$"
 SIGNAL = "(" + " or ".join([
-    rx(B + alt(R.MODALS) + E, "i"),
-    rx(B + alt(R.PRONOUNS) + WS + "+[a-z]+" + E, "i"),
+    rx(B + alt(MODALS) + E, "i"),
+    rx(B + alt(PRONOUNS) + WS + "+[a-z]+" + E, "i"),
     rx(B + "please" + WS + "+[a-z]+" + E, "i"),
-    rx(B + W + "+(s|ed)" + WS + f"+({alt(R.DETERMINERS)}|{W}+ly)" + E, "i")]) + ")"
-PROBE = f"list_has_any(string_split(lower(t), ' '), [{', '.join(lit(v) for v in R.VERBS)}])"
+    rx(B + W + "+(s|ed)" + WS + f"+({alt(DETERMINERS)}|{W}+ly)" + E, "i")]) + ")"
+PROBE = f"list_has_any(string_split(lower(t), ' '), [{', '.join(lit(v) for v in VERBS)}])"
 TERMINAL = rx("[.!?][”\"'）)]*$")
-LAST = f"list_last(string_split(rtrim(t, {lit(R.TRAILING)}), ' '))"
+LAST = f"list_last(string_split(rtrim(t, {lit(TRAILING)}), ' '))"
 N = "len(list_filter(string_split(t, ' '), lambda w: w <> ''))"
 
 FRAGMENT_TYPE = f"""case
@@ -90,7 +175,7 @@ FRAGMENT_TYPE = f"""case
  when {rx(EMAIL, 'i')} then 'email'
  when {rx(URL, 'i')} then 'url'
  when {rx(rf'^(©|copyright($|{NW})).*([0-9]{{4}}|all rights reserved)', 'i')} then 'copyright'
- when lower(t) in ({', '.join(lit(x) for x in R.UI_LABELS)}) then case when n <= 3 then 'nav' else 'button' end
+ when lower(t) in ({', '.join(lit(x) for x in UI_LABELS)}) then case when n <= 3 then 'nav' else 'button' end
  when block_kind = 'heading' then 'heading'
  when {rx(f';({WS}+(and|or))?$')} then 'list_item'
  when right(t, 1) = ':' then 'lead_in'
@@ -98,7 +183,7 @@ FRAGMENT_TYPE = f"""case
  when n <= 10 and {rx(rf'^[A-Z0-9{WS[1:-1]}/&.{chr(39)}’%-]{{2,}}$')} then 'heading'
  when n <= 4 and {TERMINAL} and not probe and regexp_matches(t, '^\\p{{Lu}}') then 'heading'
  when n <= 3 and not {TERMINAL} then 'short'
- when not contains(t, ',') and {rx('^' + alt(R.SUBORDINATORS) + E, 'i')} then 'other'
+ when not contains(t, ',') and {rx('^' + alt(SUBORDINATORS) + E, 'i')} then 'other'
  when n >= 4 and (regexp_matches({LAST}, {lit(URL)}, 'i') or regexp_matches({LAST}, {lit(EMAIL)}, 'i')) then null
  when n <= 8 and not {TERMINAL} and not probe and not {SIGNAL} then 'heading'
  when n >= 4 and (probe or {SIGNAL}) then null

@@ -58,11 +58,19 @@ def test_full_url_switch(spark):
     assert U.units_from_blocks(docs, full_urls=True).first().unit_kind == "sentence"
 
 
-def test_verb_forms():
-    for w in ("applies", "permitted", "transferring", "using", "published", "agreed", "noted"):
-        assert w in VERBS
-    for w in ("corrects", "reserved", "permitting", "perform", "took"):
-        assert w not in VERBS
+def test_verb_forms(spark):
+    import oracle
+    assert len(set(VERBS)) == 297 and set(VERBS) == set(oracle.VERBS)
+    assert {"corrects", "represented", "reserved", "applies", "means"} <= set(VERBS)
+    assert not {"permitting", "perform", "took"} & set(VERBS)
+    texts = ["Legal counsel represented several other parties there yesterday afternoon",
+             "This corrects several other errors there yesterday afternoon",
+             "Seats reserved several other parties there yesterday afternoon",
+             "Legal counsel for several other parties there yesterday afternoon"]
+    docs = spark.createDataFrame([(f"d{i}", "x", [("prose", t)]) for i, t in enumerate(texts)],
+                                 "doc_id string, subset string, blocks array<struct<kind:string,text:string>>")
+    kinds = {r.doc_id: r.unit_kind for r in U.units_from_blocks(docs).collect()}
+    assert kinds == {"d0": "sentence", "d1": "sentence", "d2": "sentence", "d3": "fragment"}
 
 
 def body(inner):
