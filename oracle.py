@@ -409,10 +409,10 @@ walk as (
   from walk w join base b on b.doc_id = w.doc_id and b.i = w.i + 1)"""
 
 
-def line_rows(*labels: str) -> str:
+def line_rows(*labels: str, pct: float = 34.0) -> str:
     return f"""select l_orderkey as doc_id, l_linenumber as position, l_partkey, [{', '.join(labels)}] as labels,
   row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as i,
-  greatest(1, ceil(count(*) over (partition by l_orderkey) * 34.0 / 100.0)) as m from lineitem"""
+  greatest(1, ceil(count(*) over (partition by l_orderkey) * {pct} / 100.0)) as m from lineitem"""
 
 
 EXPORTED = f"""
@@ -448,6 +448,11 @@ tot as (select count(*) filter (unit_kind = 'sentence') as all_s,
 
 TITLE = "trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g'))"
 
+LINE_COLUMNS = (
+    [f"{c}::varchar" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
+    + [f"round({c} * 100)::bigint::varchar" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    + ["l_returnflag", "l_linestatus", "strftime(l_shipdate, '%Y-%m-%d')"])
+
 SQL: dict[str, str] = {
     "page_titles": f"select page_id, {TITLE} as title from pages",
     "unit_split": with_units("select doc_id, position, block_seq, unit_text from units"),
@@ -528,7 +533,7 @@ from v join p using (user_id) group by all""",
     "units_filter_threshold": unit_filter(f"{DEFINED} and unit_id in {gate(1)}", 2),
     "sample_view_single_multi": unit_filter(f"({SINGLE} or {MULTI}) and unit_id in {gate(1)}"),
     "sample_view_null": unit_filter(NULL),
-    "sample_view_null_blocked": unit_filter("false"),
+    "sample_view_null_single_ms3": unit_filter(f"{SINGLE} and unit_id in {gate(3)}"),
     "sample_view_fragments": unit_filter("unit_kind = 'fragment'"),
     "sample_view_mixed": unit_filter(f"({MULTI} and unit_id in {gate(1)}) or {NULL} or unit_kind = 'fragment'"),
     "sample_view_exact": unit_filter(f"({SINGLE} or {MULTI}) and unit_id in {gate(2, 'exact')}"),
@@ -650,7 +655,6 @@ select * from (select 'documents' as entity, doc_id as key, link as detail from
 union all select * from (select 'provisions', label, count(*)::varchar from annotations where {FLD.format('label')} like '%ing%' group by label order by count(*) desc, label limit 5)
 union all select * from (select 'annotators', ranumb, count(*)::varchar from annotations where ranumb like '%ing%' group by ranumb order by ranumb limit 5)
 union all select * from (select 'units', unit_id, unit_text from text_units where {FLD.format('unit_text')} like '%ing%' order by doc_id, position limit 6)"""),
-    "search_short": "select '' as entity, '' as key, '' as detail where false",
     "match_terms": with_units("select term, unit_id from units, (values ('privacy'), ('the and'), ('ing the'), ('Und der')) v(term) where "
         f"contains({FLD.format('unit_text')}, {FLD.format('term')})"),
     "tokenize_labels": with_spans(
@@ -659,6 +663,8 @@ union all select * from (select 'units', unit_id, unit_text from text_units wher
         "qualify row_number() over (partition by doc_id, labels[1] order by i) <= m",
     "cap_multi": f"with recursive {capped(line_rows('l_returnflag', 'l_linestatus'), 34)}\n"
         "select doc_id, position, l_partkey, array_to_string(labels, ';') as label from base join walk using (doc_id, i) where kept",
+    "cap_repeated_tokens": f"with recursive {capped(line_rows('l_returnflag', 'l_linestatus', 'l_linestatus', pct=60.0), 60)}\n"
+        "select doc_id, position, l_partkey from base join walk using (doc_id, i) where kept",
     "cap_units": recursive(with_tables("select unit_id from base join walk using (doc_id, i) where kept",
                                        EXPORTED + "," + capped_units("true", 5))),
     "split_plain": "with " + fill("select l_orderkey as doc_id, '' as bin, count(*) as n from lineitem group by 1", 70, 15, 15, 42)
@@ -701,7 +707,38 @@ left join (select unit_id, {TOKEN_CASE} as token, k, pool, stars from support) s
     "text_overlap": with_tables("""
 select count(*) as overlapping_texts_count from (
  select trim(unit_text) from text_units join assigned using (doc_id) where trim(unit_text) <> '' group by 1 having count(distinct split) > 1)""", SPLIT_UNITS),
-    "split_leaks": "select 'one split per document' as rule, 0::bigint as violations",
+    "split_leaks": with_tables("""
+select 'one split per document' as rule, count(*) as violations from (
+ select doc_id from text_units join assigned using (doc_id) group by doc_id having count(distinct split) > 1)""", SPLIT_UNITS),
+    "split_leaks_damaged": with_tables("""
+select 'one split per document' as rule, count(*) as violations from (
+ select doc_id from text_units join assigned using (doc_id) group by doc_id
+ having count(distinct case when position = 2 then 'test' else split end) > 1)""", SPLIT_UNITS),
+    "export_csv": with_tables("""
+select unit_id as id, doc_id, unit_text as text, array_to_string(tokens, '; ') as label,
+ array_to_string(names, '; ') as label_name, split, true as same from rows_x join assigned using (doc_id)""", SPLIT_UNITS),
+    "export_json": with_tables("""
+select split, unit_id as id, subset, array_to_string(tokens, '|') as label,
+ array_to_string(names, '|') as label_name from rows_x join assigned using (doc_id)""", SPLIT_UNITS),
+    "export_meta": with_tables("""
+select count(*) as total, count(*) as original_total, 0::bigint as capped_units_removed, """
+        + ", ".join(f"count(*) filter (split = '{s}') as {s}" for s in ("train", "eval", "test")) + """,
+ (select count(*) from (select trim(unit_text) from text_units join assigned using (doc_id) where trim(unit_text) <> ''
+   group by 1 having count(distinct split) > 1)) as overlapping_texts_count,
+ count(*) filter (label_category = 'unlabeled') as unlabeled_count
+from rows_x join assigned using (doc_id)""", SPLIT_UNITS),
+    "preview_report": recursive(with_tables("""
+select true as valid, count(*) as total, (select count(*) from base) - count(*) as removed, """
+        + ", ".join(f"count(*) filter (split = '{s}') as {s}" for s in ("train", "eval", "test")) + """,
+ (select count(*) from (select trim(unit_text) from kept join assigned using (doc_id) where trim(unit_text) <> ''
+   group by 1 having count(distinct split) > 1)) as overlap,
+ (count(*) filter (split = 'train') = 0)::int + (count(*) filter (split = 'eval') = 0)::int
+ + (count(*) filter (split = 'test') = 0)::int + ((select count(*) from (
+   select trim(unit_text) from kept join assigned using (doc_id) where trim(unit_text) <> ''
+   group by 1 having count(distinct split) > 1)) > 0)::int::bigint as warnings
+from kept join assigned using (doc_id)""", EXPORTED + "," + capped_units("subset = 'fr'", 20)
+        + ",\nkept as materialized (select t.* from text_units t join base b using (unit_id) join walk w on w.doc_id = b.doc_id and w.i = b.i and w.kept),"
+        + fill(bins("kept"), 70, 15, 15, 42))),
     "corpus_slice": with_tables("""
 select 'documents' as "table", count(*) as n from keep union all select 'annotations', count(*) from annotations semi join keep using (doc_id)
 union all select 'text_units', count(*) from text_units semi join keep using (doc_id)
@@ -712,12 +749,14 @@ union all select 'alignment', count(*) from alignment semi join keep using (doc_
 select 'documents' as "table", count(*) as n from docs union all select 'annotations', count(*) from annotations
 union all select 'text_units', count(*) from text_units union all select 'unit_labels', count(*) from unit_labels
 union all select 'alignment', count(*) from alignment"""),
-    "fingerprint": """
+    "fingerprint": f"""
 select count(*) as n, bit_xor(h) as xor_hash, sum(h::hugeint)::varchar as sum_hash from (
- select ('0x' || left(md5(concat_ws(chr(31), l_orderkey::varchar, l_partkey::varchar, l_suppkey::varchar, l_linenumber::varchar, l_returnflag, l_linestatus)), 15))::bigint as h from lineitem)""",
+ select ('0x' || left(md5(concat_ws(chr(31), {', '.join(LINE_COLUMNS)})), 15))::bigint as h from lineitem)""",
     "unit_fingerprint": with_tables("""
 select count(*) as n, bit_xor(h) as xor_hash, sum(h::hugeint)::varchar as sum_hash from (
- select ('0x' || left(md5(concat_ws(chr(31), unit_id, unit_text, label_category)), 15))::bigint as h from text_units)"""),
+ select ('0x' || left(md5(concat_ws(chr(31), unit_id, doc_id, subset, position::varchar, block_seq::varchar, block_kind, unit_text, unit_kind,
+ coalesce(fragment_type, chr(0)), label_category, annotator_count::varchar, source_annotation_count::varchar, coalesce(alignment_types, chr(0)),
+ array_to_string(labels, ';'), coalesce(annotators, ''))), 15))::bigint as h from text_units)"""),
 }
 for _mode in ("at_least", "exact"):
     for _tier in (1, 2, 3):
@@ -766,7 +805,52 @@ RULES = (
     "domain annotations.status", "domain text_units.unit_kind", "domain text_units.block_kind",
     "domain text_units.fragment_type", "domain text_units.label_category", "domain alignment.alignment_type",
     "not null documents", "not null annotations", "not null text_units", "not null unit_labels", "not null alignment")
-SQL["integrity"] = " union all ".join(f"select {lit(r)} as rule, 0::bigint as violations" for r in RULES)
+
+
+def integrity(docs="docs", annotations="annotations", units="text_units", labels="unit_labels",
+              alignment="alignment", subsets=("en", "de", "fr", "es")) -> str:
+    """Violations of every rule, counted in the given tables."""
+    frags = ("phone", "email", "url", "nav", "button", "copyright", "heading", "list_item", "lead_in", "short", "other")
+
+    def twice(table, key):
+        return f"(select count(*) from (select 1 from {table} group by {key} having count(*) > 1))"
+
+    def lost(table, key, target):
+        return f"(select count(*) from {table} x where not exists (select 1 from {target} y where y.{key} = x.{key}))"
+
+    def outside(table, column, values, nullable=False):
+        given = f"{column} not in ({', '.join(lit(v) for v in values)})"
+        return f"(select count(*) from {table} where {given if nullable else f'coalesce({given}, true)'})"
+
+    def missing(table, columns):
+        return f"(select count(*) from {table} where {' or '.join(c + ' is null' for c in columns.split())})"
+
+    counted = [
+        twice(docs, "doc_id"), twice(docs, "subset, num"), twice(annotations, "annotation_id"),
+        twice(annotations, "doc_id, src_row"), twice(units, "unit_id"), twice(units, "doc_id, position"),
+        twice(labels, "unit_id, label"), twice(alignment, "unit_id, annotation_id"),
+        lost(annotations, "doc_id", docs), lost(units, "doc_id", docs), lost(labels, "unit_id", units),
+        lost(alignment, "unit_id", units), lost(alignment, "annotation_id", annotations),
+        outside(docs, "subset", subsets), outside(annotations, "status", ("aligned", "unmatched", "ambiguous")),
+        outside(units, "unit_kind", ("sentence", "fragment")), outside(units, "block_kind", ("prose", "heading", "list")),
+        outside(units, "fragment_type", frags, True),
+        outside(units, "label_category", ("single_label", "multi_label", "unlabeled", "not-eligible")),
+        outside(alignment, "alignment_type", ("annotation_in_sentence", "sentence_in_annotation_paragraph", "partial_overlap")),
+        missing(docs, "doc_id subset num"), missing(annotations, "annotation_id doc_id ranumb text label status src_row"),
+        missing(units, "unit_id doc_id subset position block_seq block_kind unit_text unit_kind label_category annotator_count source_annotation_count"),
+        missing(labels, "unit_id label doc_id"), missing(alignment, "unit_id annotation_id alignment_type doc_id label ranumb unit_kind")]
+    return " union all ".join(f"select {lit(r)} as rule, {n} as violations" for r, n in zip(RULES, counted))
+
+
+SQL["integrity"] = with_tables(integrity())
+SQL["integrity_damaged"] = with_tables(
+    integrity(units="bad_units", labels="bad_labels", annotations="bad_annotations", alignment="bad_alignment",
+              subsets=("en", "de", "fr")), """,
+bad_units as materialized (select * replace (case when position = 1 then 'odd' else unit_kind end as unit_kind,
+  case when position = 3 then 'nowhere' else doc_id end as doc_id) from text_units),
+bad_labels as materialized (select * from unit_labels union all select * from unit_labels where label = 'Others'),
+bad_annotations as materialized (select * replace (case when ranumb <> 'ra3' then label end as label) from annotations),
+bad_alignment as materialized (select * replace (case when ranumb = 'ra1' then 'nowhere_U1' else unit_id end as unit_id) from alignment)""".lstrip(","))
 
 COUNTS = {
     "aligned": "(select count(*) from annotations where status = 'aligned')",

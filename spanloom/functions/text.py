@@ -130,3 +130,8 @@ def normalize(c: Column) -> Column:
 def tokens(norm: Column) -> Column:
     """Distinct tokens of a normalised text."""
     return F.array_distinct(words(norm))
+
+
+def text_key(t: Column) -> list[Column]:
+    """Two independent 64-bit hashes that stand for a text where equal ones are counted."""
+    return [F.xxhash64(t).alias("_h1"), F.xxhash64(F.lit("second"), t).alias("_h2")]

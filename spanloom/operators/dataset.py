@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
+from typing import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spanloom.functions.text import strip
+from spanloom.functions.text import strip, text_key
 from spanloom.operators.prefix import hash_bucket, hash_order, running_total
 from spanloom.schema import LABEL_TOKENS
 from spanloom.session import write_and_read
@@ -18,7 +21,6 @@ UNLABELED_BIN = "__unlabeled__"
 # --- end of fixed values ----------------------------------------------------
 
 BUCKET_ROWS = 1 << 16     # rows of one document handled by one task
-FOLD_ROWS = 1 << 13       # documents up to this size are folded in one row
 
 
 def label_token(label: Column) -> Column:
@@ -47,105 +49,54 @@ def cap_limits(rows: DataFrame, pct: float, doc: str = "doc_id", labels: str = "
 
 def cap_labels(rows: DataFrame, pct: float, order: list[str], doc: str = "doc_id",
                labels: str = "labels", bucket: Column | None = None,
-               fold_rows: int = FOLD_ROWS, written: bool = False) -> DataFrame:
+               row_id: str | None = None) -> DataFrame:
     """Keep at most ``pct`` percent of a document's rows per label.
 
     Rows are taken in ``order``; a row is dropped when any of its labels is used
-    up, and only kept rows use labels up. ``bucket`` cuts a document into
-    ordered parts (default: ``position`` ranges). Rows are read several times, so
-    they are written first unless they come from a table (``written``).
+    up, and only kept rows use labels up, each occurrence once. ``bucket`` cuts a
+    document into ordered parts (default: ``position`` ranges). ``row_id`` names a
+    unique column of rows that come from a table; without one, the rows are
+    written with such a column first, as they are read several times.
     """
     if pct <= 0:
         return rows
-    if not written:
-        rows = write_and_read(rows, "cap_input")
-    limits = cap_limits(rows, pct, doc, labels)
+    columns = rows.columns
+    if row_id is None:
+        row_id = "_row"
+        rows = write_and_read(rows.withColumn(row_id, F.monotonically_increasing_id()), "cap_input")
     bucket = F.floor(F.col("position") / BUCKET_ROWS) if bucket is None else bucket
-    sized = rows.join(limits, doc)
+    names = F.when(F.size(labels) == 0, F.array(F.lit(UNLABELED))).otherwise(F.col(labels))
+    # order, ids and labels only: the rows themselves stay in their table
+    keys = rows.select(doc, row_id, names.alias("_names"), bucket.alias("_bucket"), *[
+        F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    sized = keys.join(cap_limits(rows, pct, doc, labels), doc)
+    places = [F.col(f"_o{i}") for i in range(len(order))] + [F.col(row_id)]
 
     # One label per row: labels do not interact, the rank decides.
-    simple = (sized.where("_most <= 1")
-              .withColumn("_label", F.coalesce(F.get(labels, F.lit(0)), F.lit(UNLABELED))))
-    ranked = running_total(simple, [doc, "_label"], bucket, [F.col(c) for c in order],
-                           F.lit(1), "_rank")
-    kept = ranked.where("_rank <= _limit").select(*rows.columns)
-
-    # Several labels per row: in documents that fit one row, a fold over them.
-    joint = sized.where("_most > 1")
-    kept = kept.unionByName(_cap_by_fold(joint.where(F.col("_rows") <= fold_rows), order, doc,
-                                         labels, rows.columns))
-    large = limits.where((F.col("_most") > 1) & (F.col("_rows") > fold_rows))
-    if not large.isEmpty():
-        big = joint.where(F.col("_rows") > fold_rows).withColumn("_bucket", bucket)
-        kept = kept.unionByName(_cap_by_events(big, order, doc, labels, rows.columns))
-    return kept
-
-
-def _cap_by_fold(rows: DataFrame, order: list[str], doc: str, labels: str,
-                 columns: list[str]) -> DataFrame:
-    def names(x: Column) -> Column:
-        return F.when(F.size(x["l"]) == 0, F.array(F.lit(UNLABELED))).otherwise(x["l"])
-
-    row = F.struct(F.struct(*order).alias("o"), F.col(labels).alias("l"),
-                   F.struct(*columns).alias("r"))
-    groups = (rows.groupBy(doc).agg(F.array_sort(F.collect_list(row)).alias("a"),
-                                    F.first("_limit").alias("m"))
-              .withColumn("known", F.array_distinct(F.flatten(F.transform("a", names)))))
-    # State: rows used per known label, places of the kept rows, current place.
-    start = F.struct(F.transform("known", lambda _: F.lit(0)).alias("used"),
-                     F.array().cast("array<int>").alias("kept"), F.lit(0).alias("i"))
-
-    def step(s: Column, x: Column) -> Column:
-        holds = F.transform("known", lambda n: F.array_contains(names(x), n))
-        full = F.exists(F.zip_with(holds, s["used"], lambda h, u: h & (u >= F.col("m"))),
-                        lambda over: over)
-        counted = F.zip_with(holds, s["used"], lambda h, u: u + h.cast("int"))
-        return F.struct(F.when(full, s["used"]).otherwise(counted).alias("used"),
-                        F.when(full, s["kept"]).otherwise(F.array_append(s["kept"], s["i"])).alias("kept"),
-                        (s["i"] + 1).alias("i"))
-
-    folded = groups.select("a", F.aggregate("a", start, step).alias("s"))
-    return (folded.select("a", F.explode("s.kept").alias("i"))
-            .select(F.get("a", F.col("i"))["r"].alias("r")).select("r.*"))
-
-
-def _cap_by_events(rows: DataFrame, order: list[str], doc: str, labels: str,
-                   columns: list[str]) -> DataFrame:
-    """Cap of documents too large for one task.
-
-    Between two moments at which a label runs out, a row is kept exactly when it
-    holds no used-up label. So the next such moment is found with distributed
-    ranks, the labels reached there are closed, and the search repeats: one
-    round per used-up label, never a pass over a document in one task.
-    """
-    at = F.struct(*[F.col(c) for c in order])
-    rows = write_and_read(rows.withColumns({"_at": at, "_names": F.when(
-        F.size(labels) == 0, F.array(F.lit(UNLABELED))).otherwise(F.col(labels))}), "cap_rows")
-    closed = None
-    while True:
-        open_rows = rows if closed is None else _still_open(rows, closed, doc)
-        entries = open_rows.select(doc, "_bucket", "_at", "_limit",
-                                   F.explode("_names").alias("_label"), *order)
-        if closed is not None:
-            entries = entries.join(closed.select(doc, "_label"), [doc, "_label"], "left_anti")
-        ranked = running_total(entries, [doc, "_label"], F.col("_bucket"),
-                               [F.col(c) for c in order], F.lit(1), "_rank")
-        reached = ranked.where("_rank = _limit").select(doc, "_label", "_at")
-        first = reached.groupBy(doc).agg(F.min("_at").alias("_first"))
-        newly = reached.join(first, doc).where("_at = _first").select(
-            doc, "_label", F.col("_at").alias("_end"))
-        newly = write_and_read(newly, "cap_closed")
-        if newly.isEmpty():
-            return open_rows.select(*columns)
-        closed = newly if closed is None else closed.unionByName(newly)
-
-
-def _still_open(rows: DataFrame, closed: DataFrame, doc: str) -> DataFrame:
-    """Rows without a label that ended before them (labels of a document: few)."""
-    ends = closed.groupBy(doc).agg(F.collect_list(F.struct("_label", "_end")).alias("_ends"))
-    over = F.exists("_ends", lambda e: F.array_contains(F.col("_names"), e["_label"])
-                    & (e["_end"] < F.col("_at")))
-    return rows.join(ends, doc, "left").where(~F.coalesce(over, F.lit(False))).drop("_ends")
+    simple = sized.where("_most <= 1").withColumn("_label", F.get("_names", F.lit(0)))
+    ranked = running_total(simple, [doc, "_label"], F.col("_bucket"), places, F.lit(1), "_rank")
+    kept = ranked.where("_rank <= _limit").select(row_id)
+
+    # Several labels per row: documents pass by in order, with counts of one at a time.
+    joint = sized.where("_most > 1").select(doc, row_id, "_names", "_limit", *places[:-1])
+    passed = joint.repartition(doc).sortWithinPartitions(doc, *places).select(
+        doc, row_id, "_names", "_limit").mapInArrow(_pass_by, joint.select(row_id).schema)
+    return rows.join(kept.unionByName(passed), row_id, "left_semi").select(*columns)
+
+
+def _pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of the rows that are kept; rows come document by document, in order."""
+    current, used = object(), Counter()
+    for batch in batches:
+        docs, _, names, limits = (c.to_pylist() for c in batch.columns)
+        keep = []
+        for doc, own, limit in zip(docs, names, limits):
+            if doc != current:
+                current, used = doc, Counter()
+            keep.append(all(used[n] < limit for n in own))
+            if keep[-1]:
+                used.update(own)
+        yield batch.select([batch.schema.names[1]]).filter(pa.array(keep, pa.bool_()))
 
 
 # ---- splits ----------------------------------------------------------------
@@ -297,10 +248,16 @@ def label_histogram(rows: DataFrame, tokens: str = "label") -> DataFrame:
 
 
 def text_overlap(rows: DataFrame, text: str = "text", split: str = "split") -> DataFrame:
-    """Number of distinct texts that occur in more than one split."""
-    per_text = rows.select(strip(F.col(text)).alias("_t"), split).where("_t <> ''").groupBy("_t").agg(
-        F.min(split).alias("a"), F.max(split).alias("b"))
-    return per_text.agg(F.count_if(F.col("a") != F.col("b")).alias("overlapping_texts_count"))
+    """Number of distinct texts that occur in more than one split.
+
+    Texts are told apart by two 64-bit hashes, and splits are bits: short rows are
+    shuffled, and the aggregate keeps numbers only.
+    """
+    bits = reduce(lambda c, i: c.when(F.col(split) == SPLITS[i], 1 << i), range(len(SPLITS)), F)
+    own = strip(F.col(text))
+    per_text = (rows.select(own.alias("_t"), bits.otherwise(0).alias("_bit")).where("_t <> ''")
+                .select(*text_key(F.col("_t")), "_bit").groupBy("_h1", "_h2").agg(F.bit_or("_bit").alias("_bits")))
+    return per_text.agg(F.count_if(F.bit_count("_bits") > 1).alias("overlapping_texts_count"))
 
 
 def split_counts(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spanloom.functions.text import text_key
 from spanloom.operators.filters import of_annotators
 from spanloom.operators.views import corpus_support
 from spanloom.plans.corpus import Corpus
@@ -31,7 +32,8 @@ def unit_counts(text_units: DataFrame) -> DataFrame:
         "defined_samples": sentence & category.isin(*DEFINED),
         "high_confidence_single": (category == "single_label") & (F.col("annotator_count") >= 2),
     }
-    per_text = text_units.groupBy("unit_text").agg(
+    per_text = text_units.withColumns({c: h for c, h in zip(
+        ("_h1", "_h2"), text_key(F.col("unit_text")))}).groupBy("_h1", "_h2").agg(
         F.count("*").alias("units"), *[F.count_if(c).alias(n) for n, c in cases.items()])
     unique = {f"unique_{n}": n for n in cases if n != "high_confidence_single"}
     plain = [n for n in cases if n != "defined_samples"]
@@ -43,7 +45,8 @@ def unit_counts(text_units: DataFrame) -> DataFrame:
 def span_counts(annotations: DataFrame, annotators: str | None = None) -> DataFrame:
     """Span counts by status and distinct span texts in one row."""
     statuses = ("aligned", "unmatched", "ambiguous")
-    per_text = of_annotators(annotations, annotators).groupBy("text").agg(
+    per_text = of_annotators(annotations, annotators).select("status", *text_key(F.col("text"))) \
+        .groupBy("_h1", "_h2").agg(
         F.count("*").alias("annotations"),
         *[F.count_if(F.col("status") == s).alias(s) for s in statuses])
     return per_text.agg(
@@ -119,8 +122,8 @@ def star_histogram(corpus: Corpus, threshold: int | None = 1) -> DataFrame:
     """Units and distinct texts per category and best agreement tier."""
     best = corpus_support(corpus, threshold).groupBy("unit_id").agg(F.max("stars").alias("stars"))
     units = corpus.text_units.where(F.col("label_category").isin(*DEFINED)).select(
-        "unit_id", "label_category", "unit_text")
-    per_text = units.join(best, "unit_id").groupBy("label_category", "stars", "unit_text").agg(
+        "unit_id", "label_category", *text_key(F.col("unit_text")))
+    per_text = units.join(best, "unit_id").groupBy("label_category", "stars", "_h1", "_h2").agg(
         F.count("*").alias("n"))
     return per_text.groupBy("label_category", "stars").agg(
         _sum_long(F.col("n")).alias("units"), F.count("*").alias("texts"))

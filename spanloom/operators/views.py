@@ -18,8 +18,8 @@ def joined(values: Column) -> Column:
 
 def page(df: DataFrame, order: list, limit: int | None, offset: int = 0) -> DataFrame:
     """Ordered rows; with a limit a top-k instead of a full sort."""
-    df = df.orderBy(*order)
-    return df if limit is None else df.offset(offset).limit(limit)
+    df = df.orderBy(*order).offset(offset)
+    return df if limit is None else df.limit(limit)
 
 
 def verbatim_label() -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import uuid
+from dataclasses import replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -282,7 +284,7 @@ unit_query("units_filter_exclude_labels", UnitFilter(exclude_labels=TWO_LABELS))
 unit_query("units_filter_threshold", UnitFilter(evidence_threshold=2))
 unit_query("sample_view_single_multi", UnitFilter(sample_view="single,multi"))
 unit_query("sample_view_null", UnitFilter(sample_view="null"))
-unit_query("sample_view_null_blocked", UnitFilter(sample_view="null", min_support=3))
+unit_query("sample_view_null_single_ms3", UnitFilter(sample_view="null,single", min_support=3))
 unit_query("sample_view_fragments", UnitFilter(sample_view="fragments"))
 unit_query("sample_view_mixed", UnitFilter(sample_view="multi,fragments,null"))
 unit_query("sample_view_exact", UnitFilter(sample_view="single,multi", min_support=2, support_mode="exact"))
@@ -503,11 +505,6 @@ def search_all(c):
     return Q.search_all(c, " ing ")
 
 
-@corpus_query
-def search_short(c):
-    return Q.search_all(c, " a ")
-
-
 @corpus_query
 def match_terms(c):
     return Q.match_terms(c.text_units, ["privacy", "the and", "ing the", "Und der"])
@@ -545,6 +542,13 @@ def cap_multi(spark, sf_dir):
         "doc_id", "position", "l_partkey", F.array_join("labels", ";").alias("label"))
 
 
+@query
+def cap_repeated_tokens(spark, sf_dir):
+    """Labels that share a token count once for each of them."""
+    rows = order_lines(spark, sf_dir, "l_returnflag", "l_linestatus", "l_linestatus")
+    return D.cap_labels(rows, 60.0, LINE_ORDER).select("doc_id", "position", "l_partkey")
+
+
 @corpus_query
 def cap_units(c):
     rows = X.export_rows(c, UnitFilter(), X.ExportOptions())
@@ -606,7 +610,50 @@ def split_counts(c):
 def export_rows(c):
     rows = X.export_rows(c, UnitFilter(sample_view="single,multi"), X.ExportOptions(exclude_other=True))
     return X.shaped(rows.withColumn("split", F.lit("data")), X.ExportOptions(
-        fields="id,group,text,label,label_name,support_stars,support_evidence,alignment_types"))
+        fields="id,group,text,label,label_name,support_stars,support_evidence,alignment_types,split")).drop("part")
+
+
+def exported(c, fmt: str, schema: str, **options):
+    """Write an export below the shared folder; its files and its metadata, read back."""
+    path = f"{shared_dir(c.documents.sparkSession)}/export-{uuid.uuid4().hex}"
+    X.export(c, path, UnitFilter(), X.ExportOptions(format=fmt, train=70, eval=15, test=15, **options))
+    reader = c.documents.sparkSession.read.schema(schema)
+    data = reader.json(f"{path}/data") if fmt == "json" else reader.option("header", True).option(
+        "enforceSchema", False).option("escape", '"').csv(f"{path}/data")
+    return data, c.documents.sparkSession.read.json(f"{path}/meta")
+
+
+@corpus_query
+def export_csv(c):
+    rows, _ = exported(c, "csv", "id string, doc_id string, text string, label string, label_name string, "
+                                 "split string, part string")
+    return rows.withColumn("same", F.col("split") == F.col("part")).drop("part")
+
+
+@corpus_query
+def export_json(c):
+    rows, _ = exported(c, "json", "split string, id string, label array<string>, label_name array<string>, "
+                                  "subset string", fields="split,id,label,label_name,subset")
+    return rows.select("split", "id", "subset", F.array_join("label", "|").alias("label"),
+                       F.array_join("label_name", "|").alias("label_name"))
+
+
+@corpus_query
+def export_meta(c):
+    _, meta = exported(c, "csv", "id string", fields="id")
+    return meta.select("total", "original_total", "capped_units_removed", "counts.train", "counts.eval",
+                       "counts.test", "cross_split_text_overlap.overlapping_texts_count", "unlabeled_count")
+
+
+@corpus_query
+def preview_report(c):
+    """A preview as one row: capped, filtered and split."""
+    found = X.preview(c, UnitFilter(subset="fr"), X.ExportOptions(train=70, eval=15, test=15, max_doc_label_pct=20))
+    row = (found["valid"], found["total_units"], found["capped_units_removed"], found["counts"].get("train", 0),
+           found["counts"].get("eval", 0), found["counts"].get("test", 0),
+           found["cross_split_text_overlap"]["overlapping_texts_count"], len(found["warnings"]))
+    return c.documents.sparkSession.createDataFrame([row], (
+        "valid boolean, total long, removed long, train long, eval long, test long, overlap long, warnings long"))
 
 
 @corpus_query
@@ -638,6 +685,14 @@ def split_leaks(c):
     return checks.documents_in_two_splits(kept)
 
 
+@corpus_query
+def split_leaks_damaged(c):
+    """Second units moved to the test split: every such document not there before is a leak."""
+    _, kept = X.prepared(c, UnitFilter(), PLAIN)
+    return checks.documents_in_two_splits(kept.withColumn(
+        "split", F.when(F.col("position") == 2, "test").otherwise(F.col("split"))))
+
+
 # ---- corpus ----------------------------------------------------------------
 
 @corpus_query
@@ -658,15 +713,35 @@ def build_manifest(c):
 @query
 def fingerprint(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem")
-    return manifest.fingerprint(lines, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                        "l_returnflag", "l_linestatus"])
+    whole = lines.select(*[(F.round(F.col(c) * 100).cast("long") if t == "double" else
+                            F.date_format(c, "yyyy-MM-dd") if t in ("date", "timestamp", "timestamp_ntz")
+                            else F.col(c)).alias(c) for c, t in lines.dtypes])
+    return manifest.fingerprint(whole)
 
 
 @corpus_query
 def unit_fingerprint(c):
-    return manifest.fingerprint(c.text_units, ["unit_id", "unit_text", "label_category"])
+    units = c.text_units.select(
+        "unit_id", "doc_id", "subset", "position", "block_seq", "block_kind", "unit_text", "unit_kind",
+        "fragment_type", "label_category", "annotator_count", "source_annotation_count", "alignment_types",
+        F.array_join("labels", ";").alias("labels"), F.array_join("annotators", ";").alias("annotators"))
+    return manifest.fingerprint(units)
 
 
 @corpus_query
 def integrity(c):
     return checks.integrity(c, subsets=("en", "de", "fr", "es"))
+
+
+@corpus_query
+def integrity_damaged(c):
+    """The same rules over tables with planted faults, which must be counted."""
+    bad = replace(
+        c, text_units=c.text_units.withColumns({
+            "unit_kind": F.when(F.col("position") == 1, "odd").otherwise(F.col("unit_kind")),
+            "doc_id": F.when(F.col("position") == 3, "nowhere").otherwise(F.col("doc_id"))}),
+        unit_labels=c.unit_labels.unionByName(c.unit_labels.where("label = 'Others'")),
+        annotations=c.annotations.withColumn("label", F.when(F.col("ranumb") != "ra3", F.col("label"))),
+        alignment=c.alignment.where("ranumb <> 'ra1'").unionByName(
+            c.alignment.where("ranumb = 'ra1'").withColumn("unit_id", F.lit("nowhere_U1"))))
+    return checks.integrity(bad, subsets=("en", "de", "fr"))

@@ -37,15 +37,22 @@ def cap_model(rows, pct):
     return set(kept)
 
 
-@pytest.mark.parametrize("most,fold_rows,bucket", [(1, 99, 3), (3, 99, 100), (3, 4, 5)])
-def test_cap(spark, most, fold_rows, bucket):
-    rows = random_rows(most + fold_rows, most=most, docs=8)
-    capped = D.cap_labels(frame(spark, rows), 20, ["position"], fold_rows=fold_rows,
+@pytest.mark.parametrize("most,repeated,bucket", [(1, False, 3), (3, False, 100), (3, True, 5)])
+def test_cap(spark, most, repeated, bucket):
+    rows = random_rows(most + bucket, most=most, docs=8)
+    if repeated:
+        rows = [(d, p, names + names[:1]) for d, p, names in rows]
+    capped = D.cap_labels(frame(spark, rows), 20, ["position"],
                           bucket=F.floor(F.col("position") / bucket))
     got = [(r.doc_id, r.position) for r in capped.select("doc_id", "position").collect()]
     assert len(got) == len(set(got)) and set(got) == cap_model(rows, 20)
 
 
+def test_cap_counts_occurrences(spark):
+    rows = [("d", i, ls) for i, ls in enumerate([["A", "A"], ["A", "A"], ["A", "A"], ["A", "B"], ["B", "C"]])]
+    assert {r.position for r in D.cap_labels(frame(spark, rows), 60, ["position"]).collect()} == {0, 1, 4}
+
+
 def test_cap_golden(spark):
     rows = [("d", 1, ["a"]), ("d", 2, ["a", "b"]), ("d", 3, ["b"])]
     got = D.cap_labels(frame(spark, rows), 1, ["position"]).collect()
