@@ -499,7 +499,8 @@ select doc_id, span_rep, position as unit_rep from (
   join un u on u.doc_id = s.doc_id where len(s.st) >= 3) where r = 1 and shared * 20 >= n * 11"""),
     "span_status": with_tables("select annotation_id, doc_id, src_row, ranumb, label, status, n_hits from annotations"),
     "span_matched_units": with_tables(
-        "select s.annotation_id, t.unit_id, t.position from ta t join sn s on s.doc_id = t.doc_id and s.norm = t.norm where t.hits > 1"),
+        "select t.doc_id, r.span_rep, t.unit_id, t.position from ta t join (select s.doc_id, s.norm, min(p.src_row) as span_rep"
+        " from sn s join spans p using (annotation_id) group by all) r on r.doc_id = t.doc_id and r.norm = t.norm where t.hits > 1"),
     "alignment_table": with_tables("select unit_id, annotation_id, alignment_type from alignment"),
     "unit_evidence": with_tables(
         "select unit_id, annotator_count, source_annotation_count, alignment_types, verbatim_labels from text_units where source_annotation_count > 0"),
@@ -743,12 +744,14 @@ from kept join assigned using (doc_id)""", EXPORTED + "," + capped_units("subset
 select 'documents' as "table", count(*) as n from keep union all select 'annotations', count(*) from annotations semi join keep using (doc_id)
 union all select 'text_units', count(*) from text_units semi join keep using (doc_id)
 union all select 'unit_labels', count(*) from unit_labels semi join keep using (doc_id)
-union all select 'alignment', count(*) from alignment semi join keep using (doc_id)""",
+union all select 'alignment', count(*) from alignment semi join keep using (doc_id)
+union all select 'ambiguous', count(*) from (select * from ta where hits > 1) semi join keep using (doc_id)""",
         "\nkeep as materialized (select doc_id from docs qualify row_number() over (partition by subset order by num) <= 5)"),
     "row_manifest": with_tables("""
 select 'documents' as "table", count(*) as n from docs union all select 'annotations', count(*) from annotations
 union all select 'text_units', count(*) from text_units union all select 'unit_labels', count(*) from unit_labels
-union all select 'alignment', count(*) from alignment"""),
+union all select 'alignment', count(*) from alignment
+union all select 'ambiguous', (select count(*) from ta where hits > 1)"""),
     "fingerprint": f"""
 select count(*) as n, bit_xor(h) as xor_hash, sum(h::hugeint)::varchar as sum_hash from (
  select ('0x' || left(md5(concat_ws(chr(31), {', '.join(LINE_COLUMNS)})), 15))::bigint as h from lineitem)""",

@@ -152,7 +152,7 @@ def align(units: DataFrame, spans: DataFrame, folder: str | None = None) -> Alig
                                      F.lit(1).cast("long").alias("n_hits"))))
     statuses = span_keys.join(outcome, key, "left").withColumns({
         "status": F.coalesce("status", F.lit("unmatched")),
-        "n_hits": F.when(F.col("status") == "ambiguous", F.col("n_hits"))}).drop("span_rep")
+        "n_hits": F.when(F.col("status") == "ambiguous", F.col("n_hits"))})
 
     who = span_keys.select(*key, "annotation_id", "label", "ranumb")
     columns = ["unit_id", "annotation_id", "alignment_type", "doc_id", "label", "ranumb",
@@ -165,7 +165,7 @@ def align(units: DataFrame, spans: DataFrame, folder: str | None = None) -> Alig
     alignment = one.select(*columns).unionByName(whole.select(*columns))
 
     several = a.where("n_hits > 1").select(*key)
+    # per span text: spans of the same text in a document share ``span_rep``
     ambiguous = (a_pairs.join(several, key, "left_semi").select(*key, "unit_rep")
-                 .join(unit_keys, ["doc_id", "unit_rep"]).join(who, key)
-                 .select("annotation_id", "doc_id", "unit_id", "position"))
+                 .join(unit_keys, ["doc_id", "unit_rep"]).select(*key, "unit_id", "position"))
     return Alignment(statuses, alignment, ambiguous)

@@ -97,7 +97,8 @@ def _column_conditions(f: UnitFilter) -> list[Column]:
 
 
 def gate(corpus: Corpus, f: UnitFilter) -> DataFrame:
-    support = unit_support(votes(corpus.alignment), annotator_pool(corpus.annotations), f.threshold)
+    support = corpus.support if f.threshold == 1 else unit_support(
+        votes(corpus.alignment), annotator_pool(corpus.annotations), f.threshold)
     return support_gate(support, f.tier, f.mode)
 
 

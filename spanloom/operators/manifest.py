@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanloom.operators import stats
 from spanloom.plans.corpus import Corpus
+from spanloom.session import write_and_read
 
-TABLES = ("alignment", "annotations", "documents", "text_units", "unit_labels")
+TABLES = ("alignment", "ambiguous", "annotations", "documents", "text_units", "unit_labels")
 
 
 def row_counts(corpus: Corpus) -> DataFrame:
@@ -74,11 +75,14 @@ def check_manifest(manifest: DataFrame | None, expected_version: str) -> dict:
 
 
 def corpus_slice(corpus: Corpus, per_subset: int) -> Corpus:
-    """First documents of each subset by number, with all their rows."""
+    """First documents of each subset by number, with all their rows.
+
+    The few chosen ids are written once; all tables are restricted to them.
+    """
     first = Window.partitionBy("subset").orderBy("num")
-    docs = (corpus.documents.withColumn("_k", F.row_number().over(first))
-            .where(F.col("_k") <= per_subset).drop("_k"))
-    ids = docs.select("doc_id")
+    ids = write_and_read(corpus.documents.select("doc_id", F.row_number().over(first).alias("_k"))
+                         .where(F.col("_k") <= per_subset).select("doc_id"), "slice_ids")
+    docs = corpus.documents.join(ids, "doc_id", "left_semi")
     rest = [getattr(corpus, t).join(ids, "doc_id", "left_semi")
-            for t in ("annotations", "text_units", "unit_labels", "alignment", "ambiguous")]
+            for t in ("annotations", "text_units", "unit_labels", "alignment", "ambiguous", "support")]
     return Corpus(docs, *rest)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -39,7 +40,13 @@ def unit_view(units: DataFrame, *extra: Column) -> DataFrame:
 
 def corpus_support(corpus: Corpus, threshold: int | None = 1,
                    only: DataFrame | None = None) -> DataFrame:
-    """Support of every labelled unit, or of the units in ``only``."""
+    """Support of every labelled unit, or of the units in ``only``.
+
+    For a threshold of 1 it stands in a table, for others the votes are counted.
+    """
+    if int(threshold or 1) == 1:
+        return corpus.support if only is None else corpus.support.join(
+            only.select("unit_id"), "unit_id", "left_semi")
     cast = evidence.votes(corpus.alignment)
     if only is not None:
         cast = cast.join(only.select("unit_id"), "unit_id", "left_semi")
@@ -117,9 +124,9 @@ def documents(corpus: Corpus, subset: str | None = None, q: str | None = None,
     kept = filter_documents(corpus.documents, subset, q)
     if subset or q:
         ids = kept.select("doc_id")
-        corpus = Corpus(kept, corpus.annotations.join(ids, "doc_id", "left_semi"),
-                        corpus.text_units.join(ids, "doc_id", "left_semi"),
-                        corpus.unit_labels, corpus.alignment, corpus.ambiguous)
+        corpus = replace(corpus, documents=kept,
+                         annotations=corpus.annotations.join(ids, "doc_id", "left_semi"),
+                         text_units=corpus.text_units.join(ids, "doc_id", "left_semi"))
     down = order.lower() == "desc"
 
     def key(c: str) -> Column:
@@ -181,10 +188,11 @@ def spans(corpus: Corpus, limit: int | None = 100, offset: int = 0, **conditions
 def with_matched_units(span_page: DataFrame, corpus: Corpus) -> DataFrame:
     """Add the ``;``-joined candidate units of ambiguous spans, by position.
 
-    For pages: one list is built per span. The long form is ``corpus.ambiguous``.
+    For pages: one list is built per span text. The long form is ``corpus.ambiguous``.
     """
-    lists = (corpus.ambiguous.join(span_page.select("annotation_id"), "annotation_id", "left_semi")
-             .groupBy("annotation_id").agg(F.array_sort(F.collect_list(
+    key = ["doc_id", "span_rep"]
+    lists = (corpus.ambiguous.join(span_page.select(*key), key, "left_semi")
+             .groupBy(*key).agg(F.array_sort(F.collect_list(
                  F.struct("position", "unit_id"))).alias("_m")))
-    return (span_page.join(lists, "annotation_id", "left")
+    return (span_page.join(lists, key, "left")
             .withColumn("matched_units", F.array_join(F.col("_m.unit_id"), ";")).drop("_m"))

@@ -202,7 +202,8 @@ def span_status(c):
 
 @corpus_query
 def span_matched_units(c):
-    return c.ambiguous.select("annotation_id", "unit_id", "position")
+    """Candidate units of each ambiguous span text; the first span with the text stands for it."""
+    return c.ambiguous.select("doc_id", "span_rep", "unit_id", "position")
 
 
 @corpus_query

@@ -1,7 +1,8 @@
-"""Corpus build: documents and spans in, six durable tables out."""
+"""Corpus build: documents and spans in, seven durable tables out."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +11,7 @@ from spanloom import schema
 from spanloom.operators import evidence
 from spanloom.operators.align import align
 from spanloom.operators.units import units_from_blocks
-from spanloom.session import shared_dir, write_and_read
+from spanloom.session import remove, shared_dir, write_and_read, write_table
 
 
 @dataclass
@@ -21,6 +22,7 @@ class Corpus:
     unit_labels: DataFrame
     alignment: DataFrame
     ambiguous: DataFrame
+    support: DataFrame              # with an evidence threshold of 1
 
     def register(self) -> "Corpus":
         """Expose every table as a view for ``spark.sql``."""
@@ -30,33 +32,54 @@ class Corpus:
 
     @staticmethod
     def load(spark: SparkSession, folder: str) -> "Corpus":
-        return Corpus(*[spark.read.parquet(f"{folder}/{f.name}") for f in fields(Corpus)])
+        """Tables of the last version that was built completely."""
+        last = spark.read.parquet(f"{folder}/versions").orderBy(F.desc("built_at"), "version").first()
+        return Corpus(*[spark.read.parquet(f"{folder}/{last['version']}/{f.name}") for f in fields(Corpus)])
+
+
+#: Folders and sort order of the tables: conditions on them prune a scan.
+LAYOUT = {
+    "documents": (["doc_id"], "subset"), "annotations": (["doc_id", "src_row"], None),
+    "text_units": (["doc_id", "position"], "subset"), "unit_labels": (["doc_id", "unit_id"], None),
+    "alignment": (["doc_id", "unit_id"], None), "ambiguous": (["doc_id", "span_rep"], None),
+    "support": (["doc_id", "unit_id"], None),
+}
 
 
 def build(documents: DataFrame, blocks: DataFrame, spans: DataFrame,
           folder: str | None = None, full_urls: bool = False) -> Corpus:
-    """Full rebuild of all tables below ``folder`` (default: the shared folder).
+    """Full rebuild of all tables below ``folder`` (default: a new one in the shared folder).
 
     ``documents`` has the document columns, ``blocks`` doc_id, subset and the
-    ``blocks`` array, ``spans`` the annotation columns without a status.
+    ``blocks`` array, ``spans`` the annotation columns without a status. Tables are
+    written below a new version, which counts once all of them are there; what was
+    written in between is removed.
     """
     spark = documents.sparkSession
-    work = f"{folder or shared_dir(spark)}/work"
+    version = f"version-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    work = f"{folder}/work-{version}"
     units = write_and_read(units_from_blocks(blocks, full_urls=full_urls), "units", work)
     spans = write_and_read(spans, "spans", work)
     result = align(units, spans, work)
-    alignment = write_and_read(result.alignment, "alignment", work)
-    annotations = result.spans.select(*schema.ANNOTATIONS.fieldNames())
-    text_units = write_and_read(evidence.label_units(units, alignment), "text_units", work)
-    corpus = Corpus(documents.select(*schema.DOCUMENTS.fieldNames()), annotations, text_units,
-                    evidence.unit_labels(text_units), alignment, result.ambiguous)
-    if folder is None:
-        return Corpus(*[write_and_read(getattr(corpus, f.name), f.name, work)
-                        if f.name not in ("text_units", "alignment") else getattr(corpus, f.name)
-                        for f in fields(Corpus)])
-    for f in fields(Corpus):
-        getattr(corpus, f.name).write.mode("overwrite").parquet(f"{folder}/{f.name}")
-    return Corpus.load(spark, folder)
+
+    def table(name: str, df: DataFrame) -> DataFrame:
+        order, partition = LAYOUT[name]
+        return write_table(df, f"{folder}/{version}/{name}", order, partition)
+
+    alignment = table("alignment", result.alignment)
+    annotations = table("annotations", result.spans.select(*schema.ANNOTATIONS.fieldNames()))
+    text_units = table("text_units", evidence.label_units(units, alignment))
+    corpus = Corpus(
+        table("documents", documents.select(*schema.DOCUMENTS.fieldNames())), annotations, text_units,
+        table("unit_labels", evidence.unit_labels(text_units)), alignment,
+        table("ambiguous", result.ambiguous),
+        table("support", evidence.unit_support(
+            evidence.votes(alignment), evidence.annotator_pool(annotations), 1)))
+    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("built_at")) \
+        .coalesce(1).write.mode("append").parquet(f"{folder}/versions")
+    remove(spark, work)
+    return corpus
 
 
 def empty_units(units: DataFrame) -> DataFrame:

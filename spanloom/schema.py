@@ -21,14 +21,15 @@ DOCUMENTS = table(
     "doc_id subset num:int html_path",
     "title link is_homepage textmatch_p textmatch_s textmatch_pp link_match crawl_path")
 ANNOTATIONS = table(
-    "annotation_id doc_id ranumb text label status src_row:int source_csv", "n_hits:long")
+    "annotation_id doc_id ranumb text label status src_row:int source_csv", "n_hits:long span_rep:int")
 TEXT_UNITS = table(
     "unit_id doc_id subset position:int block_seq:int block_kind unit_text unit_kind "
     "label_category annotator_count:int source_annotation_count:int",
     "fragment_type alignment_types labels:strings annotators:strings")
 UNIT_LABELS = table("unit_id label doc_id")
 ALIGNMENT = table("unit_id annotation_id alignment_type doc_id label ranumb unit_kind")
-AMBIGUOUS = table("annotation_id doc_id unit_id position:int")
+AMBIGUOUS = table("doc_id span_rep:int unit_id position:int")
+SUPPORT = table("unit_id doc_id label k:long pool:long stars:int")
 MANIFEST = table("key value")
 
 # --- fixed values -----------------------------------------------------------

@@ -52,3 +52,21 @@ def write_and_read(df: DataFrame, name: str, folder: str | None = None) -> DataF
     path = f"{folder or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_table(df: DataFrame, path: str, order: list[str], partition: str | None = None) -> DataFrame:
+    """Write a table clustered by ``order``, in folders by ``partition``, and scan it back.
+
+    Ranges of the order go to different files, so that file and row-group
+    statistics let a scan skip what a condition on its first columns rules out.
+    """
+    keys = [partition, *order] if partition else order
+    writer = df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("error")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediates that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+from itertools import islice
 from typing import Iterator
 
 import pandas as pd
@@ -26,6 +27,10 @@ def _files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
             .select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
 
 
+#: Rows of a file that are handed on at once.
+CHUNK_ROWS = 10_000
+
+
 def _named(files: DataFrame) -> DataFrame:
     """Subset folder and document number from ``…/{subset}/{num}.ext``."""
     part = F.regexp_extract("path", r"([^/]+)/(\d+)\.[a-z]+$", 1)
@@ -42,9 +47,10 @@ def _csv_rows(files: DataFrame, keep: list[str], columns: dict[str, str]) -> Dat
         for batch in batches:
             for record in batch.itertuples(index=False):
                 reader = csv.DictReader(io.StringIO(record.content, newline=""))
-                rows = [[getattr(record, k) for k in keep] + [i]
-                        + [row.get(c) or "" for c in columns] for i, row in enumerate(reader)]
-                yield pd.DataFrame(rows, columns=[*keep, "row", *names])
+                rows = ([getattr(record, k) for k in keep] + [i]
+                        + [row.get(c) or "" for c in columns] for i, row in enumerate(reader))
+                while part := list(islice(rows, CHUNK_ROWS)):
+                    yield pd.DataFrame(part, columns=[*keep, "row", *names])
 
     kept = files.select(*keep, "content")
     types = dict(kept.dtypes)

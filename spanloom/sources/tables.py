@@ -9,10 +9,12 @@ from spanloom.functions.sentences import block_lines
 from spanloom.functions.text import words
 from spanloom.operators.units import blocks_of_lines
 from spanloom.schema import LABELS
+from spanloom.session import configure
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; the session gets the settings that the operators are written for."""
+    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def document_blocks(docs: DataFrame) -> DataFrame:

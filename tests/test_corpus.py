@@ -111,7 +111,7 @@ def test_export_round_trip(corpus, spark, tmp_path):
     o = X.ExportOptions(train=50, eval=25, test=25, fields="id,label,support_stars,bogus,split")
     meta = X.export(corpus, str(tmp_path / "csv"), f, o).first()
     back = spark.read.option("header", True).csv(str(tmp_path / "csv" / "data"))
-    assert back.count() == 16 == meta.total and set(back.columns) == {"id", "label", "support_stars", "split"}
+    assert back.count() == 16 == meta.total and set(back.columns) == {"id", "label", "support_stars", "split", "part"}
     assert "METHODS_TO_EXERCISE_RIGHTS; OTHERS" in {r.label for r in back.collect()}
     assert sum(meta.counts) == 16 and all(c > 0 for c in meta.counts)
     X.export(corpus, str(tmp_path / "json"), f, X.ExportOptions(format="json", split=False))
