@@ -571,6 +571,18 @@ select d.doc_id,
  (select count(*) from annotations a where a.doc_id = d.doc_id and status = 'aligned') as aligned_count from docs d
 where subset = 'en' and (link like '%src1_%' or d.doc_id like '%src1_%')
 order by sentence_count desc, subset, num limit 20 offset 1"""),
+    **{f"documents_by_{key}": with_tables(f"""
+select * from (select d.doc_id,
+ (select count(*) from text_units u where u.doc_id = d.doc_id and unit_kind = 'fragment') as fragment_count,
+ (select count(*) from annotations a where a.doc_id = d.doc_id) as annotation_count,
+ (select count(distinct label) from annotations a where a.doc_id = d.doc_id) as label_count, subset, num from docs d)
+order by {order} limit 30""").replace("select * from (select d.doc_id", "select doc_id, fragment_count, annotation_count, label_count from (select d.doc_id")
+       for key, order in (("fragment_count", "fragment_count desc, subset, num"),
+                          ("annotation_count", "annotation_count desc, subset, num"),
+                          ("doc_id", "subset desc, num desc"))},
+    "document_frames": with_tables("""
+select doc_id, -1 as src_row, title as text, 'document' as status from docs where doc_id in ('en_115', 'de_187')
+union all select doc_id, src_row, text, status from annotations where doc_id in ('en_115', 'de_187')"""),
     "document_order": with_units("select doc_id, subset, num::int as num from lines"),
     "doc_neighbours": with_units(
         "select doc_id, lag(doc_id) over (order by subset, num) as prev_id, lead(doc_id) over (order by subset, num) as next_id from lines"),
@@ -656,6 +668,10 @@ select * from (select 'documents' as entity, doc_id as key, link as detail from
 union all select * from (select 'provisions', label, count(*)::varchar from annotations where {FLD.format('label')} like '%ing%' group by label order by count(*) desc, label limit 5)
 union all select * from (select 'annotators', ranumb, count(*)::varchar from annotations where ranumb like '%ing%' group by ranumb order by ranumb limit 5)
 union all select * from (select 'units', unit_id, unit_text from text_units where {FLD.format('unit_text')} like '%ing%' order by doc_id, position limit 6)"""),
+    "match_term_table": with_units(f"""
+select item_id as term_id, unit_id from units join (
+ select item_id, {collapse(FLD.format("array_to_string(string_split(text, ' ')[1:2], ' ')"))} as term from benchmark) b
+ on contains({FLD.format('unit_text')}, b.term) where b.term <> ''"""),
     "match_terms": with_units("select term, unit_id from units, (values ('privacy'), ('the and'), ('ing the'), ('Und der')) v(term) where "
         f"contains({FLD.format('unit_text')}, {FLD.format('term')})"),
     "tokenize_labels": with_spans(
@@ -872,3 +888,17 @@ COUNTS["subsets"] = ("('{' || (select string_agg('\"' || subset || '\":' || n, '
                      " from (select subset, count(*) as n from docs group by subset)) || '}')")
 _PAIRS = " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in sorted(COUNTS.items()))
 SQL["build_manifest"] = with_tables(f"select 'counts' as key, '{{' || {_PAIRS} || '}}' as value")
+
+SOURCE = """
+src as materialized (
+  select case when page_id % 2 = 0 then 'DB' else 'WS' end as subset, (page_id // 2 + 1)::int as num, url, html,
+         regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) as head from pages),
+named as materialized (select *, subset || '_' || num as doc_id from src)"""
+SQL["source_html"] = f"with {SOURCE}\nselect subset, num, md5(html) as html_md5 from named"
+SQL["source_spans"] = f"""with {SOURCE}
+select doc_id || '_A' || j as annotation_id, doc_id, 'ra' || (j + 1) as ranumb, head as text,
+       case j when 0 then 'Others' else 'Methods to exercise rights' end as label, j::int as src_row
+from named, range(2) r(j) where trim(head) <> ''"""
+SQL["source_crawl"] = f"with {SOURCE}\nselect subset, num, url as link, 'y' as is_homepage from named"
+SQL["source_pages"] = f"with {SOURCE}\nselect doc_id, subset, num, url as link, length(html) as n from named"
+SQL["source_max_docs"] = f"with {SOURCE}\nselect doc_id, url as link from named order by subset, num::varchar || '.csv' limit 25"

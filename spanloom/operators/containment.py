@@ -26,9 +26,12 @@ tokens      anchor
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.functions.rows import exploded
+from spanloom.session import write_and_read
 
 FEW_TEXTS = 128
 FEW_CHARS = 1 << 18
@@ -74,10 +77,10 @@ def _inner_starts(n: Column, length: int) -> Column:
         F.array().cast("array<int>"))
 
 
-def _run_anchors(tokens: Column, n: Column) -> Column:
-    return F.array_distinct(F.concat(
-        F.transform(_inner_starts(n, 1), lambda i: _run(tokens, i, 1)),
-        F.transform(_inner_starts(n, LONG_RUN), lambda i: _run(tokens, i, LONG_RUN))))
+def _run_anchors(tokens: Column, n: Column, lengths: list[int]) -> Column:
+    def of_length(length: int) -> Column:
+        return F.transform(_inner_starts(n, length), lambda i: _run(tokens, i, length))
+    return F.array_distinct(F.concat(*map(of_length, lengths)))
 
 
 def _seam_anchors(tokens: Column, n: Column) -> Column:
@@ -112,7 +115,7 @@ def contained_pairs(needles: DataFrame, hay: DataFrame, keys: list[str],
     ("needle" or "hay") that usually has few texts per group.
     """
     if not keys:
-        return _indexed_pairs(needles, hay, keys)
+        return _pairs_without_groups(needles, hay)
     folded, other = (needles, hay) if fold == "needle" else (hay, needles)
     text = f"{fold}_text"
     small = (folded.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(F.length(text)).alias("_c"))
@@ -131,7 +134,20 @@ def contained_pairs(needles: DataFrame, hay: DataFrame, keys: list[str],
     return direct.unionByName(indexed.select(*direct.columns))
 
 
-def _indexed_pairs(needles: DataFrame, hay: DataFrame, keys: list[str]) -> DataFrame:
+def _pairs_without_groups(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """Any needle in any text. The needles are written: their size is then known to
+    the optimizer, and only anchors of the lengths that they have are made of the texts.
+    """
+    needles = write_and_read(needles, "needles")
+    size = F.size(F.split("needle_text", " "))
+    shape = (F.when(size >= LONG_RUN + 2, LONG_RUN + 2).when(size > 2, 3).otherwise(size))
+    shapes = {r[0] for r in needles.select(shape).distinct().collect()} or {2}      # four at most
+    return _indexed_pairs(needles, hay, [], shapes)
+
+
+def _indexed_pairs(needles: DataFrame, hay: DataFrame, keys: list[str],
+                   shapes: set[int] = frozenset({1, 2, 3, LONG_RUN + 2})) -> DataFrame:
+    """``shapes`` are the token counts that needles may have: 1, 2, 3 (to 5), 6 (or more)."""
     needles = (needles.withColumn("_tokens", F.split("needle_text", " "))
                .withColumn("_n", F.size("_tokens")))
     many = needles.where("_n >= 2").withColumn(
@@ -141,14 +157,30 @@ def _indexed_pairs(needles: DataFrame, hay: DataFrame, keys: list[str]) -> DataF
     split_hay = (hay.select(*keys, "hay_id", F.split("hay_text", " ").alias("_tokens"))
                  .withColumn("_n", F.size("_tokens")))
     hay_id = [*keys, "hay_id"]
-    runs = exploded(split_hay, hay_id, _run_anchors(F.col("_tokens"), F.col("_n")), "_anchor")
-    seams = exploded(_only_groups_of(split_hay, many.where("_n = 2"), keys), hay_id,
-                     _seam_anchors(F.col("_tokens"), F.col("_n")), "_anchor")
     id_cols = [*keys, "needle_id", "needle_text", "hay_id"]
-    by_run = many.where("_n > 2").join(runs, [*keys, "_anchor"]).select(*id_cols)
-    by_seam = many.where("_n = 2").join(seams, [*keys, "_anchor"]).select(*id_cols)
+    found = []
+    if shapes & {3, LONG_RUN + 2}:
+        lengths = [n for n, shape in ((1, 3), (LONG_RUN, LONG_RUN + 2)) if shape in shapes]
+        runs = exploded(split_hay, hay_id, _run_anchors(F.col("_tokens"), F.col("_n"), lengths), "_anchor")
+        found.append(many.where("_n > 2").join(runs, [*keys, "_anchor"]).select(*id_cols))
+    if 2 in shapes:
+        found.append(_pairs_of_two(split_hay, many.where("_n = 2"), keys))
+    if 1 in shapes:
+        found.append(_pairs_of_one(split_hay, single, keys))
+    candidates = reduce(DataFrame.unionByName, found)
+    return candidates.join(hay, [*keys, "hay_id"]).where(F.contains("hay_text", "needle_text"))
+
 
-    # One-token needles: match the vocabulary of the group, then its texts.
+def _pairs_of_two(split_hay: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    hay_id = [*keys, "hay_id"]
+    seams = exploded(_only_groups_of(split_hay, pairs, keys), hay_id,
+                     _seam_anchors(F.col("_tokens"), F.col("_n")), "_anchor")
+    return pairs.join(seams, [*keys, "_anchor"]).select(*keys, "needle_id", "needle_text", "hay_id")
+
+
+def _pairs_of_one(split_hay: DataFrame, single: DataFrame, keys: list[str]) -> DataFrame:
+    """One-token needles match the vocabulary of the group, then its texts."""
+    hay_id = [*keys, "hay_id"]
     texts_of_token = exploded(_only_groups_of(split_hay, single, keys), hay_id,
                               F.array_distinct("_tokens"), "_token")
     vocabulary = texts_of_token.select(*keys, "_token").distinct()
@@ -161,7 +193,5 @@ def _indexed_pairs(needles: DataFrame, hay: DataFrame, keys: list[str]) -> DataF
                  .join(pieces, [*keys, "_piece"]).where(F.contains("_token", "needle_text"))
                  .select(*keys, "needle_id", "needle_text", "_token"))
         tokens_with = found if tokens_with is None else tokens_with.unionByName(found)
-    by_token = tokens_with.join(texts_of_token, [*keys, "_token"]).select(*id_cols).distinct()
-
-    candidates = by_run.unionByName(by_seam).unionByName(by_token)
-    return candidates.join(hay, [*keys, "hay_id"]).where(F.contains("hay_text", "needle_text"))
+    return tokens_with.join(texts_of_token, [*keys, "_token"]).select(
+        *keys, "needle_id", "needle_text", "hay_id").distinct()

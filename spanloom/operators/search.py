@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from spanloom.functions.rows import exploded
-from spanloom.functions.text import ascii_lower, like_ci
+from spanloom.functions.text import ascii_lower, collapse, like_ci
+from spanloom.operators.containment import contained_pairs
 from spanloom.operators.views import joined, verbatim_label
 from spanloom.plans.corpus import Corpus
+from spanloom.session import write_and_read
 
 # --- fixed values: rows shown per kind --------------------------------------
 LIMITS = {"documents": 5, "provisions": 5, "annotators": 5, "units": 6}
@@ -65,6 +67,20 @@ def search_all(corpus: Corpus, q: str = "") -> DataFrame:
     return rows
 
 
+def match_term_table(units: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term_id, unit_id): which units hold which terms of a table (term_id, term).
+
+    Both are compared in lower case (A-Z) and with single spaces; equal unit texts
+    are folded first. Any number of terms: they are joined by anchors, not by pairs.
+    """
+    hay = units.select("unit_id", collapse(ascii_lower(F.col("unit_text"))).alias("hay_text")).where("hay_text <> ''")
+    texts = write_and_read(hay.groupBy("hay_text").agg(F.min("unit_id").alias("hay_id")), "term_texts")
+    needles = terms.select(F.col("term_id").alias("needle_id"), collapse(ascii_lower(F.col("term")))
+                           .alias("needle_text")).where("needle_text <> ''")
+    found = contained_pairs(needles, texts, [])
+    return found.join(hay, "hay_text").select(F.col("needle_id").alias("term_id"), "unit_id")
+
+
 def match_terms(units: DataFrame, terms: list[str]) -> DataFrame:
     """Units holding each of several literal terms, in one scan.
 

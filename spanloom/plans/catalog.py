@@ -20,11 +20,14 @@ from spanloom.operators.filters import UnitFilter, filter_units
 from spanloom.plans import corpus as C, export as X
 from spanloom.schema import LABELS
 from spanloom.session import configure, shared_dir, write_and_read
+from spanloom.sources import files
+from spanloom.sources.sinks import write_files
 from spanloom.sources.tables import derived_spans, document_blocks, document_rows, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 _BUILT: dict[tuple[str, str], C.Corpus] = {}
+_FOLDERS: dict[tuple[str, str], str] = {}
 
 TWO_LABELS = [LABELS[0], LABELS[11]]
 
@@ -70,6 +73,71 @@ def unit_query(name: str, f: UnitFilter) -> None:
         "unit_id", "label_category", "unit_kind")
 
 
+# ---- sources ---------------------------------------------------------------
+
+def source_folder(spark: SparkSession, sf_dir: str) -> str:
+    """``pages`` as a corpus folder below the shared one: Htmls/, Annotations/, Crawl/.
+
+    Even pages are in one subset, odd ones in the other. Every page has three rows
+    of spans, its heading twice and an empty one, and a row in its crawl file.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FOLDERS:
+        root = f"{shared_dir(spark)}/source-{uuid.uuid4().hex}"
+        root = root if ":" in root else f"file://{root}"
+        even = F.col("page_id") % 2 == 0
+        rows = read(spark, sf_dir, "pages").select(
+            F.when(even, "DB").otherwise("WS").alias("subset"), "url", "html",
+            (F.floor(F.col("page_id") / 2) + 1).cast("int").alias("num"),
+            F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1).alias("head"))
+        quoted = F.concat(F.lit('"'), F.replace("head", F.lit('"'), F.lit('""')), F.lit('"'))
+        spans = F.concat(F.lit("RANumb,Text,Label\r\nra1,"), quoted, F.lit(",Others\r\n ra2 ,"), quoted,
+                         F.lit(",  Methods to exercise rights\r\nra3,,Others\r\n"))
+        crawl = F.concat(F.lit(" "), F.col("url"), F.lit(",y,,,,\n"))
+        header = spark.createDataFrame([(f"Crawl/{s}.csv", 0, "Link,IsHomepage,Textmatch_P,Textmatch_S,"
+                                         "Textmatch_PP,Link_Match\n") for s in ("db", "ws")],
+                                       "path string, place int, line string")
+
+        def files(folder: str, end: str, line) -> DataFrame:
+            return rows.select(F.concat(F.lit(f"{folder}/"), "subset", F.lit("/"), "num", F.lit(end)).alias("path"),
+                               F.lit(0).alias("place"), line.alias("line"))
+        write_files(files("Htmls", ".html", F.col("html")).unionByName(files("Annotations", ".csv", spans))
+                    .unionByName(header).unionByName(rows.select(
+                        F.concat(F.lit("Crawl/"), F.lower("subset"), F.lit(".csv")).alias("path"),
+                        F.col("num").alias("place"), crawl.alias("line"))), root)
+        _FOLDERS[key] = root
+    return _FOLDERS[key]
+
+
+@query
+def source_html(spark, sf_dir):
+    found = files.read_html(spark, source_folder(spark, sf_dir))
+    return found.select("subset", "num", F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
+@query
+def source_spans(spark, sf_dir):
+    return files.usable_spans(files.read_span_rows(spark, source_folder(spark, sf_dir))).select(
+        "annotation_id", "doc_id", "ranumb", "text", "label", "src_row")
+
+
+@query
+def source_crawl(spark, sf_dir):
+    return files.read_crawl(spark, source_folder(spark, sf_dir)).select("subset", "num", "link", "is_homepage")
+
+
+@query
+def source_pages(spark, sf_dir):
+    found = files.read_pages(spark, source_folder(spark, sf_dir))
+    return found.select("doc_id", "subset", "num", "link", F.length("html").alias("n"))
+
+
+@query
+def source_max_docs(spark, sf_dir):
+    """The first documents of a corpus by subset and span file: a limit that readers offer."""
+    return files.read_pages(spark, source_folder(spark, sf_dir), max_docs=25).select("doc_id", "link")
+
+
 # ---- pages and units -------------------------------------------------------
 
 @query
@@ -362,6 +430,22 @@ def documents_sorted(c):
                            limit=20, offset=1).select("doc_id", "sentence_count", "aligned_count")
 
 
+for _sort in ("fragment_count", "annotation_count", "doc_id"):
+    def _sorted(spark, sf_dir, key=_sort):
+        return views.documents(built(spark, sf_dir), sort=key, order="desc", limit=30).select(
+            "doc_id", "fragment_count", "annotation_count", "label_count")
+    QUERIES[f"documents_by_{_sort}"] = _sorted
+
+
+@corpus_query
+def document_frames(c):
+    """The document and span frames of a detail view, as one list."""
+    found = views.document_detail(c, ["en_115", "de_187"])
+    return found["document"].select("doc_id", F.lit(-1).alias("src_row"), F.col("title").alias("text"),
+                                    F.lit("document").alias("status")).unionByName(
+        found["annotations"].select("doc_id", "src_row", "text", "status"))
+
+
 @corpus_query
 def document_order(c):
     return views.document_order(c)
@@ -506,6 +590,14 @@ def search_all(c):
     return Q.search_all(c, " ing ")
 
 
+@query
+def match_term_table(spark, sf_dir):
+    """Units that hold the first two words of a benchmark item."""
+    terms = read(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("term_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("term"))
+    return Q.match_term_table(built(spark, sf_dir).text_units, terms)
+
+
 @corpus_query
 def match_terms(c):
     return Q.match_terms(c.text_units, ["privacy", "the and", "ing the", "Und der"])
