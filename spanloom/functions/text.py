@@ -63,7 +63,8 @@ def collapse(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(c, rf"\A{WS}++|(?<!{WS}){WS}++\z", "")
+    ends = F.left(c, F.lit(1)).rlike(WS) | F.right(c, F.lit(1)).rlike(WS)
+    return F.when(ends, F.regexp_replace(c, rf"\A{WS}++|(?<!{WS}){WS}++\z", "")).otherwise(c)
 
 
 def words(c: Column) -> Column:

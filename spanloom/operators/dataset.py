@@ -254,10 +254,11 @@ def text_overlap(rows: DataFrame, text: str = "text", split: str = "split") -> D
     shuffled, and the aggregate keeps numbers only.
     """
     bits = reduce(lambda c, i: c.when(F.col(split) == SPLITS[i], 1 << i), range(len(SPLITS)), F)
-    own = strip(F.col(text))
-    per_text = (rows.select(own.alias("_t"), bits.otherwise(0).alias("_bit")).where("_t <> ''")
-                .select(*text_key(F.col("_t")), "_bit").groupBy("_h1", "_h2").agg(F.bit_or("_bit").alias("_bits")))
-    return per_text.agg(F.count_if(F.bit_count("_bits") > 1).alias("overlapping_texts_count"))
+    per_text = rows.select(*text_key(strip(F.col(text))), bits.otherwise(0).alias("_bit")).groupBy(
+        "_h1", "_h2").agg(F.bit_or("_bit").alias("_bits"))
+    # empty texts are left out at the end: a condition before would strip every text once more
+    empty = (F.col("_h1") == F.xxhash64(F.lit(""))) & (F.col("_h2") == text_key(F.lit(""))[1])
+    return per_text.agg(F.count_if((F.bit_count("_bits") > 1) & ~empty).alias("overlapping_texts_count"))
 
 
 def split_counts(rows: DataFrame) -> DataFrame:
