@@ -119,6 +119,22 @@ def test_export_round_trip(corpus, spark, tmp_path):
     assert dict(js.dtypes)["label"] == "array<string>" and {r.split for r in js.collect()} == {"data"}
 
 
+def test_short_queries_find_nothing(corpus):
+    assert search.search_all(corpus, " a ").count() == 0
+
+
+def test_failed_build_leaves_the_last_version(corpus, spark, tmp_path):
+    found = C.Corpus.load(spark, str(tmp_path)) if (tmp_path / "versions").exists() else None
+    assert found is None
+    paths = {p.split("/version-")[0] for p in corpus.text_units.inputFiles()}
+    assert len(paths) == 1
+    folder = paths.pop()
+    spark.range(3).write.parquet(f"{folder}/version-half/text_units")     # not in the list of versions
+    again = C.Corpus.load(spark, folder)
+    assert again.text_units.count() == corpus.text_units.count()
+    assert not [d for d in os.listdir(folder.removeprefix("file://")) if d.startswith("work")]
+
+
 def test_preview(corpus):
     assert X.preview(corpus, o=X.ExportOptions(train=80, eval=15, test=15))["valid"] is False
     assert X.preview(corpus, UnitFilter(subset="none"))["total_units"] == 0
