@@ -34,7 +34,7 @@ from spanloom.llm.common import NULL_ID, staged
 WORD_BYTES = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128
                    else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 #: Tokens after which a task closes a segment.
-SEGMENT_TOKENS = 1 << 21
+SEGMENT_TOKENS = 1 << 20
 #: Bytes of windows that are searched at once, and that a task gets at most.
 BLOCK_BYTES = 1 << 23
 
