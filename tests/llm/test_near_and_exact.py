@@ -5,7 +5,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanloom.llm import simhash
+import corpus_pipeline
+from spanloom.llm import shingles, simhash
 from spanloom.llm.components import components
 from spanloom.llm.digests import DigestIndex
 
@@ -120,3 +121,52 @@ def test_digest_index_over_batches(spark):
     some = index.table().select(F.concat("digest", F.lit("x").cast("binary")).alias("digest"))
     plan = some.join(index.table().hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
     assert "Bucketed: true" in plan
+
+
+# ---- near copies by Jaccard similarity --------------------------------------
+
+def slow_copies(rows, percent=80, k=5):
+    """Classes of (id, text) rows by brute force over all pairs."""
+    sets = []
+    for i, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append((i, {b" ".join(words[j:j + k]) for j in range(max(1, len(words) - k + 1))}
+                     if words else set()))
+    return classes([(a, b) for n, (a, x) in enumerate(sets) for b, y in sets[:n]
+                    if 100 * len(x & y) >= percent * len(x | y)], {i for i, _ in sets})
+
+
+def test_pipeline_drops_near_copies_beyond_four_bits(spark):
+    rnd = random.Random(5)
+    rows = []
+    for base in range(60):                     # copies on both sides of 0.8, and chains of copies
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([8, 60, 100, 300]))]
+        for _ in range(4):
+            rows.append((len(rows), " ".join(words)))
+            for _ in range(max(1, len(words) // rnd.choice([40, 45, 50, 60, 100]))):
+                words[rnd.randrange(len(words))] = f"w{rnd.randrange(3000)}"
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows += [(len(rows) + i, f"{passage} {' '.join(rnd.choice(WORDS) for _ in range(40))}") for i in range(60)]
+    long = [f"x{i}" for i in range(200)]       # a large group around one text
+    for i in range(80):
+        own = list(long)
+        own[rnd.randrange(200)] = f"y{i}"
+        rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows) + i, t) for i, t in enumerate(["", None, " \t", "A  b\nC", "a b c", "a b"])]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
+    wanted = slow_copies(rows)
+    kept = corpus_pipeline.first_of_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    found = {r.doc_id for r in kept.collect()}
+    assert found == {i for i, first in wanted.items() if i == first}
+    assert found != {r.doc_id for r in simhash.keep_first(docs).collect()}
+
+
+def test_near_copies_of_odd_rows(spark):
+    long = " ".join(f"x{i}" for i in range(100))
+    rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "z"), (3, "z"), (None, "q"), (7, long), (6, long + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # no id counts as the largest one, and its rows are one document
+    assert sorted((r.doc_id, r.text) for r in shingles.keep_first(docs).collect()) == [(3, "z"), (6, long + " y")]
+    assert shingles.keep_first(docs.limit(0)).count() == 0
+    assert shingles.keep_first(docs.where("text = 'q'")).count() == 1
