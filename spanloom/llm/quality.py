@@ -6,8 +6,9 @@ the likelihood of these preferences, a logistic loss on feature differences. A
 quantile of the labelled documents' worth, the share that the labels call poor,
 is the threshold; the score is a logistic curve that has ``cut`` there.
 
-Features of all texts are computed once and written; the model is fitted on at
-most ``sample`` labelled rows, those with the smallest hashes of their ids, and
+Features of all texts are computed once and written; the weights are fitted on at
+most ``sample`` labelled rows, those with the smallest hashes of their ids. Means and
+scales of the features and the threshold are aggregates over all labelled rows, and
 scoring is plain arithmetic on the written features.
 
 Rows: null and empty texts have zero features and a score like any other;
@@ -23,7 +24,7 @@ from operator import eq
 from typing import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField
 
 from spanloom.llm.common import NULL_ID, per_row, staged
@@ -31,7 +32,7 @@ from spanloom.llm.common import NULL_ID, per_row, staged
 #: Features of a text, all of them shares or bounded means.
 FEATURES = ["upper", "digits", "marks", "symbols", "bars", "bangs", "stops", "other", "repeats",
             "variety", "word_length", "long_words", "line_length", "marked_words", "same_lines"]
-#: Labelled rows that a model is fitted on at most.
+#: Labelled rows that weights are fitted on at most.
 SAMPLE = 20_000
 #: Poor partners that each labelled document is paired with.
 PARTNERS = 8
@@ -86,11 +87,14 @@ class Ranking:
     threshold: float
     cut: float
 
-    def score(self) -> Column:
-        worth = F.lit(-self.threshold + float(np.log(self.cut / (1 - self.cut))))
+    def worth(self) -> Column:
+        worth = F.lit(0.0)
         for name, m, s, w in zip(FEATURES, self.means, self.scales, self.weights):
             worth = worth + (F.col(f"f_{name}") - F.lit(float(m))) * F.lit(float(w / s))
-        return 1 / (1 + F.exp(-worth))
+        return worth
+
+    def score(self) -> Column:
+        return 1 / (1 + F.exp(F.lit(self.threshold - float(np.log(self.cut / (1 - self.cut)))) - self.worth()))
 
 
 def bradley_terry(good: np.ndarray, poor: np.ndarray, partners: int = PARTNERS,
@@ -115,24 +119,39 @@ def fit(table: DataFrame, labels: DataFrame, cut: float = 0.7, sample: int = SAM
         doc_id: str = "doc_id") -> Ranking:
     """A ranking from ``labels`` (doc_id, label 0 or 1) of documents in a feature table.
 
-    At most ``sample`` labelled rows, chosen by the hash of their id, are learned from.
+    The weights are learned from at most ``sample`` labelled rows, chosen by the hash of
+    their id; means, scales, the share of poor labels and the threshold are of all rows.
     """
     known = labels.where("label IS NOT NULL").groupBy(doc_id).agg(
         F.min("label").alias("label"), F.max("label").alias("most")).where("label = most") \
-        .select(doc_id, "label").orderBy(F.xxhash64(doc_id), doc_id).limit(sample)
-    rows = table.join(F.broadcast(known), doc_id).orderBy(F.xxhash64(doc_id), doc_id).limit(sample) \
-        .select("label", *[f"f_{x}" for x in FEATURES]).collect()          # at most ``sample``
-    got = np.array(rows, float).reshape(len(rows), len(FEATURES) + 1)
-    y, x = got[:, 0], got[:, 1:]
-    if not (y == 1).any() or not (y == 0).any():
-        one = np.ones(len(FEATURES))
-        return Ranking(one, one, np.zeros(len(FEATURES)), 0.0, cut)
-    means, scales = x.mean(axis=0), x.std(axis=0)
+        .select(doc_id, "label")
+    names = [f"f_{x}" for x in FEATURES]
+    rows = staged(table.join(known, doc_id).select(doc_id, "label", *names), "labelled")
+    one = np.ones(len(FEATURES))
+    none = Ranking(one, one, np.zeros(len(FEATURES)), 0.0, cut)
+    # decimal sums do not depend on the order of the rows
+    exact = [F.sum(c.cast("decimal(28,18)")) for x in names for c in (F.col(x), F.col(x) * F.col(x))]
+    n, good, poor, *sums = rows.agg(
+        F.count("*"), F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0), *exact).first()
+    if not good or not poor:
+        return none
+    means = np.array([float(x / n) for x in sums[::2]])
+    scales = np.array([float(max(y / n - (x / n) ** 2, 0)) for x, y in zip(sums[::2], sums[1::2])]) ** 0.5
     scales[scales < 1e-9] = 1.0
-    z = (x - means) / scales
-    weights = bradley_terry(z[y == 1], z[y == 0])
-    worth = np.sort(z @ weights)
-    return Ranking(means, scales, weights, quantile_gap(worth, float((y == 0).mean())), cut)
+    got = np.array(rows.orderBy(F.xxhash64(doc_id), doc_id).limit(sample)
+                   .select("label", *names).collect(), float)              # at most ``sample``
+    y, z = got[:, 0], (got[:, 1:] - means) / scales
+    if not (y == 1).any() or not (y == 0).any():
+        return none
+    ranking = Ranking(means, scales, bradley_terry(z[y == 1], z[y == 0]), 0.0, cut)
+    ranking.threshold = quantile_gap_of(rows.select(ranking.worth().alias("worth")), n, poor / n)
+    return ranking
+
+
+def _close(n: int, share: float, around: float) -> tuple[int, int]:
+    """Places, among ``n`` sorted values, between which a gap may end."""
+    low = min(max(1, int(share * (1 - around) * n)), n - 1)
+    return low, min(max(low, int(round(share * (1 + around / 5) * n))), n - 1)
 
 
 def quantile_gap(worth: np.ndarray, share: float, around: float = 0.05) -> float:
@@ -141,14 +160,37 @@ def quantile_gap(worth: np.ndarray, share: float, around: float = 0.05) -> float
     Close means within ``around`` of the share: a few wrong labels move the share
     of poor rows a little, and the threshold should not cut through good ones.
     """
-    last = len(worth) - 1
-    low = min(max(1, int(share * (1 - around) * len(worth))), last)
-    high = min(max(low, int(round(share * (1 + around / 5) * len(worth)))), last)
+    low, high = _close(len(worth), share, around)
     gaps = worth[low:high + 1] - worth[low - 1:high]
     at = low + int(np.argmax(gaps))
     return float(worth[at - 1:at + 1].mean())
 
 
+def quantile_gap_of(rows: DataFrame, n: int, share: float, around: float = 0.05) -> float:
+    """``quantile_gap`` of the ``n`` values of a column ``worth``.
+
+    Values are dealt out by ranges; the driver gets the count and ends of each range.
+    """
+    low, high = _close(n, share, around)
+    dealt = staged(rows.repartitionByRange("worth").withColumn("part", F.spark_partition_id()), "worth")
+    ends = dealt.groupBy("part").agg(F.count("*").alias("n"), F.min("worth").alias("least"),
+                                     F.max("worth").alias("most")).collect()
+    before, last, ranges = 0, None, []
+    for part in sorted(ends, key=lambda r: r["least"]):
+        ranges.append((part["part"], before, last))
+        before, last = before + part["n"], part["most"]
+    ranges = rows.sparkSession.createDataFrame(ranges, "part int, before long, last double")
+    own = Window.partitionBy("part").orderBy("worth")
+    placed = dealt.withColumn("own", F.row_number().over(own)) \
+        .withColumn("previous", F.lag("worth").over(own)).join(F.broadcast(ranges), "part") \
+        .select("worth", (F.col("before") + F.col("own") - 1).alias("at"),
+                F.coalesce("previous", "last").alias("previous"))
+    widest = placed.where(F.col("at").between(low, high)).agg(F.max(F.struct(
+        (F.col("worth") - F.col("previous")).alias("gap"), (-F.col("at")).alias("first"),
+        "worth", "previous"))).first()[0]
+    return (widest["previous"] + widest["worth"]) / 2
+
+
 def scores(docs: DataFrame, labels: DataFrame, cut: float = 0.7, sample: int = SAMPLE,
            doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, score): one row for each row of ``docs``, fitted on ``labels``."""

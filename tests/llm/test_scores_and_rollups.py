@@ -45,6 +45,29 @@ def test_ranking_learns_preferences_and_its_gap():
     assert quality.quantile_gap(np.array([0, 1, 2, 10, 11, 12, 13, 14, 15, 16.0]), 0.3) == 6.0
 
 
+def test_threshold_is_of_all_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = quality.training_labels(spark.read.parquet(f"{SF}/labels.parquet"))
+    table = quality.feature_table(docs, ["doc_id"]).toPandas()
+    known = table.merge(labels.toPandas().dropna(), on="doc_id")
+    x, y = known[[f"f_{f}" for f in quality.FEATURES]].to_numpy(), known["label"].to_numpy()
+    found = quality.fit(spark.createDataFrame(table), labels, sample=60)
+    assert np.allclose(found.means, x.mean(axis=0)) and np.allclose(found.scales[x.std(axis=0) > 1e-9],
+                                                                    x.std(axis=0)[x.std(axis=0) > 1e-9])
+    worth = np.sort((x - found.means) / found.scales @ found.weights)
+    assert abs(found.threshold - quality.quantile_gap(worth, float((y == 0).mean()))) < 1e-9
+
+
+@pytest.mark.parametrize("share", [0.02, 0.3, 0.97])
+def test_quantile_gap_over_ranges(spark, share):
+    deal = np.random.default_rng(3)
+    values = np.r_[deal.normal(0, 1, 3000), np.repeat(0.25, 400), -0.5].round(3)
+    rows = spark.createDataFrame([(float(v),) for v in values], "worth double")
+    rows = rows.repartition(5)
+    assert abs(quality.quantile_gap_of(rows, len(values), share)
+               - quality.quantile_gap(np.sort(values), share)) < 1e-12
+
+
 def test_rollup_of_changes(spark):
     rollup = rollups.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     with pytest.raises(ValueError):
