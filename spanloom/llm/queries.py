@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, lines, pii, posindex, quality, rollups, secrets, simhash, urls
+from spanloom.llm import (audit, bpe, lines, pii, posindex, quality, rollups, secrets, simhash, urls,
+                          vectorcodes)
 from spanloom.llm.common import read
 from spanloom.llm.digests import DigestIndex
 from spanloom.llm.rollups import Rollup
@@ -126,3 +127,13 @@ def op10_line_dedup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped",
                                           F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    return audit.interaction(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op13_vector_codes(spark, sf_dir):
+    return vectorcodes.compress(read(spark, sf_dir, "embeddings")).drop("label")
