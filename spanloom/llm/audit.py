@@ -30,17 +30,14 @@ import json
 from itertools import permutations
 from typing import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.llm.common import NULL_ID, UPPER, staged
+from spanloom.llm.countfilter import filter_bits, hits
 
 LETTERS = "ABCDE"
 REPEATED = 1 << LETTERS.index("E")
-#: Counters of one segment of the filter, as a power of two, and the counters of a text.
-SEGMENT, PROBES = 18, 4
-COUNTERS_A_ROW = 16
 
 
 def own_failures(text: Column) -> Column:
@@ -54,67 +51,11 @@ def own_failures(text: Column) -> Column:
     return sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(failed)), F.lit(0)).cast("int")
 
 
-# ---- the counting Bloom filter ----------------------------------------------
-
-def _counters(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segment of each hash, and its different counters there, one row a hash."""
-    h = hashes.view(np.uint64)
-    of = ((h >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
-    step = (h >> np.uint64(SEGMENT)) | np.uint64(1)          # odd, so counters differ
-    at = h[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)
-    return of, (at & np.uint64((1 << SEGMENT) - 1)).astype(np.int64)
-
-
-def _pieces(segments: int):
-    """(segment, once, twice): counters that a batch of hashes raises to one, and beyond."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, at = _counters(batch.column(0).to_numpy(zero_copy_only=False), segments)
-            place, n = np.unique(of[:, None] << SEGMENT | at, return_counts=True)
-            own, first = np.unique(place >> SEGMENT, return_index=True)
-            low = (place & (1 << SEGMENT) - 1).astype(np.uint32)
-            ends = [*first[1:], len(place)]
-            cut = [(low[a:b], n[a:b] > 1) for a, b in zip(first, ends)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(own, pa.int64()), pa.array([x[~t].tobytes() for x, t in cut], pa.binary()),
-                pa.array([x[t].tobytes() for x, t in cut], pa.binary())], ["segment", "once", "twice"])
-    return run
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(segment, bits): the counters of two or more; all pieces of a segment are in one task."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for seg, once, twice in zip(*(c.to_pylist() for c in batch.columns)):
-            counters = held.setdefault(seg, np.zeros(1 << SEGMENT, np.uint8))
-            for raw, more in ((once, 1), (twice, 2)):
-                at = np.frombuffer(raw, np.uint32)
-                counters[at] = np.minimum(counters[at] + more, 2)
-    for seg, counters in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), pa.array(
-            [np.packbits(counters > 1, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
-
-
-def repeats_filter(hashes: DataFrame, max_bytes: int = 1 << 26) -> np.ndarray:
-    """Bits (segment, byte) of the counters that several rows of ``hashes`` (h) have raised."""
-    size = 1 << SEGMENT
-    rows = hashes.count()
-    segments = min(max(1, -(-rows * COUNTERS_A_ROW // size)), max(1, max_bytes * 8 // size))
-    merged = hashes.mapInArrow(_pieces(segments), "segment long, once binary, twice binary") \
-        .repartition("segment").mapInArrow(_merge, "segment long, bits binary")
-    bits = np.zeros((segments, size // 8), np.uint8)
-    for row in merged.toLocalIterator():                     # max_bytes at most
-        bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    return bits
-
-
 def _without_unique_texts(bits, text: int, h: int):
     """Texts of rows whose hash meets a counter below two become null."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value
         for batch in batches:
-            of, at = _counters(batch.column(h).to_numpy(zero_copy_only=False), len(known))
-            several = (known[of[:, None], at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1)
+            several = hits(bits.value, batch.column(h).to_numpy(zero_copy_only=False))
             columns = list(batch.columns)
             columns[text] = pa.array([x.as_py() if s else None for x, s in zip(columns[text], several)],
                                      pa.string())
@@ -131,7 +72,7 @@ def masks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"),
                       F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),
                       F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", text_hash(F.col("text")))
-    bits = spark.sparkContext.broadcast(repeats_filter(own.select("h"), max_bytes))
+    bits = spark.sparkContext.broadcast(filter_bits(own.select("h"), 2, max_bytes))
     judged = own.select("id", "part", "text", "h", own_failures(F.col("text")).alias("mask"))
     rows = staged(judged.mapInArrow(_without_unique_texts(bits, 2, 3),
                                     "id long, part string, text string, h long, mask int"), "judged")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import (audit, bpe, lines, pii, posindex, quality, rollups, secrets, simhash, urls,
+from spanloom.llm import (audit, bpe, lines, minhash, pii, posindex, quality, rollups, secrets, simhash, urls,
                           vectorcodes)
 from spanloom.llm.common import read
 from spanloom.llm.digests import DigestIndex
@@ -129,6 +129,11 @@ def op10_line_dedup(spark, sf_dir):
                                           F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op11_minhash(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), words_in=2)
+
+
 @query
 def op12_filter_audit(spark, sf_dir):
     return audit.interaction(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import audit, vectorcodes
+from spanloom.llm import audit, countfilter, vectorcodes
 
 # ---- filter interaction ----------------------------------------------------------
 
@@ -85,13 +85,13 @@ def test_only_possible_repeats_keep_their_text(spark):
     rows = [(i, f"text {i if i < 4000 else i % 40}") for i in range(5000)]
     hashes = spark.createDataFrame(rows, "id long, text string").repartition(7).select(
         F.xxhash64("text").alias("h"))
-    bits = audit.repeats_filter(hashes)
+    bits = countfilter.filter_bits(hashes, 2)
     values = np.array([r.h for r in hashes.distinct().collect()], np.int64)
-    of, at = audit._counters(values, len(bits))
-    several = (bits[of[:, None], at >> 3] >> (at & 7) & 1).all(axis=1)
+    several = countfilter.hits(bits, values)
     often = {r.h for r in hashes.groupBy("h").count().where("count > 1").collect()}
     flagged = set(values[several].tolist())
     assert often <= flagged and len(flagged) <= 40 + 0.02 * len(values)
+    assert countfilter.hits(countfilter.filter_bits(hashes, 1), values).all()
 
 
 # ---- vector codes ---------------------------------------------------------------------

@@ -111,7 +111,7 @@ def test_failed_batch_is_written_anew(spark):
 # ---- the pipeline against plain Python -------------------------------------
 
 def test_pipeline(spark, tmp_path):
-    from tests.llm.test_near_and_exact import classes, slow_print
+    from tests.llm.test_minhash import slow_classes
     from tests.llm.test_texts import LIBRARY, slow_hits, slow_lines
 
     sf = "/root/testdata/sf0.001"
@@ -133,9 +133,7 @@ def test_pipeline(spark, tmp_path):
             assert after == sorted(x[:2] for x in slow_lines(before)) and after != sorted(before)
             assert found.where("n_chars <> length(text)").count() == 0
         if k == 2:
-            prints = {i: slow_print(t) for i, t in before}
-            group = classes([(a, b) for a in prints for b in prints
-                             if a < b and (prints[a] ^ prints[b]).bit_count() <= 4], prints)
+            group = slow_classes(before)
             assert after == sorted(x for x in before if group[x[0]] == x[0])
         if k == 3:
             hit = {x[0] for x in slow_hits(before, items, 10) if x[2]}
