@@ -93,18 +93,18 @@ def source_folder(spark: SparkSession, sf_dir: str) -> str:
         quoted = F.concat(F.lit('"'), F.replace("head", F.lit('"'), F.lit('""')), F.lit('"'))
         spans = F.concat(F.lit("RANumb,Text,Label\r\nra1,"), quoted, F.lit(",Others\r\n ra2 ,"), quoted,
                          F.lit(",  Methods to exercise rights\r\nra3,,Others\r\n"))
-        crawl = F.concat(F.lit(" "), F.col("url"), F.lit(",y,,,,\n"))
-        header = spark.createDataFrame([(f"Crawl/{s}.csv", 0, "Link,IsHomepage,Textmatch_P,Textmatch_S,"
-                                         "Textmatch_PP,Link_Match\n") for s in ("db", "ws")],
-                                       "path string, place int, line string")
+        crawl = rows.select("subset", "num", F.concat(F.lit(" "), F.col("url"), F.lit(",y,,,,")).alias("line"))
 
         def files(folder: str, end: str, line) -> DataFrame:
             return rows.select(F.concat(F.lit(f"{folder}/"), "subset", F.lit("/"), "num", F.lit(end)).alias("path"),
                                F.lit(0).alias("place"), line.alias("line"))
-        write_files(files("Htmls", ".html", F.col("html")).unionByName(files("Annotations", ".csv", spans))
-                    .unionByName(header).unionByName(rows.select(
-                        F.concat(F.lit("Crawl/"), F.lower("subset"), F.lit(".csv")).alias("path"),
-                        F.col("num").alias("place"), crawl.alias("line"))), root)
+        write_files(files("Htmls", ".html", F.col("html")).unionByName(files("Annotations", ".csv", spans)), root)
+        for subset in ("DB", "WS"):                            # one file in parts
+            header = spark.createDataFrame([(0, "Link,IsHomepage,Textmatch_P,Textmatch_S,Textmatch_PP,Link_Match")],
+                                           "num int, line string")
+            own = crawl.where(F.col("subset") == subset).select("num", "line").unionByName(header)
+            own.repartitionByRange("num").sortWithinPartitions("num").select("line").write.text(
+                f"{root}/Crawl/{subset.lower()}.csv")
         _FOLDERS[key] = root
     return _FOLDERS[key]
 

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from itertools import islice
-from typing import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanloom.functions.text import normalize, strip
+from spanloom.sources import csvranges
 
 # --- fixed values: source columns -------------------------------------------
 SPAN_COLUMNS = {"RANumb": "ranumb", "Text": "text", "Label": "label"}
@@ -27,10 +22,6 @@ def _files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
             .select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
 
 
-#: Rows of a file that are handed on at once.
-CHUNK_ROWS = 10_000
-
-
 def _named(files: DataFrame) -> DataFrame:
     """Subset folder and document number from ``…/{subset}/{num}.ext``."""
     part = F.regexp_extract("path", r"([^/]+)/(\d+)\.[a-z]+$", 1)
@@ -39,26 +30,6 @@ def _named(files: DataFrame) -> DataFrame:
         "num", F.col("_num").cast("int")).drop("_num")
 
 
-def _csv_rows(files: DataFrame, keep: list[str], columns: dict[str, str]) -> DataFrame:
-    """Rows of each CSV with their place in the file, which a split scan loses."""
-    names = list(columns.values())
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for record in batch.itertuples(index=False):
-                reader = csv.DictReader(io.StringIO(record.content, newline=""))
-                rows = ([getattr(record, k) for k in keep] + [i]
-                        + [row.get(c) or "" for c in columns] for i, row in enumerate(reader))
-                while part := list(islice(rows, CHUNK_ROWS)):
-                    yield pd.DataFrame(part, columns=[*keep, "row", *names])
-
-    kept = files.select(*keep, "content")
-    types = dict(kept.dtypes)
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keep], "row int",
-                        *[f"{n} string" for n in names]])
-    return kept.mapInPandas(parse, schema)
-
-
 def read_html(spark: SparkSession, root: str) -> DataFrame:
     """Pages: subset, num, html, html_path."""
     return _named(_files(spark, f"{root}/Htmls", "*.html")).select(
@@ -67,8 +38,7 @@ def read_html(spark: SparkSession, root: str) -> DataFrame:
 
 def read_span_rows(spark: SparkSession, root: str) -> DataFrame:
     """All rows of the annotation files, unfiltered."""
-    files = _named(_files(spark, f"{root}/Annotations", "*.csv"))
-    return _csv_rows(files, ["subset", "num", "path"], SPAN_COLUMNS)
+    return _named(csvranges.rows(spark, f"{root}/Annotations", r"\.csv$", SPAN_COLUMNS))
 
 
 def usable_spans(rows: DataFrame) -> DataFrame:
@@ -84,14 +54,12 @@ def usable_spans(rows: DataFrame) -> DataFrame:
 
 def read_crawl(spark: SparkSession, root: str, subsets=("DB", "WS")) -> DataFrame:
     """Crawl rows; data row i describes document number i + 1 of its subset."""
-    files = _files(spark, f"{root}/Crawl", "*.csv")
+    rows = csvranges.rows(spark, f"{root}/Crawl", r"\.csv$", CRAWL_COLUMNS)
     name = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))
     subset = F.lit(None).cast("string")
     for s in subsets:
         subset = F.when(F.contains(name, F.lit(s.lower())), s).otherwise(subset)
-    rows = _csv_rows(files.withColumn("subset", subset).where("subset is not null"),
-                     ["subset", "path"], CRAWL_COLUMNS)
-    return rows.select("subset", (F.col("row") + 1).alias("num"),
+    return rows.withColumn("subset", subset).where("subset is not null").select("subset", (F.col("row") + 1).alias("num"),
                        *[strip(F.col(c)).alias(c) for c in CRAWL_COLUMNS.values()],
                        F.col("path").alias("crawl_path"))
 
