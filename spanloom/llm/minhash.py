@@ -10,7 +10,9 @@ verified on the whole sets.
 No bucket is compared in all pairs. Its hub, the set that shares the largest buckets
 elsewhere, is compared with the others first; linked sets need no more comparison, nor
 does the hub. Buckets that are still in several components get another hub, as long as
-that halves what is open; only sets that no hub has linked by then meet in pairs.
+that halves what is open. In the rest, only sets of different components meet, and only
+if a bound allows it that misses no pair: every set has 512 bits, each shingle flips one,
+and two sets have at least as many different shingles as different bits.
 
 Two sets of similarity 0.8 share none of the 32 bands of 4 with probability 5e-8.
 
@@ -38,6 +40,8 @@ from spanloom.llm.countfilter import filter_bits, hits
 
 HASHES, BATCH = 256, 64
 BANDS, ROWS = 32, 4
+#: Longs with the parity bits of a set.
+PARITIES = [f"p{i}" for i in range(8)]
 
 
 def _numbers(name: str, n: int) -> np.ndarray:
@@ -86,17 +90,25 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """512 bits as longs: whether an odd number of shingles falls on a bit."""
+    odd = np.bincount((grams >> np.uint64(3)).astype(np.int64) & 511, minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signatures(own: DataFrame, words_in: int) -> DataFrame:
-    """(id, node, n, keys, sig): hash and size of the set, its band keys, a byte for each minimum."""
+    """(id, node, n, keys, sig, p0, …): hash and size of the set, its band keys, a byte for
+    each minimum, and its parity bits."""
     def run(texts: Iterable[str | None]) -> Iterator[tuple]:
         for x in texts:
             grams = shingles(x, words_in)
             mins = minima(grams)
             yield (_node(grams), len(grams), band_keys(mins) if len(grams) else [],
-                   mins.astype(np.uint8).tobytes())
+                   mins.astype(np.uint8).tobytes(), *parity(grams).tolist())
     return per_row(own, ["id"], "text", [
         StructField("node", LongType()), StructField("n", LongType()),
-        StructField("keys", ArrayType(LongType())), StructField("sig", BinaryType())], run)
+        StructField("keys", ArrayType(LongType())), StructField("sig", BinaryType()),
+        *[StructField(p, LongType()) for p in PARITIES]], run)
 
 
 # ---- pruning -------------------------------------------------------------------
@@ -191,7 +203,7 @@ def links(own: DataFrame, signed: DataFrame, percent: int, words_in: int, miss:
     open_ = staged(met.join(weights, "node").select(
         "key", "node", "n", F.col("node").alias("own"), "weight"), "open")
     nodes = staged(weights.select("node").join(one.select("node", "id"), "node"), "met_nodes")
-    sigs = staged(signed.join(nodes.select("node"), "node", "left_semi").select("node", "sig")
+    sigs = staged(signed.join(nodes.select("node"), "node", "left_semi").select("node", "sig", *PARITIES)
                   .dropDuplicates(["node"]), "met_signatures")
     sets = staged(whole_sets(own, nodes, words_in), "met_sets")
 
@@ -205,9 +217,12 @@ def links(own: DataFrame, signed: DataFrame, percent: int, words_in: int, miss:
     found, before = None, None
     while rows := open_.count():
         if before is not None and 2 * rows > before:
-            x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "own")])
+            bits = open_.join(sigs.select("node", *PARITIES), "node")
+            x, y = (bits.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "own", *PARITIES)])
                     for s in "xy")
-            pairs = x.join(y, "key").where("own_x < own_y").where(sizes_fit("n_x", "n_y"))
+            differ = sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in PARITIES), F.lit(0))
+            pairs = x.join(y, (x["key"] == y["key"]) & (F.col("own_x") < F.col("own_y")) & sizes_fit("n_x", "n_y")
+                           & (differ * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)))
             last = verified(pairs.select(F.least("node_x", "node_y").alias("a"),
                                          F.greatest("node_x", "node_y").alias("b")))
             return found.unionByName(last)

@@ -150,3 +150,13 @@ def test_pipeline_stage_equals_brute_force(spark):
     kept = corpus_pipeline.first_of_near_copies(spark, docs, "")
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, first in slow_classes(rows).items() if i == first}
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for n, share in ((5, 3), (150, 140), (150, 100), (5000, 4000)):
+        grams = rng.integers(0, 1 << 63, 2 * n, np.uint64)
+        x, y = grams[:n], grams[n - share:2 * n - share]
+        bits = sum(int(a).bit_count() for a in (minhash.parity(x) ^ minhash.parity(y)).view(np.uint64))
+        assert bits <= 2 * (n - share)
+    assert bits > 200
