@@ -509,6 +509,7 @@ select doc_id, span_rep, position as unit_rep from (
     "annotator_pool": with_support("select doc_id, pool from pool"),
     "unit_support_t1": with_support("select unit_id, label, k, pool, stars from support"),
     "unit_support_t2": with_support("select unit_id, label, k, pool, stars from support", 2),
+    "unit_support_t5": with_support("select unit_id, label, k, pool, stars from support", 5),
     "event_support": """with e as (
   select user_id || '_' || strftime(ts, '%Y-%m-%d') as unit_id, user_id, event_type as label, event_id % 6 as a from events),
 p as (select user_id, count(distinct a) as pool from e group by 1),
@@ -553,6 +554,16 @@ from text_units u left join support s using (unit_id) where u.label_category <>
     "units_page": with_support("""
 select unit_id, unit_text, verbatim_labels, annotators, (select max(stars) from support s where s.unit_id = p.unit_id) as support_stars
 from (select * from text_units order by doc_id, position limit 50 offset 7) p"""),
+    "units_page_deep": with_support("""
+select unit_id, unit_text, verbatim_labels, annotators, (select max(stars) from support s where s.unit_id = p.unit_id) as support_stars
+from (select * from text_units order by doc_id, position
+      limit 50 offset (select greatest(0, count(*) - 200) from text_units)) p"""),
+    "units_page_filtered": with_support("""
+select unit_id, unit_text, verbatim_labels, (select max(stars) from support s where s.unit_id = p.unit_id) as support_stars,
+  (select max(k) from support s where s.unit_id = p.unit_id) as support_evidence
+from (select * from text_units t where label_category in ('single_label', 'multi_label')
+      and exists (select 1 from support s where s.unit_id = t.unit_id group by s.unit_id having max(k) * 2 >= max(pool))
+      order by doc_id, position limit 40 offset 30) p"""),
     "units_total": with_tables("select count(*) as total from text_units where annotator_count >= 2"),
     "unit_alignment": with_tables(
         "select g.unit_id, g.annotation_id, g.ranumb, a.text, g.label, g.alignment_type from alignment g join annotations a using (annotation_id)"),

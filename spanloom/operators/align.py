@@ -13,6 +13,7 @@ folded first, so copies are compared once and expanded at the end.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -110,29 +111,30 @@ def best_overlap(stexts: DataFrame, utexts: DataFrame) -> DataFrame:
             .select("doc_id", "span_rep", "b.unit_rep", "b.first_kind"))
 
 
-def align(units: DataFrame, spans: DataFrame, folder: str | None = None) -> Alignment:
+def align(units: DataFrame, spans: DataFrame,
+          keep: Callable[[DataFrame, str], DataFrame] = write_and_read) -> Alignment:
     """Align ``spans`` (annotation_id, doc_id, src_row, text, label, ranumb, …) to
     ``units`` (doc_id, position, unit_id, unit_kind, unit_text).
 
-    Tier results are written to the shared folder: every later tier and the
-    final tables read them more than once.
+    ``keep`` writes a table under a name and reads it back: every later tier and the
+    final tables read tier results more than once.
     """
     key = ["doc_id", "span_rep"]
-    u = write_and_read(units.select("doc_id", "position", "unit_id", "unit_kind",
-                                    normalize(F.col("unit_text")).alias("norm")),
-                       "unit_norms", folder)
-    s = write_and_read(spans.withColumn("norm", normalize(F.col("text"))), "span_norms", folder)
-    utexts = write_and_read(unit_texts(u), "unit_texts", folder)
-    stexts = write_and_read(span_texts(s), "span_texts", folder)
-
-    a_pairs = write_and_read(contained_in_units(stexts, utexts), "tier_a", folder)
+    u = keep(units.select("doc_id", "position", "unit_id", "unit_kind",
+                          normalize(F.col("unit_text")).alias("norm")),
+             "unit_norms")
+    s = keep(spans.withColumn("norm", normalize(F.col("text"))), "span_norms")
+    utexts = keep(unit_texts(u), "unit_texts")
+    stexts = keep(span_texts(s), "span_texts")
+
+    a_pairs = keep(contained_in_units(stexts, utexts), "tier_a")
     a = a_pairs.groupBy(*key).agg(F.sum("n_units").alias("n_hits"),
                                   F.min("unit_rep").alias("unit_rep"),
                                   F.min("first_kind").alias("first_kind"))
     left_b = stexts.join(a, key, "left_anti")
-    b_pairs = write_and_read(containing_units(left_b, utexts), "tier_b", folder)
+    b_pairs = keep(containing_units(left_b, utexts), "tier_b")
     left_c = left_b.join(b_pairs, key, "left_anti")
-    c = write_and_read(best_overlap(left_c, utexts), "tier_c", folder)
+    c = keep(best_overlap(left_c, utexts), "tier_c")
 
     # Outcome per span text. A and C name one unit, B a unit text.
     single = (a.where("n_hits = 1").select(*key, "unit_rep", "first_kind",

@@ -16,7 +16,7 @@ def unit_evidence(alignment: DataFrame) -> DataFrame:
     def distinct(c: str, only: Column | None = None) -> Column:
         return F.array_sort(F.collect_set(F.when(only, F.col(c)) if only is not None else F.col(c)))
 
-    return alignment.groupBy("unit_id").agg(
+    return alignment.groupBy("doc_id", "unit_id").agg(
         distinct("label", sentence).alias("labels"),
         distinct("ranumb").alias("annotators"),
         distinct("alignment_type", sentence).alias("types"),
@@ -35,7 +35,7 @@ def label_units(units: DataFrame, alignment: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     sentence = F.col("unit_kind") == "sentence"
     types = F.array_join("types", ";")
-    return (units.join(e, "unit_id", "left")
+    return (units.join(e, ["doc_id", "unit_id"], "left")
             .withColumns({"labels": F.coalesce("labels", empty),
                           "annotators": F.coalesce("annotators", empty)})
             .withColumns({
@@ -69,16 +69,32 @@ def tier(k: Column, pool: Column) -> Column:
     return F.when(k == pool, 3).when(k * 2 >= pool, 2).otherwise(1)
 
 
-def unit_support(vote_rows: DataFrame, pool: DataFrame, threshold: int | None = 1) -> DataFrame:
+def vote_ladder(vote_rows: DataFrame, pool: DataFrame) -> DataFrame:
+    """Per (unit, label) the span counts of its annotators, largest first, and the pool.
+
+    The support at any threshold t follows from it: as many annotators as entries >= t.
+    """
+    per_annotator = vote_rows.groupBy("doc_id", "unit_id", "label", "ranumb").agg(F.count("*").alias("c"))
+    ladder = per_annotator.groupBy("doc_id", "unit_id", "label").agg(
+        F.sort_array(F.collect_list("c"), asc=False).alias("steps"))     # at most the pool
+    return ladder.join(pool, "doc_id").select("unit_id", "doc_id", "label", "steps", "pool")
+
+
+def support_at(ladder: DataFrame, threshold: int | None = 1) -> DataFrame:
     """Annotators behind each (unit, label): k, pool and agreement stars.
 
     An annotator counts with at least ``threshold`` aligned spans for the pair.
     """
     t = int(threshold or 1)
-    per_annotator = vote_rows.groupBy("doc_id", "unit_id", "label", "ranumb").agg(
-        F.count("*").alias("c")).where(F.col("c") >= t)
-    pairs = per_annotator.groupBy("doc_id", "unit_id", "label").agg(F.count("*").alias("k"))
-    return pairs.join(pool, "doc_id").withColumn("stars", tier(F.col("k"), F.col("pool")))
+    k = F.size(F.filter("steps", lambda c: c >= t)).cast("long")
+    found = ladder if t == 1 else ladder.where(F.get("steps", F.lit(0)) >= t)
+    return found.select("doc_id", "unit_id", "label", k.alias("k"), "pool",
+                        tier(k, F.col("pool")).alias("stars"))
+
+
+def unit_support(vote_rows: DataFrame, pool: DataFrame, threshold: int | None = 1) -> DataFrame:
+    """The support at one threshold, counted from votes."""
+    return support_at(vote_ladder(vote_rows, pool), threshold)
 
 
 def support_gate(support: DataFrame, min_support: int | None = 1,
@@ -86,14 +102,14 @@ def support_gate(support: DataFrame, min_support: int | None = 1,
     """Unit ids whose best label meets the tier (all others: at least one vote)."""
     level = int(min_support or 1)
     level = level if level in (1, 2, 3) else 1
-    best = support.groupBy("unit_id").agg(F.max("k").alias("mk"), F.max("pool").alias("pool"))
+    best = support.groupBy("doc_id", "unit_id").agg(F.max("k").alias("mk"), F.max("pool").alias("pool"))
     stars = tier(F.col("mk"), F.col("pool"))
-    return best.where(stars == level if mode == "exact" else stars >= level).select("unit_id")
+    return best.where(stars == level if mode == "exact" else stars >= level).select("unit_id", "doc_id")
 
 
 def support_by_unit(support: DataFrame) -> DataFrame:
     """Support pairs of a unit as one array, with the best stars and vote count."""
     pair = F.struct("label", "k", "pool", "stars")
-    return support.groupBy("unit_id").agg(
+    return support.groupBy("doc_id", "unit_id").agg(
         F.array_sort(F.collect_list(pair)).alias("support"),
         F.max("stars").alias("support_stars"), F.max("k").alias("support_evidence"))

@@ -9,7 +9,7 @@ from typing import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.functions.text import contains_ci, like_ci
-from spanloom.operators.evidence import annotator_pool, support_gate, unit_support, votes
+from spanloom.operators.evidence import support_at, support_gate
 from spanloom.plans.corpus import Corpus
 
 # --- fixed values: sample families ------------------------------------------
@@ -97,9 +97,7 @@ def _column_conditions(f: UnitFilter) -> list[Column]:
 
 
 def gate(corpus: Corpus, f: UnitFilter) -> DataFrame:
-    support = corpus.support if f.threshold == 1 else unit_support(
-        votes(corpus.alignment), annotator_pool(corpus.annotations), f.threshold)
-    return support_gate(support, f.tier, f.mode)
+    return support_gate(support_at(corpus.ladder, f.threshold), f.tier, f.mode)
 
 
 def filter_units(corpus: Corpus, f: UnitFilter) -> DataFrame:
@@ -107,7 +105,7 @@ def filter_units(corpus: Corpus, f: UnitFilter) -> DataFrame:
 
     Conditions on plain columns come first and reach the scan. Labels are looked
     up in the unit's own label array (equal to a join with ``unit_labels``). The
-    vote count runs only when a condition depends on it.
+    ladder of votes is read only when a condition depends on it.
     """
     units = corpus.text_units.where(reduce(lambda a, b: a & b, _column_conditions(f), F.lit(True)))
     wanted, unwanted = name_list(f.labels), name_list(f.exclude_labels)
@@ -130,13 +128,13 @@ def filter_units(corpus: Corpus, f: UnitFilter) -> DataFrame:
         if not f.narrows_evidence:
             return units
         defined = units.where(category.isin("single_label", "multi_label"))
-        return defined.join(gate(corpus, f), "unit_id", "left_semi")
+        return defined.join(gate(corpus, f), ["doc_id", "unit_id"], "left_semi")
     if not views:
         return units
     if not f.needs_gate:
         return units.where(reduce(lambda a, b: a | b, [family[v] for v in views]))
     gated = reduce(lambda a, b: a | b, [family[v] for v in views if v in ("single", "multi")])
-    passed = units.where(gated).join(gate(corpus, f), "unit_id", "left_semi")
+    passed = units.where(gated).join(gate(corpus, f), ["doc_id", "unit_id"], "left_semi")
     rest = [family[v] for v in dict.fromkeys(views) if v in ("null", "fragments")]
     if not rest or f.narrows_evidence:
         return passed
@@ -146,7 +144,7 @@ def filter_units(corpus: Corpus, f: UnitFilter) -> DataFrame:
 def underdefined(corpus: Corpus, f: UnitFilter) -> DataFrame:
     """Labelled sentences that fail the support condition of ``f``."""
     defined = corpus.text_units.where(F.col("label_category").isin("single_label", "multi_label"))
-    return defined.join(gate(corpus, f), "unit_id", "left_anti")
+    return defined.join(gate(corpus, f), ["doc_id", "unit_id"], "left_anti")
 
 
 def filter_spans(annotations: DataFrame, doc_id: str | None = None, ranumb: str | None = None,

@@ -84,5 +84,5 @@ def corpus_slice(corpus: Corpus, per_subset: int) -> Corpus:
                          .where(F.col("_k") <= per_subset).select("doc_id"), "slice_ids")
     docs = corpus.documents.join(ids, "doc_id", "left_semi")
     rest = [getattr(corpus, t).join(ids, "doc_id", "left_semi")
-            for t in ("annotations", "text_units", "unit_labels", "alignment", "ambiguous", "support")]
+            for t in ("annotations", "text_units", "unit_labels", "alignment", "ambiguous", "ladder", "page_index")]
     return Corpus(docs, *rest)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.operators import evidence
 from spanloom.operators.filters import UnitFilter, filter_documents, filter_spans, filter_units
+from spanloom.operators.paging import locate, locate_all
 from spanloom.plans.corpus import Corpus
 
 
@@ -38,36 +39,32 @@ def unit_view(units: DataFrame, *extra: Column) -> DataFrame:
         F.col("unit_text").alias("text"), verbatim_label().alias("verbatim_label"), *extra)
 
 
-def corpus_support(corpus: Corpus, threshold: int | None = 1,
-                   only: DataFrame | None = None) -> DataFrame:
-    """Support of every labelled unit, or of the units in ``only``.
-
-    For a threshold of 1 it stands in a table, for others the votes are counted.
-    """
-    if int(threshold or 1) == 1:
-        return corpus.support if only is None else corpus.support.join(
-            only.select("unit_id"), "unit_id", "left_semi")
-    cast = evidence.votes(corpus.alignment)
-    if only is not None:
-        cast = cast.join(only.select("unit_id"), "unit_id", "left_semi")
-    return evidence.unit_support(cast, evidence.annotator_pool(corpus.annotations), threshold)
+def corpus_support(corpus: Corpus, threshold: int | None = 1, only: Column | None = None) -> DataFrame:
+    """Support of every labelled unit, or of those that a condition on ``doc_id`` leaves."""
+    ladder = corpus.ladder if only is None else corpus.ladder.where(only)
+    return evidence.support_at(ladder, threshold)
 
 
 def with_support(units: DataFrame, corpus: Corpus, threshold: int | None = 1,
-                 only: DataFrame | None = None) -> DataFrame:
+                 only: Column | None = None) -> DataFrame:
     """Attach support pairs, best stars and best vote count (NULL when none)."""
     pairs = evidence.support_by_unit(corpus_support(corpus, threshold, only))
-    return units.join(pairs, "unit_id", "left")
+    return units.join(pairs, ["doc_id", "unit_id"], "left")
 
 
 def units(corpus: Corpus, f: UnitFilter = UnitFilter(), limit: int | None = 50,
           offset: int = 0) -> DataFrame:
     """One page of matching units in (doc_id, position) order, with support.
 
-    For a page only the votes of its own units are counted.
+    A page reads the documents that hold it, of the units and of the votes.
     """
-    rows = page(filter_units(corpus, f), ["doc_id", "position"], limit, offset)
-    return with_support(unit_view(rows), corpus, f.threshold, rows if limit is not None else None)
+    rows, order = filter_units(corpus, f), ["doc_id", "position"]
+    if limit is None:
+        return with_support(unit_view(page(rows, order, None, offset)), corpus, f.threshold)
+    whole = replace(f, evidence_threshold=None) == UnitFilter()
+    only, skip = (locate_all(corpus.page_index, "units", offset, limit) if whole and not f.narrows_evidence
+                  else locate(corpus.page_index, rows, offset, limit))
+    return with_support(unit_view(page(rows.where(only), order, limit, skip)), corpus, f.threshold, only)
 
 
 def unit_total(corpus: Corpus, f: UnitFilter = UnitFilter()) -> DataFrame:
@@ -80,16 +77,16 @@ def _of(df: DataFrame, column: str, ids: Iterable[str] | None) -> DataFrame:
 
 def unit_spans(corpus: Corpus, unit_ids: Iterable[str] | None = None) -> DataFrame:
     """Spans behind the given units (all units without ids)."""
-    text = corpus.annotations.select("annotation_id", "text")
-    return (_of(corpus.alignment, "unit_id", unit_ids).join(text, "annotation_id")
+    text = corpus.annotations.select("doc_id", "annotation_id", "text")
+    return (_of(corpus.alignment, "unit_id", unit_ids).join(text, ["doc_id", "annotation_id"])
             .select("unit_id", "annotation_id", "ranumb", "text", "label", "alignment_type"))
 
 
 def span_units(corpus: Corpus, annotation_ids: Iterable[str] | None = None) -> DataFrame:
     """Units the given spans are aligned to, one row each."""
-    u = corpus.text_units.select("unit_id", "position", "unit_text", "fragment_type",
+    u = corpus.text_units.select("doc_id", "unit_id", "position", "unit_text", "fragment_type",
                                  "label_category")
-    return (_of(corpus.alignment, "annotation_id", annotation_ids).join(u, "unit_id")
+    return (_of(corpus.alignment, "annotation_id", annotation_ids).join(u, ["doc_id", "unit_id"])
             .select("annotation_id", "unit_id", "position", "unit_text", "unit_kind",
                     "fragment_type", "label_category", "alignment_type"))
 
@@ -174,15 +171,19 @@ def document_spans(corpus: Corpus, doc_ids: Iterable[str] | None = None,
                    ranumb: str | None = None, label: str | None = None) -> DataFrame:
     """Spans of documents with their aligned units: one row per (span, unit)."""
     spans = _of(filter_spans(corpus.annotations, ranumb=ranumb, label=label), "doc_id", doc_ids)
-    units_of = corpus.alignment.select("annotation_id", "unit_id")
-    return spans.join(units_of, "annotation_id", "left").select(
+    units_of = corpus.alignment.select("doc_id", "annotation_id", "unit_id")
+    return spans.join(units_of, ["doc_id", "annotation_id"], "left").select(
         "annotation_id", "doc_id", "src_row", "ranumb", "text", "label", "status", "unit_id")
 
 
 def spans(corpus: Corpus, limit: int | None = 100, offset: int = 0, **conditions) -> DataFrame:
-    """One page of spans in (doc_id, src_row) order."""
-    return page(filter_spans(corpus.annotations, **conditions), ["doc_id", "src_row"],
-                limit, offset)
+    """One page of spans in (doc_id, src_row) order; it reads the documents that hold it."""
+    rows, order = filter_spans(corpus.annotations, **conditions), ["doc_id", "src_row"]
+    if limit is None:
+        return page(rows, order, None, offset)
+    only, skip = (locate(corpus.page_index, rows, offset, limit) if any(conditions.values())
+                  else locate_all(corpus.page_index, "spans", offset, limit))
+    return page(rows.where(only), order, limit, skip)
 
 
 def with_matched_units(span_page: DataFrame, corpus: Corpus) -> DataFrame:

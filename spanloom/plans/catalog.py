@@ -315,10 +315,15 @@ def unit_support_t2(c):
     return _support(c, 2)
 
 
+@corpus_query
+def unit_support_t5(c):
+    return _support(c, 5)
+
+
 for _mode in ("at_least", "exact"):
     for _tier in (1, 2, 3):
         def _gate(spark, sf_dir, m=_mode, t=_tier):
-            return filters.gate(built(spark, sf_dir), UnitFilter(min_support=t, support_mode=m))
+            return filters.gate(built(spark, sf_dir), UnitFilter(min_support=t, support_mode=m)).select("unit_id")
         QUERIES[f"support_gate_{_mode}_{_tier}"] = _gate
 
 
@@ -402,6 +407,22 @@ def units_page(c):
         "unit_id", "unit_text", "verbatim_labels", "annotators", "support_stars")
 
 
+@corpus_query
+def units_page_deep(c):
+    """The last full page but three, found by the page index."""
+    offset = max(0, c.text_units.count() - 200)
+    return views.units(c, UnitFilter(), limit=50, offset=offset).select(
+        "unit_id", "unit_text", "verbatim_labels", "annotators", "support_stars")
+
+
+@corpus_query
+def units_page_filtered(c):
+    """A page of labelled units on which at least half of the annotators agree."""
+    f = UnitFilter(sample_view="single,multi", min_support=2)
+    return views.units(c, f, limit=40, offset=30).select(
+        "unit_id", "unit_text", "verbatim_labels", "support_stars", "support_evidence")
+
+
 @corpus_query
 def units_total(c):
     return views.unit_total(c, UnitFilter(min_annotators=2))

@@ -1,4 +1,4 @@
-"""Corpus build: documents and spans in, seven durable tables out."""
+"""Corpus build: documents and spans in, eight durable tables out."""
 
 from __future__ import annotations
 
@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spanloom import schema
 from spanloom.operators import evidence
 from spanloom.operators.align import align
+from spanloom.operators.paging import page_index
 from spanloom.operators.units import units_from_blocks
-from spanloom.session import remove, shared_dir, write_and_read, write_table
+from spanloom.session import (forget, read_buckets, remove, shared_dir, write_and_read, write_buckets,
+                              write_table)
 
 
 @dataclass
@@ -22,7 +24,8 @@ class Corpus:
     unit_labels: DataFrame
     alignment: DataFrame
     ambiguous: DataFrame
-    support: DataFrame              # with an evidence threshold of 1
+    ladder: DataFrame               # votes per unit and label, for any threshold
+    page_index: DataFrame           # rows before each document
 
     def register(self) -> "Corpus":
         """Expose every table as a view for ``spark.sql``."""
@@ -34,7 +37,14 @@ class Corpus:
     def load(spark: SparkSession, folder: str) -> "Corpus":
         """Tables of the last version that was built completely."""
         last = spark.read.parquet(f"{folder}/versions").orderBy(F.desc("built_at"), "version").first()
-        return Corpus(*[spark.read.parquet(f"{folder}/{last['version']}/{f.name}") for f in fields(Corpus)])
+        spark.conf.set(*CO_PARTITION)
+
+        def table(name: str) -> DataFrame:
+            path, (order, partition) = f"{folder}/{last['version']}/{name}", LAYOUT[name]
+            if not last["buckets"] or name in UNBUCKETED:
+                return spark.read.parquet(path)
+            return read_buckets(spark, path, "doc_id", order, last["buckets"], partition)
+        return Corpus(*[table(f.name) for f in fields(Corpus)])
 
 
 #: Folders and sort order of the tables: conditions on them prune a scan.
@@ -42,42 +52,70 @@ LAYOUT = {
     "documents": (["doc_id"], "subset"), "annotations": (["doc_id", "src_row"], None),
     "text_units": (["doc_id", "position"], "subset"), "unit_labels": (["doc_id", "unit_id"], None),
     "alignment": (["doc_id", "unit_id"], None), "ambiguous": (["doc_id", "span_rep"], None),
-    "support": (["doc_id", "unit_id"], None),
+    "ladder": (["doc_id", "unit_id"], None), "page_index": (["doc_id"], None),
 }
+#: In ranges of documents, so that a condition on the rows before leaves out files.
+UNBUCKETED = ("page_index",)
+#: Tables hashed by document also join by document and more columns as they are.
+CO_PARTITION = ("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
 def build(documents: DataFrame, blocks: DataFrame, spans: DataFrame,
-          folder: str | None = None, full_urls: bool = False) -> Corpus:
+          folder: str | None = None, full_urls: bool = False, buckets: int | None = None) -> Corpus:
     """Full rebuild of all tables below ``folder`` (default: a new one in the shared folder).
 
     ``documents`` has the document columns, ``blocks`` doc_id, subset and the
     ``blocks`` array, ``spans`` the annotation columns without a status. Tables are
     written below a new version, which counts once all of them are there; what was
     written in between is removed.
+
+    Units and spans are dealt out by document once, into ``buckets`` (default: the
+    session's shuffle partitions). All tables but the page index are kept that way, and
+    no join of theirs by document needs an exchange. With ``buckets=0`` tables are
+    plain: for corpora in which one document has a large share of all spans, because
+    joins then shuffle and adaptive execution splits what is skewed.
     """
     spark = documents.sparkSession
+    spark.conf.set(*CO_PARTITION)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) if buckets is None else buckets
     version = f"version-{uuid.uuid4().hex}"
     folder = folder or f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     work = f"{folder}/work-{version}"
-    units = write_and_read(units_from_blocks(blocks, full_urls=full_urls), "units", work)
-    spans = write_and_read(spans, "spans", work)
-    result = align(units, spans, work)
+    between: list[str] = []
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(buckets, "doc_id") if buckets else df
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        if not buckets:
+            return write_and_read(df, name, work)
+        between.append(f"{work}/{name}")
+        return write_buckets(df, between[-1], "doc_id", ["doc_id"], buckets)
 
     def table(name: str, df: DataFrame) -> DataFrame:
-        order, partition = LAYOUT[name]
-        return write_table(df, f"{folder}/{version}/{name}", order, partition)
+        path, (order, partition) = f"{folder}/{version}/{name}", LAYOUT[name]
+        if not buckets or name in UNBUCKETED:
+            return write_table(df, path, order, partition)
+        return write_buckets(df, path, "doc_id", order, buckets, partition)
+
+    units = keep(dealt(units_from_blocks(blocks, full_urls=full_urls)), "units")
+    result = align(units, dealt(spans), keep)
+    documents = documents.select(*schema.DOCUMENTS.fieldNames())
 
     alignment = table("alignment", result.alignment)
     annotations = table("annotations", result.spans.select(*schema.ANNOTATIONS.fieldNames()))
     text_units = table("text_units", evidence.label_units(units, alignment))
     corpus = Corpus(
-        table("documents", documents.select(*schema.DOCUMENTS.fieldNames())), annotations, text_units,
+        table("documents", dealt(documents)), annotations, text_units,
         table("unit_labels", evidence.unit_labels(text_units)), alignment,
         table("ambiguous", result.ambiguous),
-        table("support", evidence.unit_support(
-            evidence.votes(alignment), evidence.annotator_pool(annotations), 1)))
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("built_at")) \
+        table("ladder", evidence.vote_ladder(evidence.votes(alignment), evidence.annotator_pool(annotations))),
+        table("page_index", page_index(documents, text_units, annotations, work)))
+    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("built_at"),
+                          F.lit(buckets).alias("buckets")) \
         .coalesce(1).write.mode("append").parquet(f"{folder}/versions")
+    for path in between:
+        forget(spark, path)
     remove(spark, work)
     return corpus
 

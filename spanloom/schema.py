@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 _TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(),
-          "strings": T.ArrayType(T.StringType())}
+          "strings": T.ArrayType(T.StringType()), "longs": T.ArrayType(T.LongType())}
 
 
 def table(required: str, nullable: str = "") -> T.StructType:
@@ -29,7 +29,8 @@ TEXT_UNITS = table(
 UNIT_LABELS = table("unit_id label doc_id")
 ALIGNMENT = table("unit_id annotation_id alignment_type doc_id label ranumb unit_kind")
 AMBIGUOUS = table("doc_id span_rep:int unit_id position:int")
-SUPPORT = table("unit_id doc_id label k:long pool:long stars:int")
+LADDER = table("unit_id doc_id label steps:longs pool:long")
+PAGE_INDEX = table("doc_id doc_no:long n_units:long units_before:long n_spans:long spans_before:long")
 MANIFEST = table("key value")
 
 # --- fixed values -----------------------------------------------------------

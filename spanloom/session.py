@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -67,6 +68,45 @@ def write_table(df: DataFrame, path: str, order: list[str], partition: str | Non
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _table_name(path: str) -> str:
+    return "spanloom_" + hashlib.md5(path.encode()).hexdigest()
+
+
+def write_buckets(df: DataFrame, path: str, key: str, order: list[str], buckets: int,
+                  partition: str | None = None) -> DataFrame:
+    """Write a table hashed by ``key`` into ``buckets``, sorted by ``order`` in each, and scan it back.
+
+    Joins and groups of such tables by ``key``, or by more columns, need no exchange.
+    Rows are dealt out by the caller: those that come from tables in the same buckets
+    are in place already, others should be repartitioned by ``key`` before.
+    """
+    writer = df.write.format("parquet").mode("error").option("path", path).bucketBy(buckets, key).sortBy(*order)
+    (writer.partitionBy(partition) if partition else writer).saveAsTable(_table_name(path))
+    return df.sparkSession.table(_table_name(path))
+
+
+def read_buckets(spark: SparkSession, path: str, key: str, order: list[str], buckets: int,
+                 partition: str | None = None) -> DataFrame:
+    """A table of ``write_buckets`` by its path, also in a session that has never seen it.
+
+    Only the catalog entry is made, in the location of the files, which stay as they are.
+    """
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        by = f"PARTITIONED BY ({partition})" if partition else ""
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {by} CLUSTERED BY ({key}) "
+                  f"SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS LOCATION '{path}'")
+        if partition:
+            spark.sql(f"MSCK REPAIR TABLE {name}")
+    return spark.table(name)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Take a table of ``write_buckets`` out of the catalog; its files stay."""
+    spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediates that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

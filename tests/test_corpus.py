@@ -2,14 +2,16 @@
 
 import json
 import os
+from dataclasses import fields
 
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import checks, manifest, search, stats, views
+from spanloom.operators import checks, evidence, manifest, search, stats, views
 from spanloom.operators.filters import UnitFilter, filter_units, name_list
 from spanloom.operators.html_blocks import parse_pages
 from spanloom.plans import corpus as C, export as X
+from spanloom.session import forget
 from spanloom.sources import files
 
 SENTENCES = ["We may collect your personal data every day.", "You can delete the data at any time.",
@@ -145,3 +147,105 @@ def test_preview(corpus):
     p = X.preview(corpus, o=X.ExportOptions(max_doc_label_pct=25))
     assert p["original_total"] == 32 and p["capped_units_removed"] == 16
     assert p["cross_split_text_overlap"]["has_overlap"]
+
+
+# ---- layout ------------------------------------------------------------------
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_joins_by_document_need_no_exchange(corpus, no_broadcast):
+    for df in (views.unit_spans(corpus), views.span_units(corpus), views.document_rollup(corpus),
+               views.corpus_support(corpus, 2), views.document_spans(corpus),
+               filter_units(corpus, UnitFilter(sample_view="single", min_support=2)),
+               views.with_support(corpus.text_units, corpus, 1)):
+        text = plan(df)
+        assert "Join" in text or df.columns[:3] == ["doc_id", "unit_id", "label"]
+        assert "Exchange" not in text, text
+
+
+def test_tables_are_opened_by_path(corpus, spark, no_broadcast):
+    folder = corpus.text_units.inputFiles()[0].split("/version-")[0]
+    other = spark.newSession()
+    for f in fields(C.Corpus):                          # as in a session that has not seen them
+        path = getattr(corpus, f.name).inputFiles()[0].partition(f"/{f.name}/")[0] + f"/{f.name}"
+        forget(spark, path)
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    other.conf.set("spark.sql.shuffle.partitions", "7")
+    again = C.Corpus.load(other, folder)
+    assert again.text_units.count() == 32 and again.annotations.count() == 48
+    assert "Exchange" not in plan(views.unit_spans(again))
+    assert views.unit_spans(again).count() == again.alignment.count() > 0
+    for f in fields(C.Corpus):                          # for the tests after this one
+        setattr(corpus, f.name, getattr(C.Corpus.load(spark, folder), f.name))
+
+
+def test_plain_tables_give_the_same_rows(corpus, spark, tmp_path):
+    docs = corpus.documents.where("doc_id = 'DB_1'")
+    units = corpus.text_units.where("doc_id = 'DB_1'").orderBy("position").collect()
+    blocks = spark.createDataFrame([("DB_1", "DB", [(r.block_kind, r.unit_text) for r in units])],
+                                   "doc_id string, subset string, blocks array<struct<kind: string, text: string>>")
+    spans = corpus.annotations.where("doc_id = 'DB_1'").drop("status", "n_hits", "span_rep")
+    built = [C.build(docs, blocks, spans, str(tmp_path / str(n)), buckets=n) for n in (0, 3)]
+    for f in fields(C.Corpus):
+        if f.name not in ("documents",):
+            a, b = (sorted(map(str, getattr(c, f.name).select(sorted(getattr(c, f.name).columns)).collect())) for c in built)
+            assert a == b, f.name
+
+
+# ---- pages ---------------------------------------------------------------------
+
+def test_pages_equal_the_ordered_rows(corpus, monkeypatch):
+    from spanloom.operators import paging
+    order = [r.unit_id for r in corpus.text_units.orderBy("doc_id", "position").collect()]
+    spans = [r.annotation_id for r in corpus.annotations.orderBy("doc_id", "src_row").collect()]
+    labelled = [r.unit_id for r in filter_units(corpus, UnitFilter(labels="Others")).orderBy("doc_id", "position").collect()]
+    for ranges in (4096, 3):
+        monkeypatch.setattr(paging, "RANGES", ranges)
+        for offset, limit in ((0, 5), (3, 1), (30, 50), (31, 1), (32, 4), (500, 5)):
+            found = [r.unit_id for r in views.units(corpus, limit=limit, offset=offset).orderBy("doc_id", "position").collect()]
+            assert found == order[offset:offset + limit]
+            found = [r.unit_id for r in views.units(corpus, UnitFilter(labels="Others"), limit, offset)
+                     .orderBy("doc_id", "position").collect()]
+            assert found == labelled[offset:offset + limit]
+            found = [r.annotation_id for r in views.spans(corpus, limit, offset).orderBy("doc_id", "src_row").collect()]
+            assert found == spans[offset:offset + limit]
+    found = [r.annotation_id for r in views.spans(corpus, 4, 2, label="Others").orderBy("doc_id", "src_row").collect()]
+    assert found == [r.annotation_id for r in corpus.annotations.where("label = 'Others'")
+                     .orderBy("doc_id", "src_row").collect()][2:6]
+
+
+def test_a_deep_page_reads_the_documents_that_hold_it(corpus):
+    total = corpus.text_units.count()
+    text = plan(corpus.text_units.where(views.locate_all(corpus.page_index, "units", total - 2, 2)[0]))
+    assert "SelectedBucketsCount: 1 out of" in text and "EqualTo(doc_id," in text
+    index = plan(corpus.page_index.where("units_before < 10000050 and units_before + n_units > 10000000"))
+    assert "PushedFilters: [IsNotNull(units_before)" in index
+
+
+# ---- votes -----------------------------------------------------------------------
+
+def test_support_at_any_threshold_from_the_ladder(spark):
+    import random
+    rnd = random.Random(1)
+    rows = [("d", f"u{rnd.randrange(4)}", rnd.choice("xy"), f"a{rnd.randrange(4)}") for _ in range(150)]
+    votes = spark.createDataFrame(rows, "doc_id string, unit_id string, label string, ranumb string")
+    ladder = evidence.vote_ladder(votes, evidence.annotator_pool(votes))
+    for t in (None, 1, 2, 5, 9, 50):
+        wanted = {}
+        for key in {r[1:3] for r in rows}:
+            k = len([a for a in {r[3] for r in rows} if rows.count(("d", *key, a)) >= (t or 1)])
+            if k:
+                wanted[key] = (k, 4, 3 if k == 4 else 2 if k >= 2 else 1)
+        found = {(r.unit_id, r.label): (r.k, r.pool, r.stars) for r in evidence.support_at(ladder, t).collect()}
+        assert found == wanted
