@@ -77,26 +77,95 @@ def cap_labels(rows: DataFrame, pct: float, order: list[str], doc: str = "doc_id
     ranked = running_total(simple, [doc, "_label"], F.col("_bucket"), places, F.lit(1), "_rank")
     kept = ranked.where("_rank <= _limit").select(row_id)
 
-    # Several labels per row: documents pass by in order, with counts of one at a time.
-    joint = sized.where("_most > 1").select(doc, row_id, "_names", "_limit", *places[:-1])
-    passed = joint.repartition(doc).sortWithinPartitions(doc, *places).select(
-        doc, row_id, "_names", "_limit").mapInArrow(_pass_by, joint.select(row_id).schema)
+    # Several labels per row: whether one is kept depends on the rows before it.
+    joint = sized.where("_most > 1").select(
+        F.col(doc).alias("_doc"), F.col(row_id).alias("_id"), "_names", "_limit", "_bucket",
+        *[c for c in sized.columns if c.startswith("_o")], F.lit(None).cast("boolean").alias("_kept"))
+    passed = jointly_kept(joint)[0].select(F.col("_id").alias(row_id))
     return rows.join(kept.unionByName(passed), row_id, "left_semi").select(*columns)
 
 
-def _pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids of the rows that are kept; rows come document by document, in order."""
-    current, used = object(), Counter()
+def jointly_kept(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(_id) of the rows that a cap with several labels a row keeps, and the rounds it took.
+
+    ``rows`` has _doc, _id, _names, _limit, _bucket, places _o0, … and _kept (null: open).
+    A task walks one bucket, never a document. It starts with bounds on how often each
+    label is used up before: from below by kept rows, from above by kept and open ones.
+    A row is dropped if a lower bound is at the limit, kept if no upper bound is, and
+    open otherwise. In a document's first bucket with open rows both bounds are equal,
+    so a round closes it: there are at most as many rounds as a document has buckets,
+    and one for documents of one bucket.
+    """
+    places = [c for c in rows.columns if c.startswith("_o")] + ["_id"]
+    bucket = ["_doc", "_bucket"]
+    kept, closed, rounds = [], None, 0
+    several = rows.groupBy("_doc").agg(F.min("_bucket").alias("_a"), F.max("_bucket").alias("_b")) \
+        .where("_a < _b").select("_doc")
+    while True:
+        rounds += 1
+        starts = _bounds_before(rows.join(several, "_doc", "left_semi"), closed)
+        walked = rows.withColumns({"_low": F.lit(0).cast("long"), "_high": F.lit(-1).cast("long")}) \
+            .unionByName(starts, allowMissingColumns=True)
+        walked = write_and_read(walked.repartition(*bucket).sortWithinPartitions(
+            *bucket, F.col("_high") < 0, *places).mapInArrow(_walk_bucket, rows.schema), "cap_walk")
+        open_ = walked.where("_kept IS NULL").select(*bucket).distinct()
+        if open_.isEmpty():
+            kept.append(walked.where("_kept").select("_id"))
+            return reduce(DataFrame.unionByName, kept), rounds
+        open_ = write_and_read(open_, "cap_open")
+        done = walked.join(open_, bucket, "left_anti")
+        kept.append(done.where("_kept").select("_id"))
+        used = _label_counts(done)
+        closed = write_and_read(used if closed is None else used.unionByName(closed), "cap_closed")
+        rows = walked.join(open_, bucket, "left_semi").select(*rows.columns)
+        several = open_.select("_doc").distinct()
+
+
+def _label_counts(rows: DataFrame) -> DataFrame:
+    """Uses of each label in each bucket: at least ``low``, at most ``high``."""
+    named = rows.where("_kept IS NULL OR _kept").select("_doc", "_bucket", "_kept", F.explode("_names").alias("_name"))
+    return named.groupBy("_doc", "_bucket", "_name").agg(
+        F.count_if(F.col("_kept")).alias("low"), F.count("*").alias("high"))
+
+
+def _bounds_before(rows: DataFrame, closed: DataFrame | None) -> DataFrame:
+    """Rows that give the walk of a bucket the uses of a label in the buckets before it."""
+    counts = _label_counts(rows)
+    if closed is not None:
+        counts = counts.unionByName(closed)
+    before = Window.partitionBy("_doc", "_name").orderBy("_bucket").rowsBetween(      # one row a bucket
+        Window.unboundedPreceding, -1)
+    sums = counts.withColumns({"_low": F.sum("low").over(before), "_high": F.sum("high").over(before)})
+    return sums.where("_high > 0").select("_doc", "_bucket", F.array("_name").alias("_names"), "_low", "_high")
+
+
+def _walk_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their ``_kept`` as far as it is settled; they come bucket by bucket, in order."""
+    current, low, high = object(), Counter(), Counter()
     for batch in batches:
-        docs, _, names, limits = (c.to_pylist() for c in batch.columns)
-        keep = []
-        for doc, own, limit in zip(docs, names, limits):
-            if doc != current:
-                current, used = doc, Counter()
-            keep.append(all(used[n] < limit for n in own))
-            if keep[-1]:
-                used.update(own)
-        yield batch.select([batch.schema.names[1]]).filter(pa.array(keep, pa.bool_()))
+        own, found = [], []
+        for i, (doc, part, names, limit, kept, below, above) in enumerate(zip(*(
+                batch[c].to_pylist() for c in ("_doc", "_bucket", "_names", "_limit", "_kept", "_low", "_high")))):
+            if (doc, part) != current:
+                current, low, high = (doc, part), Counter(), Counter()
+            if above >= 0:                                 # what the buckets before have used
+                low[names[0]], high[names[0]] = below, above
+                continue
+            if kept is None:
+                if any(low[n] >= limit for n in names):
+                    kept = False
+                elif all(high[n] < limit for n in names):
+                    kept = True
+            if kept:
+                low.update(names)
+            if kept is not False:
+                high.update(names)
+            own.append(i)
+            found.append(kept)
+        names = [n for n in batch.schema.names if n not in ("_low", "_high")]
+        rows = batch.select(names).take(pa.array(own, pa.int64()))
+        at = names.index("_kept")
+        yield rows.set_column(at, "_kept", pa.array(found, pa.bool_()))
 
 
 # ---- splits ----------------------------------------------------------------

@@ -48,6 +48,26 @@ def test_cap(spark, most, repeated, bucket):
     assert len(got) == len(set(got)) and set(got) == cap_model(rows, 20)
 
 
+@pytest.mark.parametrize("seed, pct, width", [(1, 5, 7), (2, 30, 20), (3, 1, 50), (4, 60, 3)])
+def test_cap_of_large_documents_walks_buckets(spark, seed, pct, width):
+    rnd = random.Random(seed)
+    rows = [("big", i, [rnd.choice("abcdefg") for _ in range(rnd.randrange(0, 4))]) for i in range(300)]
+    rows += [(f"d{i % 5}", i, [rnd.choice("ab"), rnd.choice("abc")]) for i in range(40)]
+    got = D.cap_labels(frame(spark, rows), pct, ["position"], bucket=F.floor(F.col("position") / width))
+    assert {(r.doc_id, r.position) for r in got.collect()} == cap_model(rows, pct)
+
+
+def test_cap_rounds_are_at_most_the_buckets(spark):
+    # every row waits for the one before: a, then a b, then b c, … with a limit of one
+    rows = [("big", i, [f"l{i}", f"l{i + 1}"]) for i in range(60)]
+    for width, most in ((60, 1), (10, 6), (100, 1)):
+        keyed = spark.createDataFrame([(d, i, n, 1, i // width, i, None) for d, i, n in rows],
+                                      "_doc string, _id long, _names array<string>, _limit long, _bucket long, "
+                                      "_o0 long, _kept boolean")
+        kept, rounds = D.jointly_kept(keyed)
+        assert {r[0] for r in kept.collect()} == set(range(0, 60, 2)) and rounds <= most
+
+
 def test_cap_counts_occurrences(spark):
     rows = [("d", i, ls) for i, ls in enumerate([["A", "A"], ["A", "A"], ["A", "A"], ["A", "B"], ["B", "C"]])]
     assert {r.position for r in D.cap_labels(frame(spark, rows), 60, ["position"]).collect()} == {0, 1, 4}
