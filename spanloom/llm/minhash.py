@@ -17,7 +17,7 @@ and two sets have at least as many different shingles as different bits.
 Two sets of similarity 0.8 share none of the 32 bands of 4 with probability 5e-8.
 
 Rows: a null text and one without words have the empty set, which is linked with
-nothing; a text of fewer words than a shingle is one shingle. Rows with the same id
+nothing, or with other empty ones if ``link_empty`` is set; a text of fewer words than a shingle is one shingle. Rows with the same id
 are one document and linked, unless one is empty; rows without an id count as the
 largest id. Hashes of 64 bits stand for shingles and sets. Extra columns are not read.
 An empty table gives an empty result.
@@ -65,9 +65,7 @@ def shingles(text: str | None, words_in: int) -> np.ndarray:
         (ends - lengths)[:len(words) - k + 1].tolist(), ends[k - 1:].tolist())], np.uint64))
 
 
-def _node(grams: np.ndarray) -> int | None:
-    if not len(grams):
-        return None
+def _node(grams: np.ndarray) -> int:
     value = xxhash.xxh3_64_intdigest(grams.tobytes())
     return value - (1 << 64) if value >> 63 else value
 
@@ -96,14 +94,14 @@ def parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def signatures(own: DataFrame, words_in: int) -> DataFrame:
+def signatures(own: DataFrame, words_in: int, link_empty: bool = False) -> DataFrame:
     """(id, node, n, keys, sig, p0, …): hash and size of the set, its band keys, a byte for
-    each minimum, and its parity bits."""
+    each minimum, and its parity bits. Empty sets have no node, or one if they are linked."""
     def run(texts: Iterable[str | None]) -> Iterator[tuple]:
         for x in texts:
             grams = shingles(x, words_in)
             mins = minima(grams)
-            yield (_node(grams), len(grams), band_keys(mins) if len(grams) else [],
+            yield (_node(grams) if len(grams) or link_empty else None, len(grams), band_keys(mins) if len(grams) else [],
                    mins.astype(np.uint8).tobytes(), *parity(grams).tolist())
     return per_row(own, ["id"], "text", [
         StructField("node", LongType()), StructField("n", LongType()),
@@ -194,7 +192,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def links(own: DataFrame, signed: DataFrame, percent: int, words_in: int, miss: float) -> DataFrame:
     """(a, b) node pairs, enough to connect all sets of ``percent`` similarity or more."""
-    one = staged(signed.where("node IS NOT NULL").groupBy("node").agg(
+    one = staged(signed.where("n > 0").groupBy("node").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "sets_of_ids")
     entries = one.select("node", "n", F.explode("keys").alias("key"))
     buckets = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -243,7 +241,7 @@ def links(own: DataFrame, signed: DataFrame, percent: int, words_in: int, miss:
 
 
 def near_copies(docs: DataFrame, percent: int = 80, words_in: int = 5, miss: float = 1e-9,
-                doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+                doc_id: str = "doc_id", text: str = "text", link_empty: bool = False) -> DataFrame:
     """(id, n_shingles, first), one row for each row of ``docs``: the size of its set and
     the smallest id that can be reached over links. No id is ``NULL_ID``.
 
@@ -252,7 +250,7 @@ def near_copies(docs: DataFrame, percent: int = 80, words_in: int = 5, miss: flo
     """
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"),
                       F.col(text).alias("text"))
-    signed = staged(signatures(own, words_in), "signatures")
+    signed = staged(signatures(own, words_in, link_empty), "signatures")
     held = signed.select("id", "node", "n")
     same = held.groupBy("id").agg(F.min("node").alias("least"), F.max("node").alias("most")) \
         .where("least < most").select("id", "least")       # an id of several texts
@@ -282,9 +280,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words_in: int = 5, miss:
 
 
 def keep_first(docs: DataFrame, percent: int = 80, words_in: int = 5, miss: float = 1e-9,
-               doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+               doc_id: str = "doc_id", text: str = "text", link_empty: bool = False) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of its class; rows with one id go together."""
-    lost = staged(near_copies(docs, percent, words_in, miss, doc_id, text).where("id <> first")
+    lost = staged(near_copies(docs, percent, words_in, miss, doc_id, text, link_empty).where("id <> first")
                   .select(F.col("id").alias("_lost")).distinct(), "lost")
     return docs.join(lost, F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)) == lost["_lost"],
                      "left_anti")

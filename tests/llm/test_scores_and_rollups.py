@@ -133,7 +133,7 @@ def test_pipeline(spark, tmp_path):
             assert after == sorted(x[:2] for x in slow_lines(before)) and after != sorted(before)
             assert found.where("n_chars <> length(text)").count() == 0
         if k == 2:
-            group = slow_classes(before)
+            group = slow_classes(before, link_empty=True)
             assert after == sorted(x for x in before if group[x[0]] == x[0])
         if k == 3:
             hit = {x[0] for x in slow_hits(before, items, 10) if x[2]}
