@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -68,7 +69,8 @@ def write_table(df: DataFrame, path: str, order: list[str], partition: str | Non
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _table_name(path: str) -> str:
+def table_name(path: str) -> str:
+    """Name in the catalog of a table in buckets."""
     return "spanloom_" + hashlib.md5(path.encode()).hexdigest()
 
 
@@ -81,33 +83,46 @@ def write_buckets(df: DataFrame, path: str, key: str, order: list[str], buckets:
     are in place already, others should be repartitioned by ``key`` before.
     """
     writer = df.write.format("parquet").mode("error").option("path", path).bucketBy(buckets, key).sortBy(*order)
-    (writer.partitionBy(partition) if partition else writer).saveAsTable(_table_name(path))
-    return df.sparkSession.table(_table_name(path))
+    (writer.partitionBy(partition) if partition else writer).saveAsTable(table_name(path))
+    return df.sparkSession.table(table_name(path))
 
 
 def read_buckets(spark: SparkSession, path: str, key: str, order: list[str], buckets: int,
-                 partition: str | None = None) -> DataFrame:
+                 partition: str | None = None, schema: StructType | None = None) -> DataFrame:
     """A table of ``write_buckets`` by its path, also in a session that has never seen it.
 
     Only the catalog entry is made, in the location of the files, which stay as they are.
     """
-    name = _table_name(path)
+    name = table_name(path)
     if not spark.catalog.tableExists(name):
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        schema = schema or spark.read.parquet(path).schema
+        columns = ", ".join(f"`{f.name}` {'string' if f.name == partition else f.dataType.simpleString()}"
+                            for f in schema)                # folder names are text
         by = f"PARTITIONED BY ({partition})" if partition else ""
         spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {by} CLUSTERED BY ({key}) "
                   f"SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS LOCATION '{path}'")
-        if partition:
-            spark.sql(f"MSCK REPAIR TABLE {name}")
+    if partition:
+        spark.sql(f"MSCK REPAIR TABLE {name}")
     return spark.table(name)
 
 
 def forget(spark: SparkSession, path: str) -> None:
     """Take a table of ``write_buckets`` out of the catalog; its files stay."""
-    spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
+    spark.sql(f"DROP TABLE IF EXISTS {table_name(path)}")
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """An empty folder, if there is none."""
+    files, folder = _folder(spark, path)
+    files.mkdirs(folder)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediates that nothing reads any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)
