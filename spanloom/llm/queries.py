@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from spanloom.llm import (audit, bpe, lines, minhash, pii, posindex, quality, rollups, secrets, simhash, urls,
                           vectorcodes)
@@ -92,8 +93,16 @@ def op5_positional_index(spark, sf_dir):
 
 @query
 def op6_digest_index(spark, sf_dir):
-    index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
-    return index.ingest(read(spark, sf_dir, "documents")).select(
+    """Three batches of falling ids, so that the row that stays comes first; sizes over all of them."""
+    index = DigestIndex(spark, f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    cuts = docs.agg(F.percentile_approx("doc_id", [1 / 3, 2 / 3])).first()[0] or [0, 0]
+    low, high = F.col("doc_id") < cuts[0], F.col("doc_id") >= cuts[1]
+    parts = [high, ~low & ~high, F.coalesce(low, F.lit(True))]
+    found = [index.ingest(docs.where(p), str(i)) for i, p in enumerate(parts)]
+    rows = reduce(DataFrame.unionByName, found).drop("group_size")
+    sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
+    return rows.join(sizes, "digest").select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 import uuid
 
 import pytest
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import simhash
 from spanloom.llm.components import components
 from spanloom.llm.digests import DigestIndex
+from spanloom.session import forget, shared_dir
 
 WORDS = "the an of in road tree Éa ñu river stone light night walk talk".split()
 
@@ -101,7 +105,7 @@ def test_documents_without_id(spark):
 
 
 def test_digest_index_over_batches(spark):
-    index = DigestIndex(spark, f"digests_{uuid.uuid4().hex}", buckets=4)
+    index = DigestIndex(spark, f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}", buckets=4)
     first = spark.createDataFrame([(1, "a"), (4, "a"), (4, "a"), (2, None), (3, ""), (None, "z")],
                                   "doc_id long, text string")
     found = index.ingest(first).select(
@@ -120,3 +124,66 @@ def test_digest_index_over_batches(spark):
     some = index.table().select(F.concat("digest", F.lit("x").cast("binary")).alias("digest"))
     plan = some.join(index.table().hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
     assert "Bucketed: true" in plan
+
+
+OTHER_PROCESS = """
+import sys
+from pyspark.sql import SparkSession
+sys.path.insert(0, sys.argv[1])
+from spanloom.llm.digests import DigestIndex
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", sys.argv[2] + "-work").config("spark.sql.shuffle.partitions", "3").getOrCreate())
+index = DigestIndex(spark, sys.argv[2])
+assert index.buckets == 5 and index.table().count() == 40, (index.buckets, index.table().count())
+docs = spark.createDataFrame([(100 + i, f"text {i}") for i in range(35, 45)], "doc_id long, text string")
+assert sorted(r.keep_id for r in index.ingest(docs, "b").collect()) == [35, 36, 37, 38, 39, 140, 141, 142, 143, 144]
+"""
+
+
+def test_digest_index_in_another_process(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    DigestIndex(spark, path, buckets=5).ingest(docs, "a")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", OTHER_PROCESS, root, path], check=True, timeout=300)
+    again = DigestIndex(spark, path)
+    assert again.table().count() == 45 and sorted(again.commits()) == ["a", "b"]
+    forget(spark, f"{path}/data")
+    assert DigestIndex(spark, path, buckets=9).table().count() == 45
+
+
+def test_digest_batches_are_repeated_without_change(spark, tmp_path, monkeypatch):
+    index = DigestIndex(spark, str(tmp_path), buckets=3)
+    first = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    later = spark.createDataFrame([(8, "b"), (9, "c")], "doc_id long, text string")
+
+    def answer(rows):
+        return sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows.collect())
+    a, b = answer(index.ingest(first, "a")), answer(index.ingest(later, "b"))
+    assert b == [(8, 3, 1, False), (9, 9, 1, True)]
+    assert answer(index.ingest(first, "a")) == a and answer(index.ingest(later, "b")) == b
+    assert index.table().count() == 3
+    # an attempt that fails before its commit leaves files that nothing reads
+    third = spark.createDataFrame([(11, "d")], "doc_id long, text string")
+    with monkeypatch.context() as m:
+        m.setattr(spark, "createDataFrame", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.ingest(third, "c")
+    assert index.table().count() == 3
+    assert answer(index.ingest(third, "c")) == [(11, 11, 1, True)] and index.table().count() == 4
+
+
+def test_digest_join_does_not_move_the_index(spark, tmp_path):
+    index = DigestIndex(spark, str(tmp_path), buckets=3)
+    index.ingest(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "a")
+    new = spark.createDataFrame([(bytes(32),)], "digest binary")
+    plan = new.join(index.table().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
+def test_digest_of_long_texts_and_carried_columns(spark, tmp_path):
+    index = DigestIndex(spark, str(tmp_path), buckets=2)
+    docs = spark.createDataFrame([(1, "é" * 3_000_000, "x", 5), (2, "é" * 3_000_000, None, 6)],
+                                 "doc_id long, text string, kept string, n int")
+    found = index.ingest(docs, carry=("kept", "n")).collect()
+    assert sorted((r.doc_id, r.n, r.kept, r.group_size) for r in found) == [(1, 5, False, 2), (2, 6, True, 2)]
