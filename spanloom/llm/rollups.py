@@ -11,7 +11,8 @@ a failure. Totals are the sums of all committed deltas.
 Rows: a null text has no tokens; null sources and languages are groups of their
 own; of several changes of one document and tokenizer in one batch the one with
 the largest ``version`` counts, equal ones once; a delete or revision of an unknown
-document takes nothing off; rows without an id cannot be revised and are left out.
+document takes nothing off; rows without an id cannot be revised or deleted, and each
+one counts as an insert.
 Empty batches are committed and change nothing. Extra columns are not read.
 """
 
@@ -84,7 +85,9 @@ class Rollup:
         last.select("doc_id", "tokenizer", "x.op", *[f"x.{c}" for c in values],
                     F.lit(batch).alias("batch")).write.mode("overwrite").parquet(entries)
         now = self.spark.read.parquet(entries)
-        signed, before = now.where("op <> 'delete'").select(*KEYS, *SUMS), self.current()
+        nameless = changes.where("doc_id IS NULL AND op <> 'delete'")
+        signed = now.where("op <> 'delete'").select(*KEYS, *SUMS).unionByName(nameless.select(*KEYS, *SUMS))
+        before = self.current()
         if before is not None:
             gone = before.join(now.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
             signed = signed.unionByName(gone.select(*KEYS, *[(-F.col(c)).alias(c) for c in SUMS]))

@@ -58,6 +58,11 @@ def trigram_query(regex: str) -> Query:
     return query and {x for x in query if not any(y < x for y in query)}
 
 
+def _lower(code: int) -> str:
+    """As the index has it: A-Z only."""
+    return chr(code + 32) if 65 <= code <= 90 else chr(code)
+
+
 def _listed(strings: set[str]) -> Query:
     if not strings or min(map(len, strings)) < 3:
         return None
@@ -89,12 +94,12 @@ def _sequence(items) -> tuple[Query, set[str]]:
 def _item(op: str, value) -> tuple[Query, set[str] | None]:
     """Query of one item, and all strings it stands for if they can be listed."""
     if op == "LITERAL":
-        return None, {chr(value).lower()}
+        return None, {_lower(value)}
     if op == "AT":
         return None, {""}
     if op == "IN":
         literal = all(str(o) == "LITERAL" for o, _ in value)
-        return None, {chr(v).lower() for _, v in value} if literal else None
+        return None, {_lower(v) for _, v in value} if literal else None
     if op == "SUBPATTERN":
         return _closed(value[-1])
     if op == "BRANCH":
@@ -141,21 +146,20 @@ def trigram_index(docs: DataFrame, trigrams: set[str], doc_id: str = "doc_id",
 
 
 def candidates(index: DataFrame, queries: dict[int, Query]) -> DataFrame:
-    """(doc, rules): a bit for each query that a document's trigrams satisfy."""
+    """(doc, rules): the queries that a document's trigrams satisfy, by number."""
     rows, full = [], []
     for rule, query in queries.items():
         for alternative in query:
-            full.append((len(full), rule, (1 << len(alternative)) - 1))
-            rows += [(t, full[-1][0], 1 << i) for i, t in enumerate(sorted(alternative))]
+            full.append((len(full), rule, len(alternative)))
+            rows += [(t, full[-1][0]) for t in sorted(alternative)]
     spark = index.sparkSession
-    asked = spark.createDataFrame(rows, "trigram string, branch int, bit long")
+    asked = spark.createDataFrame(rows, "trigram string, branch int")
     wanted = spark.createDataFrame(full, "branch int, rule int, full long")
     # both tables are made of the rules, and so as small as these
     met = index.join(F.broadcast(asked), "trigram").groupBy("doc", "branch").agg(
-        F.bit_or("bit").alias("met"))
+        F.count_distinct("trigram").alias("met"))
     hits = met.join(F.broadcast(wanted), "branch").where("met = full")
-    return hits.groupBy("doc").agg(F.bit_or(
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rule"))).alias("rules"))
+    return hits.groupBy("doc").agg(F.collect_set("rule").alias("rules"))
 
 
 def find(docs: DataFrame, rules: list[Rule] = RULES, doc_id: str = "doc_id",
@@ -172,11 +176,10 @@ def find(docs: DataFrame, rules: list[Rule] = RULES, doc_id: str = "doc_id",
         hits = staged(candidates(trigram_index(rows, trigrams, doc_id, "_text"), queries), "candidates")
         rows = rows.join(hits, _key(doc_id) == hits["doc"], "left")
     else:
-        rows = rows.withColumn("rules", F.lit(0).cast("long"))
+        rows = rows.withColumn("rules", F.array().cast("array<int>"))
     found = []
     for i, r in enumerate(rules):
-        may = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0 \
-            if i in queries else F.lit(True)
+        may = F.coalesce(F.array_contains("rules", i), F.lit(False)) if i in queries else F.lit(True)
         own = matches(F.col("_text"), r.regex, may, r.group or None)
         if r.least > 1:
             own = _long(own, r.least)

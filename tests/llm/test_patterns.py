@@ -163,3 +163,15 @@ def test_places_of_matches(spark):
     got = rows.select(matches(F.col("t"), "ab", F.lit(True)).alias("m")).collect()
     assert [[x.start for x in r.m] for r in got] == [[1, 4], [0, 2], [], []]
     assert rows.select(written(F.array().cast("array<struct<kind:string,start:int,stop:int>>")).alias("w")).first().w == ""
+
+
+def test_secrets_of_many_rules_and_long_literals(spark):
+    long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(90))
+    rules = [secrets.Rule(f"r{i}", f"key{i:03d}[0-9]+") for i in range(70)] + [
+        secrets.Rule("long", long), secrets.Rule("accent", "Éabcd"), secrets.Rule("sign", "\u212aelvin"),
+        secrets.Rule("either", "(?:ÀÉx|ÈÊy)z+")]
+    texts = ["key0691 key0022 KEY0033", f"x{long}y {long[:80]}", "Éabcd éabcd ÉABCD", "\u212aelvin kelvin", "ÀÉxzz ÈÊyz", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(x["kind"], x["start"]) for x in r.spans] for r in secrets.find(docs, rules).collect()}
+    assert found == {0: [("r69", 0), ("r2", 8)], 1: [("long", 1)], 2: [("accent", 0)], 3: [("sign", 0)],
+                     4: [("either", 0), ("either", 6)], 5: [], 6: []}

@@ -83,15 +83,15 @@ def test_rollup_of_changes(spark):
     load = rollups.counts(docs((1, "s", "en", "a b c"), (2, "s", "en", None), (3, None, None, "x  y\n"),
                                (None, "s", "en", "no id"), (1, "s", "en", "a b c")), "words-1")
     assert rollup.apply("1", load) and not rollup.apply("1", load)
-    assert totals() == {("s", "en", "words-1"): (2, 3, 5), (None, None, "words-1"): (1, 2, 5)}
+    assert totals() == {("s", "en", "words-1"): (3, 5, 10), (None, None, "words-1"): (1, 2, 5)}
     revised = rollups.counts(docs((1, "q", "en", "a")), "words-1", version=2).unionByName(
         rollups.counts(docs((1, "late", "en", "a b c d")), "words-1", version=1))
     assert rollup.apply("2", revised)
-    assert totals() == {("s", "en", "words-1"): (1, 0, 0), ("q", "en", "words-1"): (1, 1, 1),
+    assert totals() == {("s", "en", "words-1"): (2, 2, 5), ("q", "en", "words-1"): (1, 1, 1),
                         (None, None, "words-1"): (1, 2, 5)}
     gone = rollups.deletes(spark.createDataFrame([(3,), (99,)], "doc_id long"), "words-1")
     assert rollup.apply("3", gone) and rollup.apply("4", load.limit(0))
-    assert totals() == {("s", "en", "words-1"): (1, 0, 0), ("q", "en", "words-1"): (1, 1, 1)}
+    assert totals() == {("s", "en", "words-1"): (2, 2, 5), ("q", "en", "words-1"): (1, 1, 1)}
     assert rollup.apply("5", rollups.counts(docs((3, "s", "de", "w")), "words-1"))
     assert totals()["s", "de", "words-1"] == (1, 1, 1)
     with pytest.raises(ValueError):
