@@ -35,11 +35,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from spanloom.llm.common import NULL_ID, per_row, staged
-from spanloom.llm.components import components
+from spanloom.llm.components import _thin, components
 from spanloom.llm.countfilter import filter_bits, hits
 
 HASHES, BATCH = 256, 64
 BANDS, ROWS = 32, 4
+#: Links that one task may join.
+FEW_LINKS = 1 << 14
 #: Longs with the parity bits of a set.
 PARITIES = [f"p{i}" for i in range(8)]
 
@@ -190,6 +192,22 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 # ---- links and classes -------------------------------------------------------------
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of the components of all links in a partition, which has ``FEW_LINKS`` at most."""
+    found = list(batches)
+    if found:
+        yield from _thin(iter(pa.Table.from_batches(found).combine_chunks().to_batches()))
+
+
+def joined(pairs: DataFrame) -> DataFrame:
+    """(node, component) of the written links ``pairs``; a few of them are joined in one task."""
+    if pairs.count() > FEW_LINKS:
+        return components(pairs)
+    stars = staged(pairs.select("a", "b").repartition(1).mapInArrow(_gathered, "a long, b long"), "stars_of_links")
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
 def links(own: DataFrame, signed: DataFrame, percent: int, words_in: int, miss: float) -> DataFrame:
     """(a, b) node pairs, enough to connect all sets of ``percent`` similarity or more."""
     one = staged(signed.where("n > 0").groupBy("node").agg(
@@ -232,7 +250,7 @@ def links(own: DataFrame, signed: DataFrame, percent: int, words_in: int, miss:
             F.col("hub.node").alias("a"), F.col("node").alias("b"))
         more = verified(pairs)
         found = more if found is None else found.unionByName(more)
-        rest = stars.select("key", "node", "n", "weight").join(components(found), "node", "left").withColumn(
+        rest = stars.select("key", "node", "n", "weight").join(joined(found), "node", "left").withColumn(
             "own", F.coalesce("component", "node")).drop("component")
         several = rest.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")) \
             .where("low < high").select("key")
@@ -254,9 +272,9 @@ def near_copies(docs: DataFrame, percent: int = 80, words_in: int = 5, miss: flo
     held = signed.select("id", "node", "n")
     same = held.groupBy("id").agg(F.min("node").alias("least"), F.max("node").alias("most")) \
         .where("least < most").select("id", "least")       # an id of several texts
-    joined = held.join(same, "id").where("node <> least").select(
+    same_id = held.join(same, "id").where("node <> least").select(
         F.col("node").alias("a"), F.col("least").alias("b"))
-    found = components(links(own, signed, percent, words_in, miss).unionByName(joined))
+    found = joined(staged(links(own, signed, percent, words_in, miss).unionByName(same_id), "all_links"))
     placed = held.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")).join(
         found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("own"))
     least = placed.groupBy("own").agg(F.min("id").alias("first"))

@@ -160,3 +160,13 @@ def test_parity_bits_bound_the_difference():
         bits = sum(int(a).bit_count() for a in (minhash.parity(x) ^ minhash.parity(y)).view(np.uint64))
         assert bits <= 2 * (n - share)
     assert bits > 200
+
+
+def test_few_links_are_joined_as_many_are(spark, monkeypatch):
+    rnd = random.Random(3)
+    pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)]
+    frame = staged(spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a long, b long").repartition(5), "pairs")
+    few = {tuple(r) for r in minhash.joined(frame).collect()}
+    monkeypatch.setattr(minhash, "FEW_LINKS", 0)
+    assert few == {tuple(r) for r in minhash.joined(frame).collect()} and len(few) > 200
+    assert minhash.joined(frame.limit(0)).count() == 0
