@@ -680,8 +680,12 @@ union all select * from (select 'provisions', label, count(*)::varchar from anno
 union all select * from (select 'annotators', ranumb, count(*)::varchar from annotations where ranumb like '%ing%' group by ranumb order by ranumb limit 5)
 union all select * from (select 'units', unit_id, unit_text from text_units where {FLD.format('unit_text')} like '%ing%' order by doc_id, position limit 6)"""),
     "match_term_table": with_units(f"""
-select item_id as term_id, unit_id from units join (
- select item_id, {collapse(FLD.format("array_to_string(string_split(text, ' ')[1:2], ' ')"))} as term from benchmark) b
+select term_id, unit_id from units join (
+ select item_id || '-' || k || '-' || i as term_id, {collapse(FLD.format("array_to_string(w[i:i + k - 1], ' ')"))} as term
+ from (select item_id, w, k, unnest(range(1, len(w) - k + 2)) as i from (
+   select item_id, string_split(text, ' ') as w,
+          unnest(case when len(string_split(text, ' ')) < 3 then [len(string_split(text, ' '))]
+                      when len(string_split(text, ' ')) < 6 then [3] else [3, 6] end) as k from benchmark))) b
  on contains({FLD.format('unit_text')}, b.term) where b.term <> ''"""),
     "match_terms": with_units("select term, unit_id from units, (values ('privacy'), ('the and'), ('ing the'), ('Und der')) v(term) where "
         f"contains({FLD.format('unit_text')}, {FLD.format('term')})"),
@@ -913,3 +917,35 @@ from named, range(2) r(j) where trim(head) <> ''"""
 SQL["source_crawl"] = f"with {SOURCE}\nselect subset, num, url as link, 'y' as is_homepage from named"
 SQL["source_pages"] = f"with {SOURCE}\nselect doc_id, subset, num, url as link, length(html) as n from named"
 SQL["source_max_docs"] = f"with {SOURCE}\nselect doc_id, url as link from named order by subset, num::varchar || '.csv' limit 25"
+
+SQL["units_filter_q_indexed"] = SQL["units_filter_q"]
+SQL["search_units_indexed"] = SQL["search_units"]
+SQL["snapshot_diff"] = with_tables("""
+select distinct doc_id || case n when 13 then 'x' else '' end as doc_id,
+  case n when 7 then 'removed' when 11 then 'changed' else 'added' end as change
+from (select doc_id, string_split(doc_id, '_')[2]::int % 50 as n from text_units) where n in (7, 11, 13)""")
+SQL["export_order"] = with_tables("""
+select split as part, row_number() over (partition by split order by doc_id, position)::int as place, unit_id as id,
+  count(*) over (partition by split) as n_in_part
+from rows_x join assigned using (doc_id)""", SPLIT_UNITS)
+SQL["export_meta_fields"] = with_support(f"""
+select 'units' as entity, 'json' as format, 'fr' as subset, {lit(LABELS[0] + '|' + LABELS[11])} as labels,
+  2::bigint as min_support, 'at_least' as support_mode, 1::bigint as evidence_threshold, 70::bigint as train,
+  'doc_id' as grouped_by, count(*) as total, 'id|label' as selected, true as dated,
+  count(*) filter (list_contains(labels, 'Others')) as n_others, false as noted
+from text_units where subset = 'fr' and {LABEL_SETS['any_two']} and {DEFINED} and unit_id in {gate(2)}""")
+SQL["export_unsplit"] = with_tables("""
+select unit_id as id, 'data' as split, fragment_type, 'data' as part, (select count(*) from text_units) as total from text_units""")
+SQL["export_notes"] = with_tables("""
+select case when count(*) filter (label_category = 'unlabeled') > 0 then
+    'No annotator marked the unlabeled sentences; that does not make them negatives.' end as unlabeled_note,
+  case when count(*) filter (unit_kind = 'fragment') > 0 then 'Fragments never carry labels.' end as fragments_note,
+  'All units of a document are in the same split.' as grouping_note, true as dated from text_units""")
+SQL["manifest_checks"] = """
+select *, (select count(*) from range(5)) as entries from (values ('same', true, null), ('other', false, 'version_mismatch'),
+  ('missing', false, 'missing'), ('no_version', false, 'missing_version')) v("case", ok, reason)"""
+SQL["sql_units"] = with_support(f"""
+select t.unit_id, t.position, b.stars, array_to_string(t.labels, ';') as labels, s.label, {TOKEN_CASE} as token, s.k, s.stars as tier
+from text_units t join (select unit_id, max(stars) as stars from support group by unit_id) b on b.unit_id = t.unit_id
+join support s on s.unit_id = t.unit_id
+where b.stars >= 2 and contains({FLD.format('t.unit_text')}, 'the')""")

@@ -103,11 +103,15 @@ def gate(corpus: Corpus, f: UnitFilter) -> DataFrame:
 def filter_units(corpus: Corpus, f: UnitFilter) -> DataFrame:
     """Rows of ``text_units`` that satisfy ``f``.
 
-    Conditions on plain columns come first and reach the scan. Labels are looked
+    Conditions on plain columns come first and reach the scan; a text to look for
+    goes by the corpus's text index, if it has one. Labels are looked
     up in the unit's own label array (equal to a join with ``unit_labels``). The
     ladder of votes is read only when a condition depends on it.
     """
-    units = corpus.text_units.where(reduce(lambda a, b: a & b, _column_conditions(f), F.lit(True)))
+    units = corpus.text_units
+    if f.q and corpus.text_index:
+        units = corpus.text_index.narrowed(units, [f.q])
+    units = units.where(reduce(lambda a, b: a & b, _column_conditions(f), F.lit(True)))
     wanted, unwanted = name_list(f.labels), name_list(f.exclude_labels)
     if wanted:
         units = units.where(F.arrays_overlap("labels", F.array(*map(F.lit, wanted))))

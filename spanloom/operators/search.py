@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from spanloom.functions.rows import exploded
 from spanloom.functions.text import ascii_lower, collapse, like_ci
 from spanloom.operators.containment import contained_pairs
+from spanloom.operators.textindex import literals_of_like
 from spanloom.operators.views import joined, verbatim_label
 from spanloom.plans.corpus import Corpus
 from spanloom.session import write_and_read
@@ -36,7 +37,10 @@ def search_annotators(corpus: Corpus, q: str, limit: int | None = LIMITS["annota
 
 
 def search_units(corpus: Corpus, q: str, limit: int | None = LIMITS["units"]) -> DataFrame:
-    rows = corpus.text_units.where(like_ci(F.col("unit_text"), q)).orderBy("doc_id", "position")
+    units = corpus.text_units
+    if corpus.text_index:
+        units = corpus.text_index.narrowed(units, literals_of_like(q))
+    rows = units.where(like_ci(F.col("unit_text"), q)).orderBy("doc_id", "position")
     rows = rows if limit is None else rows.limit(limit)
     return rows.select(
         "unit_id", "doc_id", "unit_text", "unit_kind", "fragment_type", "label_category",

@@ -7,17 +7,18 @@ import uuid
 from dataclasses import replace
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spanloom.functions.rows import exploded
 from spanloom.functions.sentences import block_lines, split_sentences
 from spanloom.functions.text import collapse, normalize
 from spanloom.operators import checks, dataset as D, evidence, filters, html_blocks, manifest
-from spanloom.operators import search as Q, stats, units as U, views
+from spanloom.operators import search as Q, snapshots, stats, units as U, views
 from spanloom.operators.align import best_overlap, span_texts, unit_texts
 from spanloom.operators.containment import contained_pairs
 from spanloom.operators.filters import UnitFilter, filter_units
-from spanloom.plans import corpus as C, export as X
+from spanloom.operators.textindex import TextIndex
+from spanloom.plans import corpus as C, export as X, sqlfunctions
 from spanloom.schema import LABELS
 from spanloom.session import configure, shared_dir, write_and_read
 from spanloom.sources import files
@@ -28,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 _BUILT: dict[tuple[str, str], C.Corpus] = {}
 _FOLDERS: dict[tuple[str, str], str] = {}
+_INDEXED: dict[tuple[str, str], tuple[C.Corpus, C.Corpus]] = {}
 
 TWO_LABELS = [LABELS[0], LABELS[11]]
 
@@ -53,6 +55,16 @@ def built(spark: SparkSession, sf_dir: str) -> C.Corpus:
     return _BUILT[key]
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> C.Corpus:
+    """The corpus of ``built`` with a text index, which is made once for it."""
+    corpus, key = built(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if _INDEXED.get(key, (None,))[0] is not corpus:
+        own = replace(corpus)
+        own.text_index = TextIndex.build(corpus.text_units, f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}")
+        _INDEXED[key] = corpus, own
+    return _INDEXED[key][1]
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.spread(read(spark, sf_dir, "pages").select("page_id", "html"))
 
@@ -606,6 +618,18 @@ def search_units(c):
         "unit_id", "unit_text", "unit_kind", "label_category", "verbatim_labels", "verbatim_label")
 
 
+@query
+def units_filter_q_indexed(spark, sf_dir):
+    return filter_units(indexed(spark, sf_dir), UnitFilter(q="THE a")).select(
+        "unit_id", "label_category", "unit_kind")
+
+
+@query
+def search_units_indexed(spark, sf_dir):
+    return Q.search_units(indexed(spark, sf_dir), "ing the").select(
+        "unit_id", "unit_text", "unit_kind", "label_category", "verbatim_labels", "verbatim_label")
+
+
 @corpus_query
 def search_all(c):
     return Q.search_all(c, " ing ")
@@ -613,9 +637,19 @@ def search_all(c):
 
 @query
 def match_term_table(spark, sf_dir):
-    """Units that hold the first two words of a benchmark item."""
-    terms = read(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("term_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("term"))
+    """Units that hold a run of three or six words of a benchmark item; shorter items are one run."""
+    words = F.split("text", " ")
+
+    def runs_of(k):
+        starts = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)),
+                             lambda i: F.struct(F.lit(k).alias("k"), i.alias("i")))
+        return F.when(F.size(words) >= k, starts).otherwise(F.array().cast("array<struct<k: int, i: int>>"))
+    runs = F.concat(runs_of(3), runs_of(6))
+    short = F.array(F.struct(F.size(words).alias("k"), F.lit(1).alias("i")))
+    items = read(spark, sf_dir, "benchmark").select("item_id", words.alias("w"), F.explode(
+        F.when(F.size(words) < 3, short).otherwise(runs)).alias("run"))
+    terms = items.select(F.concat_ws("-", "item_id", "run.k", "run.i").alias("term_id"), F.array_join(
+        F.slice("w", F.col("run.i"), F.col("run.k")), " ").alias("term"))
     return Q.match_term_table(built(spark, sf_dir).text_units, terms)
 
 
@@ -759,6 +793,78 @@ def export_meta(c):
                        "counts.test", "cross_split_text_overlap.overlapping_texts_count", "unlabeled_count")
 
 
+@corpus_query
+def export_order(c):
+    """Rows of the files of each split, in the order of the files' names."""
+    spark = c.documents.sparkSession
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    X.export(c, path, UnitFilter(), X.ExportOptions(train=70, eval=15, test=15, fields="id"))
+    lines = spark.read.text(f"{path}/data").select(
+        "part", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"), F.col("value").alias("id")).where("id <> 'id'")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("file", "start", "line"))
+    parts = spark.read.json(f"{path}/parts").groupBy("part").agg(F.sum("n").alias("n_in_part"))
+    return lines.select("part", place.alias("place"), "id").join(parts, "part")
+
+
+@corpus_query
+def export_meta_fields(c):
+    """The parts of the metadata document that say what was asked for and found."""
+    spark = c.documents.sparkSession
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    X.export(c, path, UnitFilter(subset="fr", labels=TWO_LABELS, min_support=2), X.ExportOptions(
+        format="json", train=70, eval=15, test=15, fields="id,bogus,label"))
+    meta = spark.read.schema(
+        "entity string, format string, filters struct<subset: string, labels: array<string>>, min_support long, "
+        "support_mode string, evidence_threshold long, split struct<train: long, grouped_by: string>, total long, "
+        "selected_fields array<string>, created_at string, label_distribution map<string, long>, "
+        "unlabeled_note string").json(f"{path}/meta")
+    return meta.select(
+        "entity", "format", "filters.subset", F.array_join("filters.labels", "|").alias("labels"), "min_support",
+        "support_mode", "evidence_threshold", "split.train", "split.grouped_by", "total",
+        F.array_join("selected_fields", "|").alias("selected"), (F.col("created_at") > "2020").alias("dated"),
+        F.coalesce(F.try_element_at("label_distribution", F.lit("OTHERS")), F.lit(0)).alias("n_others"),
+        F.col("unlabeled_note").isNotNull().alias("noted"))
+
+
+@corpus_query
+def export_unsplit(c):
+    """Without splits all rows are in one folder; null types and empty lists survive."""
+    data, meta = exported(c, "json", "id string, split string, fragment_type string, part string", split=False,
+                          fields="id,split,fragment_type")
+    return data.crossJoin(meta.select(F.col("counts.total").alias("total")))          # a single row
+
+
+@corpus_query
+def export_notes(c):
+    """What the metadata says about rows without labels, and when it was written."""
+    _, meta = exported(c, "csv", "id string", fields="id")
+    return meta.select("unlabeled_note", "fragments_note", "grouping_note", F.col("created_at").rlike(
+        r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}$").alias("dated"))
+
+
+@corpus_query
+def manifest_checks(c):
+    """A manifest of the corpus against the version it has, another one, and without its parts."""
+    found = write_and_read(manifest.build_manifest(c, "1"), "manifest")
+    cases = {"same": (found, "1"), "other": (found, "2"), "missing": (None, "1"),
+             "no_version": (found.where("key <> 'schema_version'"), "1")}
+    rows = [(name, r["ok"], r.get("reason")) for name, a in cases.items() for r in [manifest.check_manifest(*a)]]
+    return c.documents.sparkSession.createDataFrame(rows, "case string, ok boolean, reason string").crossJoin(
+        found.agg(F.count("*").alias("entries")))                                     # a single row
+
+
+@corpus_query
+def sql_units(c):
+    """Labelled units by ``spark.sql`` alone, with the tokens of their labels."""
+    spark = c.documents.sparkSession
+    sqlfunctions.register(spark, c)
+    return spark.sql("""
+        SELECT u.unit_id, u.position, u.stars, array_join(transform(u.labels, l -> l), ';') AS labels,
+               s.label, label_token(s.label) AS token, s.k, tier(s.k, s.pool) AS tier
+        FROM units('the', 2) u JOIN support(1) s ON s.doc_id = u.doc_id AND s.unit_id = u.unit_id""")
+
+
 @corpus_query
 def preview_report(c):
     """A preview as one row: capped, filtered and split."""
@@ -842,6 +948,18 @@ def unit_fingerprint(c):
     return manifest.fingerprint(units)
 
 
+@corpus_query
+def snapshot_diff(c):
+    """Units against a version in which documents were removed, changed and added."""
+    num = F.split("doc_id", "_")[1].cast("int") % 50
+    changed = c.text_units.where(num != 7).withColumn("unit_text", F.when(
+        (num == 11) & (F.col("position") == 1), F.concat("unit_text", F.lit("!"))).otherwise(F.col("unit_text")))
+    added = c.text_units.where(num == 13).withColumn("doc_id", F.concat("doc_id", F.lit("x")))
+    folder = f"{shared_dir(c.documents.sparkSession)}/trees-{uuid.uuid4().hex}"
+    old = snapshots.Tree.build(c.text_units, f"{folder}/old")
+    return snapshots.changes(old, snapshots.Tree.build(changed.unionByName(added), f"{folder}/new"))
+
+
 @corpus_query
 def integrity(c):
     return checks.integrity(c, subsets=("en", "de", "fr", "es"))

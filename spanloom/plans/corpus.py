@@ -27,6 +27,8 @@ class Corpus:
     ladder: DataFrame               # votes per unit and label, for any threshold
     page_index: DataFrame           # rows before each document
 
+    text_index = None               # a ``TextIndex`` of the units, where one was built
+
     def register(self) -> "Corpus":
         """Expose every table as a view for ``spark.sql``."""
         for f in fields(self):
