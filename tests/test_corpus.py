@@ -2,7 +2,7 @@
 
 import json
 import os
-from dataclasses import fields
+from dataclasses import fields, replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,3 +249,20 @@ def test_support_at_any_threshold_from_the_ladder(spark):
                 wanted[key] = (k, 4, 3 if k == 4 else 2 if k >= 2 else 1)
         found = {(r.unit_id, r.label): (r.k, r.pool, r.stars) for r in evidence.support_at(ladder, t).collect()}
         assert found == wanted
+
+
+def test_integrity_reads_each_table_once(corpus, spark):
+    found = checks.integrity(corpus)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 5
+    none = F.lit(None).cast("string")
+    bad = replace(corpus, annotations=corpus.annotations.withColumn("doc_id", F.when(F.col("src_row") == 0, none)
+                                                                   .otherwise(F.col("doc_id"))),
+                  documents=corpus.documents.unionByName(corpus.documents.limit(1)).unionByName(
+                      corpus.documents.limit(2).withColumn("doc_id", none)),
+                  alignment=corpus.alignment.withColumn("unit_id", F.lit("nowhere")))
+    counts = {r.rule: r.violations for r in checks.integrity(bad).collect()}
+    assert counts["reference annotations.doc_id"] == 8 and counts["unique documents(doc_id)"] == 2
+    assert counts["reference alignment.unit_id"] == corpus.alignment.count()
+    assert counts["not null documents"] == 2 and counts["not null annotations"] == 8
+    assert counts["reference alignment.annotation_id"] == 0 and counts["domain text_units.fragment_type"] == 0
