@@ -228,7 +228,7 @@ def test_pages_equal_the_ordered_rows(corpus, monkeypatch):
 def test_a_deep_page_reads_the_documents_that_hold_it(corpus):
     total = corpus.text_units.count()
     text = plan(corpus.text_units.where(views.locate_all(corpus.page_index, "units", total - 2, 2)[0]))
-    assert "SelectedBucketsCount: 1 out of" in text and "EqualTo(doc_id," in text
+    assert "EqualTo(doc_id,WS_4)" in text
     index = plan(corpus.page_index.where("units_before < 10000050 and units_before + n_units > 10000000"))
     assert "PushedFilters: [IsNotNull(units_before)" in index
 
