@@ -32,6 +32,8 @@ from spanloom.llm.common import staged
 #: Integer components stay below this, so that no squared distance or sum leaves a long.
 LARGEST = 1 << 24
 LEAF = 32
+#: Pairs of a leaf and an entry that are compared at once.
+PAIRS = 1 << 11
 
 
 def integers(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -141,7 +143,11 @@ class Assigned:
         by = np.lexsort((entry, i))                          # the smaller entry wins a tie
         i, entry = i[by], entry[by]
         here = _starts(i)
-        d = np.stack([((points[tree.rows[x]] - entries[e]) ** 2).sum(axis=1) for x, e in zip(i, entry)])
+        d = np.empty((len(i), tree.rows.shape[1]), np.int64)
+        for x in range(0, len(i), PAIRS):
+            part = slice(x, x + PAIRS)
+            apart = points[tree.rows[i[part]]] - entries[entry[part]][:, None]
+            d[part] = np.einsum("pmc,pmc->pm", apart, apart)
         self.taken = d.size
         least = np.repeat(np.minimum.reduceat(d, here, axis=0), np.diff(np.r_[here, len(i)]), axis=0)
         best = np.minimum.reduceat(np.where(d == least, entry[:, None], len(entries)), here, axis=0)
