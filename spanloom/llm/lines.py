@@ -1,8 +1,9 @@
 """Line dedup: lines that several documents share stay in one of them only.
 
-Lines are normalised and hashed, each document giving every hash once; per hash
-the smallest and largest document tell whether several documents hold it. Hashes
-of dropped lines are gathered per document, and the documents that have any are
+Lines are normalised and hashed, each document giving every hash once; per hash the
+documents are counted, and lines over the threshold are dropped from all of them but
+the smallest. Ids that several rows share are looked up first, so that only their rows
+have to be made distinct. Hashes of dropped lines are gathered per document, and the documents that have any are
 rebuilt by position. Only hashes and ids are shuffled for the count; hashes of
 128 bits stand for the lines.
 
@@ -67,27 +68,31 @@ def _rebuilt(min_chars: int, names: list[str], text: int):
 
 
 def dropped_hashes(docs: DataFrame, min_chars: int = 10, doc_id: str = "doc_id",
-                   text: str = "text") -> DataFrame:
+                   text: str = "text", min_docs: int = 2) -> DataFrame:
     """(d, gone): per document the hashes of the lines it loses; d is never null."""
     own = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
     lines = staged(docs.select(own, F.col(text)).mapInArrow(
         _hashes(min_chars), "h binary, d long"), "lines")
-    shared = staged(lines.groupBy("h").agg(F.min("d").alias("first"), F.max("d").alias("last"))
-                    .where("first < last").select("h", "first"), "shared")
+    repeated = staged(docs.groupBy(own.alias("d")).agg(F.count("*").alias("n")).where("n > 1")
+                      .select("d"), "repeated_ids")
+    once = lines.join(repeated, "d", "left_anti").select("h", "d").unionByName(
+        lines.join(repeated, "d", "left_semi").select("h", "d").distinct())
+    shared = staged(once.groupBy("h").agg(F.min("d").alias("first"), F.count("*").alias("n_docs"))
+                    .where(F.col("n_docs") >= min_docs).select("h", "first"), "shared")
     return lines.join(shared, "h").where("d > first").groupBy("d").agg(
         F.collect_set("h").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, doc_id: str = "doc_id",
-                text: str = "text") -> DataFrame:
+                text: str = "text", min_docs: int = 2) -> DataFrame:
     """``docs`` with the lines left in ``text``, and n_lines (before) and n_dropped.
 
-    A line of at least ``min_chars`` code points that two or more documents hold
+    A line of at least ``min_chars`` code points that ``min_docs`` or more documents hold
     stays in the document with the smallest id. Columns of ``docs`` that are named
     n_lines or n_dropped are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    gone = staged(dropped_hashes(docs, min_chars, doc_id, text), "gone")
+    gone = staged(dropped_hashes(docs, min_chars, doc_id, text, min_docs), "gone")
     own = F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID))
     joined = docs.join(gone, own == gone["d"], "left").select(*[docs[c] for c in docs.columns],
                                                               gone["gone"].alias("_gone"))

@@ -6,12 +6,13 @@ between two of them, so that no phrase runs over an end. The index is a written
 table of postings (segment, term, count, addresses), sorted by term inside a
 segment, and of document entries (term null) with the addresses where they begin.
 
-A search counts the wanted terms over all segments, reads their postings only,
-brings those of a segment together, and intersects the offset-adjusted address
-lists of each phrase from its rarest term on; it stops as soon as nothing is
-left. With ``slop`` a term may be that many words from its place: proximity.
-The searched phrases are a stated query set; they go to the tasks in blocks of
-bounded size, whatever their number.
+A search cuts the items into windows, counts the wanted terms over all segments, and
+orders the terms of each window by these counts; all of that are tables. A window
+goes to the segments that hold its rarest term, and to no others, where it meets the
+postings of wanted terms. The offset-adjusted address lists are intersected from the
+rarest term on, until nothing is left. With ``slop`` a term may be that many words
+from its place: proximity. Windows are divided into blocks of bounded size, and a
+task has one segment and one block; the driver knows the number of blocks only.
 
 Rows: null and empty texts have no words; each row of the corpus is an entry of
 its own, whatever its id; items without words match nothing; rows of an item that
@@ -21,7 +22,6 @@ Empty tables give empty results. Extra columns are not read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from typing import Iterator
 
 import numpy as np
@@ -35,8 +35,10 @@ WORD_BYTES = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128
                    else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 #: Tokens after which a task closes a segment.
 SEGMENT_TOKENS = 1 << 20
-#: Bytes of windows that are searched at once, and that a task gets at most.
+#: Bytes of the windows of a block.
 BLOCK_BYTES = 1 << 23
+#: Windows of a batch that leaves the task.
+CUT_ROWS = 10_000
 
 INDEX_SCHEMA = ("segment long, term binary, n long, addresses binary, "
                 "ids array<long>, starts array<long>, lengths array<long>")
@@ -120,27 +122,26 @@ def documents(index: DataFrame) -> DataFrame:
         "segment", "place", F.col("x.ids").alias("doc_id"), F.col("x.lengths").alias("n_words"))
 
 
-@dataclass
-class Phrase:
-    """A piece of an item: ``terms`` with the places they have in it, rarest first."""
-
-    item: object
-    terms: list[bytes]
-    places: list[int]
-    length: int
-
-
-def windows(item: object, text: str | None, size: int) -> list[tuple[object, tuple[bytes, ...]]]:
-    """``size`` consecutive words each; an item of fewer words is one window."""
-    own = words(text)
-    return [(item, tuple(own[i:i + size])) for i in range(max(1, len(own) - size + 1))] if own else []
+def _cut(size: int):
+    """Windows of ``size`` consecutive words; an item of fewer words is one window."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1)):
+                own = words(text.as_py())
+                for first in range(0, max(1, len(own) - size + 1) if own else 0, CUT_ROWS):
+                    last = min(first + CUT_ROWS, max(1, len(own) - size + 1))
+                    cut = [own[i:i + size] for i in range(first, last)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item.as_py()] * len(cut), pa.int64()), pa.array(cut, pa.list_(pa.binary()))],
+                        ["item_id", "words"])
+    return run
 
 
-def _occurrences(phrase: Phrase, postings: dict[bytes, np.ndarray], slop: int,
+def _occurrences(terms: list[int], places: list[int], postings: dict[int, np.ndarray], slop: int,
                  starts: np.ndarray, lengths: np.ndarray) -> np.ndarray | None:
-    """Addresses at which the phrase begins, by its rarest term."""
+    """Addresses at which a phrase begins, by its rarest term, which comes first."""
     found = low = high = None
-    for term, place in zip(phrase.terms, phrase.places):
+    for term, place in zip(terms, places):
         at = postings.get(term)
         if at is None or (found is not None and not len(found)):
             return None
@@ -162,20 +163,23 @@ def _occurrences(phrase: Phrase, postings: dict[bytes, np.ndarray], slop: int,
     return found
 
 
-def _search(phrases: list[Phrase], slop: int):
-    """Spans of one segment: all its wanted postings and its document entry come together."""
-    def run(rows: pa.Table) -> pa.Table:
-        terms = rows.column("term").to_pylist()
-        entry = rows.slice(terms.index(None), 1).to_pylist()[0]
-        starts, lengths = np.array(entry["starts"]), np.array(entry["lengths"])
-        postings = {t: np.frombuffer(x.as_buffer(), np.int32)
-                    for t, x in zip(terms, rows.column("addresses")) if t is not None}
+def _search(slop: int):
+    """Spans of one segment: its wanted postings and document entry meet the phrases of a block."""
+    def run(rows: pa.Table, phrases: pa.Table) -> pa.Table:
         spans: dict[object, list] = {}
-        for phrase in phrases:
-            found = _occurrences(phrase, postings, slop, starts, lengths)
-            if found is not None and len(found):
-                spans.setdefault(phrase.item, []).append(
-                    np.stack([found - slop, found + phrase.length + slop, found + phrase.places[0]], 1))
+        if phrases.num_rows:
+            terms = rows.column("id").to_pylist()
+            entry = rows.slice(terms.index(None), 1).to_pylist()[0]
+            starts, lengths = np.array(entry["starts"]), np.array(entry["lengths"])
+            postings = {t: np.frombuffer(x.as_buffer(), np.int32)
+                        for t, x in zip(terms, rows.column("addresses")) if t is not None}
+            for item, order in zip(phrases.column("item_id").to_pylist(), phrases.column("terms")):
+                order = order.as_py()
+                places = [x["place"] for x in order]
+                found = _occurrences([x["id"] for x in order], places, postings, slop, starts, lengths)
+                if found is not None and len(found):
+                    spans.setdefault(item, []).append(
+                        np.stack([found - slop, found + len(places) + slop, found + places[0]], 1))
         out = []
         for item, parts in spans.items():
             edges = np.concatenate(parts)
@@ -192,13 +196,45 @@ def _search(phrases: list[Phrase], slop: int):
                        (low[first] - starts[inside[first]]).tolist(),
                        (reach[last] - starts[inside[first]]).tolist())
         items, places, begins, ends = zip(*out) if out else ((), (), (), ())
-        return pa.table({"segment": pa.array([entry["segment"]] * len(out), pa.int64()),
+        return pa.table({"segment": pa.array([entry["segment"]] * len(out) if out else [], pa.int64()),
                          "place": pa.array(places, pa.int32()),
                          "item_id": pa.array(items, pa.int64()),
                          "begin": pa.array(begins, pa.int64()), "end": pa.array(ends, pa.int64())})
     return run
 
 
+def phrases(index: DataFrame, items: DataFrame, window: int, item_id: str, text: str,
+            block_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """The query set as tables, and the number of its blocks.
+
+    First ``wanted`` (term, id), the different terms. Second the windows that the index
+    can hold, all their terms being in it: (block, item_id, rarest, terms), where
+    ``terms`` has id and place of each term, rarest first. A block has about
+    ``block_bytes``.
+    """
+    pieces = staged(items.select(F.col(item_id).cast("long"), F.col(text))
+                    .mapInArrow(_cut(window), "item_id long, words array<binary>").distinct(), "windows")
+    size = F.lit(64) + F.aggregate("words", F.lit(0), lambda n, w: n + F.length(w))
+    n, total = pieces.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    blocks = max(1, min(n, -(-total // block_bytes)))
+    terms = pieces.select(F.explode("words").alias("term")).distinct()
+    wanted = staged(terms.withColumn("id", F.monotonically_increasing_id()), "wanted_terms")
+    counts = staged(_postings(index, wanted).groupBy("id").agg(F.sum("n").alias("n")), "term_counts")
+    places = pieces.withColumn("piece", F.monotonically_increasing_id()).select(
+        "piece", "item_id", F.size("words").alias("length"), F.posexplode("words").alias("place", "term"))
+    ranked = places.join(wanted, "term").join(counts, "id").groupBy("piece", "item_id", "length").agg(
+        F.array_sort(F.collect_list(F.struct("n", "place", "id"))).alias("x")).where(F.size("x") == F.col("length"))
+    found = ranked.select(
+        F.pmod("piece", F.lit(blocks)).cast("int").alias("block"), "item_id",
+        F.col("x")[0]["id"].alias("rarest"),
+        F.transform("x", lambda t: F.struct(t["id"].alias("id"), t["place"].alias("place"))).alias("terms"))
+    return wanted, staged(found, "phrases"), blocks
+
+
+def _postings(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    return index.where(F.col("term").isNotNull()).join(wanted, "term")
+
+
 def search(index: DataFrame, items: DataFrame, window: int = 10, slop: int = 0,
            item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(segment, place, item_id, begin, end): word spans that hold windows of an item.
@@ -207,39 +243,23 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, slop: int = 0,
     asks for exact phrases; else every term lies up to ``slop`` words from its place
     beside the rarest term, and a span reaches as far.
     """
-    spark = index.sparkSession
-    schema = "segment long, place int, item_id long, begin long, end long"
-    result = spark.createDataFrame([], schema)
-    pieces = (w for row in items.select(F.col(item_id).cast("long"), text).toLocalIterator()
-              for w in windows(row[0], row[1], window))
-    for block in _blocks(pieces, block_bytes):
-        # at most block_bytes, and null for the document entries
-        wanted = spark.createDataFrame([(t,) for t in {t for _, w in block for t in w} | {None}],
-                                       "wanted binary")
-        found = index.join(F.broadcast(wanted), index["term"].eqNullSafe(wanted["wanted"]), "left_semi")
-        count = {bytes(r["term"]): r["n"] for r in found.where(F.col("term").isNotNull())
-                 .groupBy("term").agg(F.sum("n").alias("n")).collect()}
-        phrases = []
-        for item, w in block:
-            if all(t in count for t in w):
-                places = sorted(range(len(w)), key=lambda k: (count[w[k]], k))
-                phrases.append(Phrase(item, [w[k] for k in places], places, len(w)))
-        result = result.unionByName(
-            found.groupBy("segment").applyInArrow(_search(phrases, slop), schema))
-    return result
-
-
-def _blocks(pieces: Iterator[tuple], block_bytes: int) -> Iterator[set]:
-    """Different windows of the query set, in blocks of about ``block_bytes``."""
-    block, size = set(), 0
-    for piece in pieces:
-        block.add(piece)
-        size += sum(map(len, piece[1])) + 64
-        if size >= block_bytes:
-            yield block
-            block, size = set(), 0
-    if block:
-        yield block
+    wanted, windows, blocks = phrases(index, items, window, item_id, text, block_bytes)
+    postings = _postings(index, wanted)
+    places = postings.select(F.col("segment").alias("own"), F.col("id").alias("rarest"))
+    work = windows.join(places, "rarest").select("own", F.col("block").alias("part"), "item_id", "terms")
+    if blocks == 1:
+        held = postings.withColumn("block", F.lit(0))
+    else:
+        asked = staged(windows.select("block", F.explode("terms.id").alias("id")).distinct(), "block_terms")
+        held = postings.join(asked, "id")
+    none = F.lit(None).cast("array<long>")
+    entries = index.where(F.col("term").isNull()).select(
+        "segment", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("addresses"), "starts", "lengths")
+    rows = held.select("segment", "block", "id", "addresses", none.alias("starts"),
+                       none.alias("lengths")).unionByName(entries)
+    return rows.groupBy("segment", "block").cogroup(work.groupBy("own", "part")).applyInArrow(
+        _search(slop), "segment long, place int, item_id long, begin long, end long")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 0,

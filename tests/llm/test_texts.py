@@ -53,7 +53,7 @@ def test_token_frames(spark):
 
 # ---- lines -----------------------------------------------------------------
 
-def slow_lines(docs, least=10):
+def slow_lines(docs, least=10, min_docs=2):
     held = defaultdict(set)
     for i, t in docs:
         for x in (t or "").split("\n"):
@@ -62,7 +62,7 @@ def slow_lines(docs, least=10):
     for i, t in docs:
         own = (t or "").split("\n")
         kept = [x for x in own if not (len(k := low(x.strip(SPACES))) >= least
-                                       and len(held[k]) > 1 and i != min(held[k]))]
+                                       and len(held[k]) >= min_docs and i != min(held[k]))]
         out.append((i, "\n".join(kept), len(own), len(own) - len(kept)))
     return sorted(out)
 
@@ -79,6 +79,17 @@ def test_line_dedup(spark):
     assert found.columns == ["doc_id", "text", "d", "gone", "n_lines", "n_dropped"]
     assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in found.collect()) == slow_lines(docs)
     assert lines.dedup_lines(frame.limit(0)).count() == 0
+    for least in (3, 40):
+        found = lines.dedup_lines(frame, min_docs=least)
+        assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in found.collect()) == slow_lines(
+            docs, min_docs=least)
+
+
+def test_lines_of_a_very_long_text(spark):
+    docs = [(2, "\n".join(f"line number {i}" for i in range(60_000))), (1, "line number 7\nline number 59999"),
+            (3, "x" * 2_000_000), (4, "x" * 2_000_000)]
+    found = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in found.collect()) == slow_lines(docs)
 
 
 def test_lines_without_id(spark):
@@ -134,6 +145,10 @@ def test_contamination(spark):
     assert hit_words(small) == hit_words(whole)
     by_doc = posindex.documents(index).collect()
     assert sum(r.n_words for r in by_doc) == sum(x[1] for x in wanted) and len(by_doc) == len(docs)
+    _, phrases, blocks = posindex.phrases(index, b, 4, "item_id", "text", 1 << 23)
+    assert blocks == 1 and all(len({t.place for t in r.terms}) == len(r.terms) and r.rarest == r.terms[0].id
+                               for r in phrases.collect())
+    assert phrases.where("item_id = 14").count() == 0            # terms that no document holds
     kept = posindex.keep_clean(d, b, window=4)
     assert kept.columns == d.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(x[0] for x in wanted if not x[2])
