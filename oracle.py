@@ -625,6 +625,14 @@ select (select count(*) from docs) as documents, u.*, a.* from (
  select count(*) as annotations, count(distinct text) as unique_annotations,
   count(*) filter (status = 'aligned') as aligned, count(*) filter (status = 'unmatched') as unmatched,
   count(*) filter (status = 'ambiguous') as ambiguous from annotations) a"""),
+    "sketched_counts": with_tables("""
+select subset, count(*) as units,
+ count(distinct unit_text) filter (unit_kind = 'sentence') as unique_sentences,
+ count(distinct unit_text) filter (unit_kind = 'fragment') as unique_fragments,
+ count(distinct unit_text) filter (label_category in ('single_label', 'multi_label')) as unique_defined_samples,
+ count(distinct unit_text) filter (label_category in ('single_label', 'multi_label') and not loose) as never_unlabeled
+from marked group by subset""",
+        "\nmarked as (select *, bool_or(label_category = 'unlabeled') over (partition by subset, unit_text) as loose from text_units)"),
     "stats_of_annotators": with_tables("""
  select count(*) as annotations, count(distinct text) as unique_annotations,
   count(*) filter (status = 'aligned') as aligned, count(*) filter (status = 'unmatched') as unmatched,
@@ -778,6 +786,12 @@ union all select 'unit_labels', count(*) from unit_labels semi join keep using (
 union all select 'alignment', count(*) from alignment semi join keep using (doc_id)
 union all select 'ambiguous', count(*) from (select * from ta where hits > 1) semi join keep using (doc_id)""",
         "\nkeep as materialized (select doc_id from docs qualify row_number() over (partition by subset order by num) <= 5)"),
+    "slice_rows": with_tables("""
+select 'text_units' as "table", doc_id, unit_id as key from text_units semi join keep using (doc_id)
+union all select 'annotations', doc_id, annotation_id from annotations semi join keep using (doc_id)
+union all select 'alignment', doc_id, unit_id || '/' || annotation_id from alignment semi join keep using (doc_id)
+union all select 'unit_labels', doc_id, unit_id || '/' || label from unit_labels semi join keep using (doc_id)""",
+        "\nkeep as materialized (select doc_id from docs qualify row_number() over (partition by subset order by num) <= 5)"),
     "row_manifest": with_tables("""
 select 'documents' as "table", count(*) as n from docs union all select 'annotations', count(*) from annotations
 union all select 'text_units', count(*) from text_units union all select 'unit_labels', count(*) from unit_labels

@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanloom.operators import stats
 from spanloom.plans.corpus import Corpus
-from spanloom.session import write_and_read
+from spanloom.session import read_footers, write_and_read
 
 TABLES = ("alignment", "ambiguous", "annotations", "documents", "text_units", "unit_labels")
 
 
 def row_counts(corpus: Corpus) -> DataFrame:
-    """Rows of every table."""
-    parts = [getattr(corpus, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "n")
-             for t in TABLES]
+    """Rows of every table; of a written corpus by the footers of its files alone."""
+    def rows(table: str) -> DataFrame:
+        df = getattr(corpus, table)
+        return read_footers(df.sparkSession, f"{corpus.folder}/{table}", df.schema) if corpus.folder else df
+    parts = [rows(t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "n") for t in TABLES]
     return reduce(DataFrame.unionByName, parts)
 
 

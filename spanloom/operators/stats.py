@@ -131,28 +131,33 @@ def star_histogram(corpus: Corpus, threshold: int | None = 1) -> DataFrame:
 
 def label_matrix(corpus: Corpus) -> DataFrame:
     """Per label: spans and units in the raw, overlap, exclusion and inconclusive
-    states, with each count's share of the total and of the largest label."""
-    by_status = status_by_label(corpus.annotations)
-    raw = span_label_distribution(corpus.annotations).withColumnRenamed("count", "raw")
-    sentences = label_distribution(corpus.text_units).select(
-        "label", F.col("count").alias("sentences"))
-    hits = hits_by_label(corpus.text_units)
-    universe = raw.select("label").union(sentences.select("label")).distinct()
-    counts = ["raw", "aligned", "unmatched", "ambiguous", "sentences", "hits"]
-    table = universe
-    for part in (raw, by_status, sentences, hits):
-        table = table.join(part, "label", "left")
-    table = table.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    states, with each count's share of the total and of the largest label.
+
+    Spans and units are read once each: a unit also gives a row without a label,
+    and these rows make up the totals.
+    """
+    statuses = ("aligned", "unmatched", "ambiguous")
+    by_span = corpus.annotations.groupBy("label").agg(
+        F.count("*").alias("raw"), *[F.count_if(F.col("status") == s).alias(s) for s in statuses])
+    defined = F.col("label_category").isin(*DEFINED)
+    by_unit = corpus.text_units.select(
+        "unit_kind", "label_category",
+        F.explode(F.concat("labels", F.array(F.lit(None).cast("string")))).alias("label")).groupBy("label").agg(
+        F.count("*").alias("sentences"), F.count_if(defined).alias("hits"),
+        F.count_if(F.col("unit_kind") == "sentence").alias("_kind"))
+    counts = ["raw", *statuses, "sentences", "hits"]
     every = Window.partitionBy()                        # one row per label
-    spans = ["raw", "aligned", "unmatched", "ambiguous"]
-    totals = corpus.text_units.agg(
-        F.count_if(F.col("unit_kind") == "sentence").alias("_sentences"),
-        F.count_if(F.col("label_category").isin(*DEFINED)).alias("_defined"))
+    total = F.col("label").isNull()
+    table = by_span.where("label IS NOT NULL").join(by_unit, "label", "full").withColumns(
+        {c: F.coalesce(c, F.lit(0)) for c in counts}).withColumns({
+            "_sentences": F.max(F.when(total, F.col("_kind"))).over(every),
+            "_defined": F.max(F.when(total, F.col("hits"))).over(every)}).where(~total)
+    spans = ["raw", *statuses]
 
     def share(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, part / whole).otherwise(0.0)
 
-    return table.crossJoin(F.broadcast(totals)).select(       # a single row
+    return table.select(
         "label", *counts,
         *[share(F.col(c), F.sum(c).over(every)).alias(f"{c}_share") for c in spans],
         share(F.col("sentences"), F.col("_sentences")).alias("sentences_share"),

@@ -17,6 +17,7 @@ from spanloom.operators import search as Q, snapshots, stats, units as U, views
 from spanloom.operators.align import best_overlap, span_texts, unit_texts
 from spanloom.operators.containment import contained_pairs
 from spanloom.operators.filters import UnitFilter, filter_units
+from spanloom.operators.sketches import TextSketches
 from spanloom.operators.textindex import TextIndex
 from spanloom.plans import corpus as C, export as X, sqlfunctions
 from spanloom.schema import LABELS
@@ -520,6 +521,13 @@ def stats_counts(c):
     return stats.corpus_counts(c)
 
 
+@corpus_query
+def sketched_counts(c):
+    """Counts per subset from sketches of 2^16 texts."""
+    path = f"{shared_dir(c.documents.sparkSession)}/sketches-{uuid.uuid4().hex}"
+    return TextSketches.build(c.text_units, path, 16).counts("subset")
+
+
 @corpus_query
 def stats_of_annotators(c):
     return stats.span_counts(c.annotations, "ra1,ra2")
@@ -920,6 +928,18 @@ def corpus_slice(c):
     return manifest.row_counts(manifest.corpus_slice(c, 5))
 
 
+@corpus_query
+def slice_rows(c):
+    """Rows of a slice by their keys."""
+    part = manifest.corpus_slice(c, 5)
+    units = part.text_units.select(F.lit("text_units").alias("table"), "doc_id", F.col("unit_id").alias("key"))
+    return units.unionByName(part.annotations.select(
+        F.lit("annotations").alias("table"), "doc_id", F.col("annotation_id").alias("key"))).unionByName(
+        part.alignment.select(F.lit("alignment").alias("table"), "doc_id", F.concat_ws(
+            "/", "unit_id", "annotation_id").alias("key"))).unionByName(part.unit_labels.select(
+                F.lit("unit_labels").alias("table"), "doc_id", F.concat_ws("/", "unit_id", "label").alias("key")))
+
+
 @corpus_query
 def row_manifest(c):
     return manifest.row_counts(c)

@@ -28,6 +28,7 @@ class Corpus:
     page_index: DataFrame           # rows before each document
 
     text_index = None               # a ``TextIndex`` of the units, where one was built
+    folder = None                   # where the tables of this version are
 
     def register(self) -> "Corpus":
         """Expose every table as a view for ``spark.sql``."""
@@ -46,7 +47,9 @@ class Corpus:
             if not last["buckets"] or name in UNBUCKETED:
                 return spark.read.parquet(path)
             return read_buckets(spark, path, "doc_id", order, last["buckets"], partition)
-        return Corpus(*[table(f.name) for f in fields(Corpus)])
+        corpus = Corpus(*[table(f.name) for f in fields(Corpus)])
+        corpus.folder = f"{folder}/{last['version']}"
+        return corpus
 
 
 #: Folders and sort order of the tables: conditions on them prune a scan.
@@ -113,6 +116,7 @@ def build(documents: DataFrame, blocks: DataFrame, spans: DataFrame,
         table("ambiguous", result.ambiguous),
         table("ladder", evidence.vote_ladder(evidence.votes(alignment), evidence.annotator_pool(annotations))),
         table("page_index", page_index(documents, text_units, annotations, work)))
+    corpus.folder = f"{folder}/{version}"
     spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("built_at"),
                           F.lit(buckets).alias("buckets")) \
         .coalesce(1).write.mode("append").parquet(f"{folder}/versions")

@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Row counts of tables opened by ``read_footers`` come from file footers.
+    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 
@@ -106,6 +108,19 @@ def read_buckets(spark: SparkSession, path: str, key: str, order: list[str], buc
     return spark.table(name)
 
 
+V1_SOURCES = "spark.sql.sources.useV1SourceList"
+
+
+def read_footers(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A Parquet table by the source that answers counts from file footers."""
+    sources = spark.conf.get(V1_SOURCES)
+    spark.conf.set(V1_SOURCES, ",".join(s for s in sources.split(",") if s != "parquet"))
+    try:
+        return spark.read.schema(schema).parquet(path)
+    finally:
+        spark.conf.set(V1_SOURCES, sources)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Take a table of ``write_buckets`` out of the catalog; its files stay."""
     spark.sql(f"DROP TABLE IF EXISTS {table_name(path)}")

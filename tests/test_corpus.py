@@ -100,6 +100,10 @@ def test_manifest(corpus, spark):
     assert counts["documents"] == 8 and counts["subsets"] == {"DB": 4, "WS": 4}
     with pytest.raises(Exception, match="below expected"):
         manifest.build_manifest(corpus, "1", expected_docs=400).collect()
+    counted = manifest.row_counts(corpus)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedAggregation: [COUNT(*)]") == len(manifest.TABLES) and "ReadSchema: struct<count(*)" in plan
+    assert {r.table: r.n for r in counted.collect()} == {t: getattr(corpus, t).count() for t in manifest.TABLES}
     small = manifest.corpus_slice(corpus, 1)
     assert small.documents.count() == 2 and small.text_units.count() == 8
     a = manifest.fingerprint(corpus.text_units, ["unit_id", "unit_text"]).first()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import contains_ci, like_ci
 from spanloom.operators import snapshots
+from spanloom.operators.sketches import TextSketches
 from spanloom.operators.textindex import TextIndex, literals_of_like
 from spanloom.sources import sinks
 
@@ -94,3 +95,23 @@ def test_files_in_order(spark, tmp_path, fmt):
     assert {(r.part, r.file): r.n for r in sinks.parts(spark, str(tmp_path / "data"), frame.drop("_doc", "_place").schema, fmt).collect()} == files
     assert len(files) > 2
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_sketches_merge_and_differ(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["en", "de", None]), "sentence", rnd.choice(["single_label", "unlabeled"]),
+             None if i % 97 == 0 else f"text {rnd.randrange(20_000)}") for i in range(30_000)]
+    frame = spark.createDataFrame(rows, "subset string, unit_kind string, label_category string, unit_text string")
+    for lg, error in ((16, 0), (10, 0.12)):
+        parts = [TextSketches.build(frame.where(c), str(tmp_path / f"{lg}-{i}"), lg) for i, c in enumerate(
+            ("subset = 'en'", "subset = 'de'", "subset IS NULL"))]
+        all_ = parts[0].merged(parts[1]).merged(parts[2])
+        texts = {c: {t for _, _, x, t in rows if x == c and t} for c in ("single_label", "unlabeled")}
+        whole = all_.counts().first()
+        assert whole.units == len(rows) and whole.unique_fragments == 0
+        union = len(texts["single_label"] | texts["unlabeled"])
+        assert abs(whole.unique_sentences - union) <= error * union
+        assert abs(whole.never_unlabeled - len(texts["single_label"] - texts["unlabeled"])) <= error * union
+        assert {r.subset for r in all_.counts("subset").collect()} == {"en", "de", None}
+    empty = TextSketches.build(frame.limit(0), str(tmp_path / "none"))
+    assert empty.counts("subset").count() == 0
