@@ -110,6 +110,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     name, part = name + 1, _Segment()
         if part.ids:
             yield from part.batches(name)
+        pa.default_memory_pool().release_unused()        # the worker goes on to other stages
 
     return staged(docs.select(F.col(doc_id).cast("long"), F.col(text))
                   .mapInArrow(run, INDEX_SCHEMA), "positional_index")
@@ -195,6 +196,7 @@ def _search(slop: int):
             out += zip([item] * len(last), inside[first].tolist(),
                        (low[first] - starts[inside[first]]).tolist(),
                        (reach[last] - starts[inside[first]]).tolist())
+        pa.default_memory_pool().release_unused()
         items, places, begins, ends = zip(*out) if out else ((), (), (), ())
         return pa.table({"segment": pa.array([entry["segment"]] * len(out) if out else [], pa.int64()),
                          "place": pa.array(places, pa.int32()),
