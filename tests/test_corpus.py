@@ -125,6 +125,15 @@ def test_export_round_trip(corpus, spark, tmp_path):
     assert dict(js.dtypes)["label"] == "array<string>" and {r.split for r in js.collect()} == {"data"}
 
 
+def test_export_rows_have_the_selected_columns(corpus, spark, monkeypatch):
+    from spanloom.plans import catalog
+    monkeypatch.setattr(catalog, "built", lambda *_: corpus)
+    rows = catalog.QUERIES["export_rows"](spark, "")
+    assert rows.columns == ["id", "group", "text", "label", "label_name", "support_stars", "support_evidence",
+                            "alignment_types", "split"]
+    assert rows.where("split <> 'data'").count() == 0
+
+
 def test_short_queries_find_nothing(corpus):
     assert search.search_all(corpus, " a ").count() == 0
 
