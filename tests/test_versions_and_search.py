@@ -115,3 +115,22 @@ def test_sketches_merge_and_differ(spark, tmp_path):
         assert {r.subset for r in all_.counts("subset").collect()} == {"en", "de", None}
     empty = TextSketches.build(frame.limit(0), str(tmp_path / "none"))
     assert empty.counts("subset").count() == 0
+
+
+def test_counts_beyond_the_sketches_are_exact(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["en", "en", "en", "de", None]), rnd.choice(["sentence", "fragment"]),
+             rnd.choice(["single_label", "unlabeled", "unlabeled"]),
+             None if i % 97 == 0 else f"text {rnd.randrange(3_000)}") for i in range(6_000)]
+    frame = spark.createDataFrame(rows, "subset string, unit_kind string, label_category string, unit_text string")
+    sketches = TextSketches.build(frame, str(tmp_path / "cells"), 10)      # en has far more than 2^10
+
+    def model(s):
+        own = [r for r in rows if r[0] == s]
+        texts = {x: {r[3] for r in own if x in r and r[3]} for x in ("sentence", "fragment", "single_label", "unlabeled")}
+        return (s, len(own), len(texts["sentence"]), len(texts["fragment"]), len(texts["single_label"]),
+                len(texts["single_label"] - texts["unlabeled"]))
+    wanted = {model(s) for s in ("en", "de", None)}
+    assert {tuple(r) for r in sketches.counts("subset", units=frame).collect()} == wanted
+    assert {tuple(r) for r in sketches.counts("subset").collect()} != wanted
+    assert sketches.counts(units=frame).first().units == len(rows)
