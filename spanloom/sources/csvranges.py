@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from typing import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanloom.session import write_and_read
 
@@ -35,11 +35,18 @@ RANGE = ("file string, path string, start long, n_free long, n_quoted long, open
          "open_quoted boolean, first string, head string")
 
 
-def text_lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+def _in_one_range(spark: SparkSession) -> Column:
+    """Whether a scan never cuts a file: it is small, and not a part of one."""
+    conf = spark._jsparkSession.sessionState().conf()
+    uncut = min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes())
+    return (F.col("_metadata.file_size") <= uncut) & ~F.col("_metadata.file_path").rlike(PART)
+
+
+def text_lines(spark: SparkSession, folder: str, pattern: str, which: Column) -> DataFrame:
     """(file, path, start, line): lines of the files whose name fits, by the range they are in."""
     path = F.col("_metadata.file_path")
     lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(folder)
-    return lines.select(F.regexp_replace(path, PART, "").alias("file"), path.alias("path"),
+    return lines.where(which).select(F.regexp_replace(path, PART, "").alias("file"), path.alias("path"),
                         F.col("_metadata.file_block_start").alias("start"),
                         F.make_valid_utf8("value").alias("line")).where(F.col("file").rlike(pattern))
 
@@ -194,12 +201,14 @@ def _parsed(places, columns: list[str]):
         return (r for r in csv.reader(own()) if r)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = places.value
         for (file, path, start), lines in _ranges(batches):
-            place = known[path, start]
-            at = {name: i for i, name in enumerate(place.header)}
+            place = Place(False, -1) if places is None else places.value[path, start]
+            found = records(lines, place)
+            header = next(found, ()) if places is None else place.header
+            at = {name: i for i, name in enumerate(header)}
             own = [at.get(c, -1) for c in columns]
-            first = place.number + place.quoted            # the record that ends here is not ours
+            # the record that ends here is not ours, and the header has been read
+            first = place.number + (place.quoted or places is None)
             part: list[list] = []
 
             def batch():
@@ -207,7 +216,7 @@ def _parsed(places, columns: list[str]):
                     [pa.array([x[i] for x in part], t) for i, t in enumerate(
                         [pa.string(), pa.int64(), *[pa.string()] * len(columns)])],
                     ["path", "row", *[f"c{i}" for i in range(len(columns))]])
-            for i, r in enumerate(records(lines, place), first):
+            for i, r in enumerate(found, first):
                 if i >= 0:
                     part.append([file, i] + [r[k] if 0 <= k < len(r) else "" for k in own])
                 if len(part) == CHUNK_ROWS:
@@ -221,14 +230,17 @@ def _parsed(places, columns: list[str]):
 def rows(spark: SparkSession, folder: str, pattern: str, columns: dict[str, str]) -> DataFrame:
     """(path, row, *names) of the CSV files below ``folder`` whose path fits ``pattern``.
 
-    ``columns`` maps header cells to names; ``row`` counts from 0 in each file. Of each
-    range, 128 MB by default, a few numbers come to the driver, and the text up to the
+    ``columns`` maps header cells to names; ``row`` counts from 0 in each file. Files that
+    a scan never cuts are parsed in one scan; nothing of them comes to the driver. Of each
+    range of the others, 128 MB by default, a few numbers come to the driver, and the text up to the
     first end of a record where one is open at its start.
     """
-    lines = text_lines(spark, folder, pattern)
+    small = _in_one_range(spark)
+    schema = ", ".join(["path string, row long", *[f"c{i} string" for i in range(len(columns))]])
+    whole = text_lines(spark, folder, pattern, small).mapInArrow(_parsed(None, list(columns)), schema)
+    lines = text_lines(spark, folder, pattern, ~small)
     found = write_and_read(lines.mapInArrow(_summaries, RANGE), "csv_ranges")
     places = spark.sparkContext.broadcast(settled(found))
-    schema = ", ".join(["path string, row long", *[f"c{i} string" for i in range(len(columns))]])
-    parsed = lines.mapInArrow(_parsed(places, list(columns)), schema)
+    parsed = whole.unionByName(lines.mapInArrow(_parsed(places, list(columns)), schema))
     return parsed.select("path", F.col("row").cast("int"),
                          *[F.col(f"c{i}").alias(n) for i, n in enumerate(columns.values())])

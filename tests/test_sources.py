@@ -90,3 +90,22 @@ def test_crawl_numbers(spark, small_ranges, tmp_path):
     (tmp_path / "Crawl" / "ws.csv").write_text(text)
     found = files.read_crawl(spark, str(tmp_path)).collect()
     assert sorted((r.num, r.link, r.subset) for r in found) == [(i + 1, f"http://{i}", "WS") for i in range(40)]
+
+
+def test_small_files_send_nothing_to_the_driver(spark, tmp_path, monkeypatch):
+    rnd = random.Random(9)
+    wanted = {}
+    for k in range(30):
+        text = sample(rnd, rnd.choice([0, 1, 9]))
+        (tmp_path / f"{k}.csv").write_bytes(text.encode())
+        wanted[f"{k}.csv"] = slow_rows(text)
+    settled = csvranges.settled
+
+    def none(ranges):
+        assert ranges.count() == 0
+        return settled(ranges)
+    monkeypatch.setattr(csvranges, "settled", none)
+    got = {name: [] for name in wanted}
+    for r in csvranges.rows(spark, str(tmp_path), r"\.csv$", COLUMNS).collect():
+        got[r.path.rpartition("/")[2]].append(tuple(r)[1:])
+    assert {n: sorted(v) for n, v in got.items()} == wanted
