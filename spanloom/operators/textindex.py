@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
+from string import ascii_lowercase, ascii_uppercase
+from typing import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanloom.functions.rows import exploded
-from spanloom.functions.text import ascii_lower
+from spanloom.session import write_and_read
 
 SIZE = 3
 #: Trigrams of a query that are intersected; more would hardly leave fewer units.
@@ -24,11 +28,23 @@ INTERSECTED = 4
 NAMED = 100
 
 
-def grams_of(text: Column) -> Column:
-    """The different trigrams of a text."""
-    starts = F.sequence(F.lit(1), F.length(text) - (SIZE - 1))
-    found = F.transform(starts, lambda i: F.substring(text, i, F.lit(SIZE)))
-    return F.when(F.length(text) >= SIZE, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+_LOWER = str.maketrans(ascii_uppercase, ascii_lowercase)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, doc_id, places) of the units of each batch; units without a text have none."""
+    for batch in batches:
+        found: dict[tuple[str, str], list[int]] = {}
+        for doc_id, position, text in zip(*(c.to_pylist() for c in batch.columns)):
+            folded = (text or "").translate(_LOWER)
+            for gram in {folded[i:i + SIZE] for i in range(len(folded) - SIZE + 1)}:
+                found.setdefault((gram, doc_id), []).append(position)
+        places = list(found.values())
+        ends = np.cumsum([0, *map(len, places)], dtype=np.int32)
+        flat = pa.array(np.fromiter(chain.from_iterable(places), np.int32, ends[-1]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([g for g, _ in found], pa.string()), pa.array([d for _, d in found], pa.string()),
+             pa.ListArray.from_arrays(pa.array(ends), flat)], ["gram", "doc_id", "places"])
 
 
 def _literal_grams(literals: list[str]) -> list[str]:
@@ -39,16 +55,21 @@ def _literal_grams(literals: list[str]) -> list[str]:
 
 @dataclass
 class TextIndex:
-    postings: DataFrame     # gram, doc_id, places (positions in the document, sorted)
+    postings: DataFrame     # gram, doc_id, places (positions in the document; a document may have several rows)
     grams: DataFrame        # gram, n (units that hold it)
 
     @staticmethod
     def build(units: DataFrame, folder: str) -> "TextIndex":
-        """Postings of ``units`` (doc_id, position, unit_text), written below ``folder``."""
-        rows = exploded(units, ["doc_id", "position"], grams_of(ascii_lower(F.col("unit_text"))), "gram")
-        postings = rows.groupBy("gram", "doc_id").agg(F.array_sort(F.collect_list("position")).alias("places"))
-        postings.repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id").write.mode(
-            "error").parquet(f"{folder}/postings")
+        """Postings of ``units`` (doc_id, position, unit_text), written below ``folder``.
+
+        Units of a document that stand in one batch of a task share a posting, so tables
+        kept by document give few. The postings are written before they are dealt out:
+        the bounds of the ranges would make them a second time.
+        """
+        rows = units.select("doc_id", "position", "unit_text").mapInArrow(
+            _postings, "gram string, doc_id string, places array<int>")
+        write_and_read(rows, "unsorted", folder).repartitionByRange("gram", "doc_id").sortWithinPartitions(
+            "gram", "doc_id").write.mode("error").parquet(f"{folder}/postings")
         written = units.sparkSession.read.parquet(f"{folder}/postings")
         written.groupBy("gram").agg(F.sum(F.size("places")).alias("n")).repartitionByRange("gram") \
             .sortWithinPartitions("gram").write.mode("error").parquet(f"{folder}/grams")

@@ -54,6 +54,17 @@ def test_rarest_trigrams_come_first(units, index):
         "".join(c.lower() if c.isascii() else c for c in r.unit_text) for r in units.collect()])
 
 
+def test_postings_are_made_once(units, monkeypatch, tmp_path):
+    plans, deal = [], type(units).repartitionByRange
+
+    def noted(self, *keys):                               # bounds of ranges read their rows once more
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return deal(self, *keys)
+    monkeypatch.setattr(type(units), "repartitionByRange", noted)
+    TextIndex.build(units, str(tmp_path / "once"))
+    assert not any(x in plans[0] for x in ("Generate", "MapInArrow", "ObjectHashAggregate"))
+
+
 def test_changes_of_versions(spark, units, tmp_path):
     old = snapshots.Tree.build(units, str(tmp_path / "old"))
     same = snapshots.Tree.build(units.repartition(7), str(tmp_path / "same"))
