@@ -208,16 +208,49 @@ def joined(pairs: DataFrame) -> DataFrame:
         stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def links(own: DataFrame, signed: DataFrame, percent: int, words_in: int, miss: float) -> DataFrame:
-    """(a, b) node pairs, enough to connect all sets of ``percent`` similarity or more."""
+def links_of(found: DataFrame, own: DataFrame, held: DataFrame, percent: int, words_in: int) -> DataFrame:
+    """(a, b) node pairs of the id pairs ``found`` (a, b) whose whole sets are similar enough.
+
+    Of an id of several texts, one set is compared: its sets are linked anyway.
+    """
+    one = held.where("n > 0").groupBy("id").agg(F.min(F.struct("node", "n")).alias("_s"))
+    x, y = (one.select(F.col("id").alias(c), F.col("_s.node").alias(f"node_{c}"),
+                       F.col("_s.n").alias(f"n_{c}")) for c in "ab")
+    pairs = staged(found.join(x, "a").join(y, "b").where("node_a <> node_b").where(
+        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select(
+        F.col("a").alias("id_a"), F.col("b").alias("id_b"),
+        F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")), "pairs_of_ids")
+    nodes = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().join(held, "id").where(
+        "n > 0").groupBy("node").agg(F.min("id").alias("id"))
+    sets = staged(whole_sets(own, staged(nodes, "nodes_of_ids"), words_in), "sets_of_pairs")
+    return staged(_similar(pairs.select("a", "b").distinct(), sets, percent), "links_of_pairs")
+
+
+def links(own: DataFrame, signed: DataFrame, percent: int, words_in: int, miss: float,
+          found: DataFrame | None = None) -> DataFrame:
+    """(a, b) node pairs, enough to connect all sets of ``percent`` similarity or more.
+
+    ``found`` are written links known before, which are among the result: what they join
+    is not compared again.
+    """
     one = staged(signed.where("n > 0").groupBy("node").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "sets_of_ids")
     entries = one.select("node", "n", F.explode("keys").alias("key"))
     buckets = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = staged(entries.join(buckets, "key"), "met")
     weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
-    open_ = staged(met.join(weights, "node").select(
-        "key", "node", "n", F.col("node").alias("own"), "weight"), "open")
+    open_ = met.join(weights, "node").select("key", "node", "n", "weight")
+
+    def still_open(rest: DataFrame, found: DataFrame) -> DataFrame:
+        """Buckets whose sets the links leave in several components."""
+        rest = rest.join(joined(found), "node", "left").withColumn(
+            "own", F.coalesce("component", "node")).drop("component")
+        several = rest.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")) \
+            .where("low < high").select("key")
+        return staged(rest.join(several, "key", "left_semi"), "open")
+
+    open_ = (staged(open_.withColumn("own", F.col("node")), "open") if found is None
+             else still_open(staged(open_, "met_open"), found))
     nodes = staged(weights.select("node").join(one.select("node", "id"), "node"), "met_nodes")
     sigs = staged(signed.join(nodes.select("node"), "node", "left_semi").select("node", "sig", *PARITIES)
                   .dropDuplicates(["node"]), "met_signatures")
@@ -230,7 +263,7 @@ def links(own: DataFrame, signed: DataFrame, percent: int, words_in: int, miss:
     def sizes_fit(x: str, y: str):
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    found, before = None, None
+    before = None
     while rows := open_.count():
         if before is not None and 2 * rows > before:
             bits = open_.join(sigs.select("node", *PARITIES), "node")
@@ -250,21 +283,19 @@ def links(own: DataFrame, signed: DataFrame, percent: int, words_in: int, miss:
             F.col("hub.node").alias("a"), F.col("node").alias("b"))
         more = verified(pairs)
         found = more if found is None else found.unionByName(more)
-        rest = stars.select("key", "node", "n", "weight").join(joined(found), "node", "left").withColumn(
-            "own", F.coalesce("component", "node")).drop("component")
-        several = rest.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")) \
-            .where("low < high").select("key")
-        open_ = staged(rest.join(several, "key", "left_semi"), "open")
+        open_ = still_open(stars.select("key", "node", "n", "weight"), found)
     return found if found is not None else own.sparkSession.createDataFrame([], "a long, b long")
 
 
 def near_copies(docs: DataFrame, percent: int = 80, words_in: int = 5, miss: float = 1e-9,
-                doc_id: str = "doc_id", text: str = "text", link_empty: bool = False) -> DataFrame:
+                doc_id: str = "doc_id", text: str = "text", link_empty: bool = False,
+                pairs: DataFrame | None = None) -> DataFrame:
     """(id, n_shingles, first), one row for each row of ``docs``: the size of its set and
     the smallest id that can be reached over links. No id is ``NULL_ID``.
 
     Links join documents whose shingle sets have a Jaccard similarity of ``percent``
-    hundredths or more.
+    hundredths or more. ``pairs`` (a, b) of ids that another method found are compared
+    first, on whole sets; the bands find what these leave.
     """
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"),
                       F.col(text).alias("text"))
@@ -274,7 +305,8 @@ def near_copies(docs: DataFrame, percent: int = 80, words_in: int = 5, miss: flo
         .where("least < most").select("id", "least")       # an id of several texts
     same_id = held.join(same, "id").where("node <> least").select(
         F.col("node").alias("a"), F.col("least").alias("b"))
-    found = joined(staged(links(own, signed, percent, words_in, miss).unionByName(same_id), "all_links"))
+    known = None if pairs is None else links_of(pairs, own, held, percent, words_in)
+    found = joined(staged(links(own, signed, percent, words_in, miss, known).unionByName(same_id), "all_links"))
     placed = held.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")).join(
         found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("own"))
     least = placed.groupBy("own").agg(F.min("id").alias("first"))
@@ -298,9 +330,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words_in: int = 5, miss:
 
 
 def keep_first(docs: DataFrame, percent: int = 80, words_in: int = 5, miss: float = 1e-9,
-               doc_id: str = "doc_id", text: str = "text", link_empty: bool = False) -> DataFrame:
+               doc_id: str = "doc_id", text: str = "text", link_empty: bool = False,
+               pairs: DataFrame | None = None) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of its class; rows with one id go together."""
-    lost = staged(near_copies(docs, percent, words_in, miss, doc_id, text, link_empty).where("id <> first")
+    lost = staged(near_copies(docs, percent, words_in, miss, doc_id, text, link_empty, pairs).where("id <> first")
                   .select(F.col("id").alias("_lost")).distinct(), "lost")
     return docs.join(lost, F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)) == lost["_lost"],
                      "left_anti")

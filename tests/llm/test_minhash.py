@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanloom.llm import minhash
+from spanloom.llm import minhash, simhash
 from spanloom.llm.common import staged
 
 
@@ -152,6 +152,34 @@ def test_pipeline_stage_equals_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, first in slow_classes(rows, link_empty=True).items() if i == first}
 
 
+def test_pipeline_stage_links_by_fingerprints_first(spark, monkeypatch):
+    words = [f"w{i}" for i in range(600)]
+    far = [*words[:150], *map(str, range(450))]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, " ".join(["start", *words[1:]])),
+            (4, " ".join(far)), (5, None), (6, " ")]
+    prints = [simhash.fingerprint(t, 5) for _, t in rows]
+    assert all((prints[0] ^ p).bit_count() <= 4 < (prints[0] ^ prints[3]).bit_count() for p in prints[1:3])
+    compared = []
+
+    def no_bands(own, signed, percent, words_in, miss, found=None):
+        compared.append({tuple(r) for r in found.collect()})
+        return found
+    monkeypatch.setattr(minhash, "links", no_bands)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.first_of_near_copies(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == {1, 4, 5}
+    assert len(compared[0]) == 2
+
+
+def test_fingerprint_pairs_are_verified_and_lose_no_link(spark):
+    rows = sample(random.Random(11))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = docs.select(F.col("doc_id").alias("a"))
+    all_of_one = ids.crossJoin(ids.agg(F.min("a").alias("b"))).where("a <> b")    # mostly not similar
+    given = {r.id: r.first for r in minhash.near_copies(docs, pairs=all_of_one).collect()}
+    assert given == {r.id: r.first for r in minhash.near_copies(docs).collect()} == slow_classes(rows)
+
+
 def test_parity_bits_bound_the_difference():
     rng = np.random.default_rng(2)
     for n, share in ((5, 3), (150, 140), (150, 100), (5000, 4000)):
