@@ -3,10 +3,12 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer as Library
 
 from spanloom.llm import bpe, lines, posindex
+from spanloom.session import configure
 
 LIBRARY = Library.from_file(bpe.DEFAULT_VOCABULARY)
 OWN = bpe.Tokenizer(bpe.DEFAULT_VOCABULARY)
@@ -168,3 +170,13 @@ def test_proximity(spark):
         spans = posindex.search(index, b, 10, slop)
         return {r.doc_id for r in posindex.documents(index).join(spans, ["segment", "place"]).collect()}
     assert docs(0) == {1} and docs(1) == {1, 2} and docs(3) == {1, 2, 3} and docs(4) == {1, 2, 3, 4}
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+    configure(spark)
+    texts = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('some text ', 1000) AS text")
+    found = texts.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in found) == 3000 and max(r.size for r in found) < 5 << 20
