@@ -125,3 +125,35 @@ def test_support_tiers(spark):
     assert ids(9, "at_least") == {"u1", "u2", "u3"}
     hist = s.groupBy("stars").agg(F.count("*").alias("n"))
     assert {tuple(r) for r in hist.collect()} == {(3, 2), (1, 1)}
+
+
+def test_groups_of_few_texts_are_not_indexed(spark, monkeypatch):
+    from spanloom.operators import containment
+    indexed = []
+
+    def counted(needles, hay, keys, *more):
+        indexed.append((needles.count(), {r.g for r in hay.select("g").distinct().collect()}))
+        return index(needles, hay, keys, *more)
+    index = containment._indexed_pairs
+    monkeypatch.setattr(containment, "_indexed_pairs", counted)
+    texts = ["a b", "b", "a b c d e f g", "the b c d", "xa by"]
+    needles = spark.createDataFrame([(g, i, t) for g, n in (("few", 2), ("many", 5)) for i, t in enumerate(texts[:n])],
+                                    "g string, needle_id int, needle_text string")
+    hay = spark.createDataFrame([(g, i, t) for g in ("few", "many", "none") for i, t in enumerate(texts)],
+                                "g string, hay_id int, hay_text string")
+    wanted = {(g, a, b) for g, n in (("few", 2), ("many", 5)) for a, x in enumerate(texts[:n])
+              for b, y in enumerate(texts) if x in y}
+
+    def found(**options):
+        return {(r.g, r.needle_id, r.hay_id) for r in containment.contained_pairs(needles, hay, ["g"], **options).collect()}
+    assert found() == wanted and not indexed
+    assert found(few=2) == wanted and indexed == [(5, {"many"})]
+
+
+def test_comparison_form_of_plain_and_other_texts(spark):
+    from spanloom.functions.text import normalize
+    cases = {"The End": "the end", "": "", None: "", " a": "a", "a ": "a", "a  b": "a b", "a\tb": "a b", "a`b": "a'b",
+             "É É": "é é", "ﬁne – “X”": 'fine - "x"', "­½": "­1⁄2", "Ünï çödé": "ünï çödé", "é": "é"}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    got = {r.i: r.n for r in rows.select("i", normalize(rows.t).alias("n")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
