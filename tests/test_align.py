@@ -172,3 +172,91 @@ def test_build_broadcasts_no_table(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         corpus.build(catalog.document_rows(blocks), blocks, catalog.derived_spans(blocks))
     assert seen == ["-1"] and spark.conf.get(corpus.BROADCAST) == before
+
+
+def test_comparison_form_without_python_is_null_where_nfkc_may_change(spark):
+    from spanloom.functions.text import normalize, normalize_safe
+    texts = ["The End", "", None, " a", "a  b", "a\tb", "a`b", "É É", "– “X”", "ﬁne", "½", "Ünï çödé", "é"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    safe = rows.select(normalize_safe(rows.t).alias("safe"))
+    plan = safe._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+    found = rows.select("t", normalize_safe(rows.t).alias("safe"), normalize(rows.t).alias("n")).collect()
+    assert {r.t for r in found if r.safe is None} == {"ﬁne", "½", "é"}
+    assert all(r.safe == r.n for r in found if r.safe is not None)
+
+
+def test_norms_are_written_again_only_for_texts_that_need_it(spark):
+    from spanloom.functions.text import normalize
+    from spanloom.operators.align import with_norms
+    from spanloom.session import write_and_read
+
+    def norms(*texts):
+        names, rows = [], spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+
+        def keep(df, name):
+            names.append(name)
+            return write_and_read(df, name)
+        found = with_norms(rows, "t", keep, "x").orderBy("i").collect()
+        assert [r.norm for r in found] == [r.n for r in rows.orderBy("i").select(normalize(rows.t).alias("n")).collect()]
+        return names
+    assert norms("A b", "c", None) == ["x"]
+    assert norms("A b", "ﬁne", "½ É", None) == ["x", "x_nfkc"]
+
+
+@pytest.mark.parametrize("limit", [-1, 1 << 26])
+def test_overlap_by_hashes_and_by_sorts(spark, monkeypatch, limit):
+    """Joins hash the texts of a task up to a measured limit; beyond it they sort, with the same result."""
+    from spanloom.operators import align as A
+    monkeypatch.setattr(A, "HASH_CHARS", limit)
+    texts = {f"d{d}": (sample(25, 9, d), sample(25, 7, d + 70)) for d in range(4)}
+    units = [(d, i + 1, "sentence", t) for d, (u, _) in texts.items() for i, t in enumerate(u)]
+    spans = [(d, i, t) for d, (_, s) in texts.items() for i, t in enumerate(s)]
+    want = set()
+    for d, (u, s) in texts.items():
+        for i, t in enumerate(s):
+            st = set(t.split())
+            n, p = max((len(st & set(x.split())), -j - 1) for j, x in enumerate(u))
+            if len(st) >= 3 and n * 20 >= len(st) * 11:
+                want.add((d, i, -p))
+    kept = []
+
+    def keep(df, name):
+        kept.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return A.write_and_read(df, name)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = A.best_overlap(spark.createDataFrame(spans, "doc_id string, span_rep int, norm string"),
+                               spark.createDataFrame(units, "doc_id string, unit_rep int, first_kind string, norm string"), keep)
+        assert {(r.doc_id, r.span_rep, r.unit_rep) for r in found.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plans = dict(kept)
+    assert ("SortMergeJoin" in plans["unit_tokens"]) == (limit < 0)
+    assert plans["unit_tokens"].count("array_distinct") <= 2      # tokens of a unit once, not in filters too
+
+
+def test_corpus_of_documents_moves_them_once(spark, monkeypatch):
+    """Blocks are dealt out once; units and spans are made of them without a shuffle, or Python."""
+    from spanloom.plans import catalog, corpus
+    moved, plans, real, sc = {}, {}, corpus.write_buckets, spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    def written(df, path, *rest):
+        name, before = path.rsplit("/", 1)[1], shuffled()
+        if name == "unit_texts":
+            raise InterruptedError
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        found = real(df, path, *rest)
+        moved[name] = shuffled() - before
+        return found
+    monkeypatch.setattr(corpus, "write_buckets", written)
+    monkeypatch.setattr(catalog, "_BUILT", {})
+    with pytest.raises(InterruptedError):
+        catalog.built(spark, "/root/testdata/sf0.001")
+    assert moved == {"units": 0, "span_norms": 0}
+    assert not any("ArrowEvalPython" in p for p in plans.values())
