@@ -271,3 +271,13 @@ def test_corpus_of_documents_moves_them_once(spark, monkeypatch):
         catalog.built(spark, "/root/testdata/sf0.001")
     assert moved == {"units": 0, "span_norms": 0}
     assert not any("ArrowEvalPython" in p for p in plans.values())
+
+
+def test_unit_texts_are_grouped_by_hashes(spark):
+    from spanloom.operators.align import unit_texts
+    rows = [("d", 1, "fragment", "a"), ("d", 2, "sentence", "a"), ("d", 3, "sentence", "b"), ("d", 4, "fragment", "b"),
+            ("e", 1, "fragment", "b"), ("e", 2, "fragment", ""), ("e", 3, "sentence", "a")]
+    found = unit_texts(spark.createDataFrame(rows, "doc_id string, position int, unit_kind string, norm string"))
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.norm, r.unit_rep, r.first_kind, r.n_units) for r in found.collect()} == {
+        ("d", "a", 1, "fragment", 2), ("d", "b", 3, "sentence", 2), ("e", "b", 1, "fragment", 1), ("e", "a", 3, "sentence", 1)}
