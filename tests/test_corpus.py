@@ -289,3 +289,21 @@ def test_integrity_reads_each_table_once(corpus, spark):
     assert counts["reference alignment.unit_id"] == corpus.alignment.count()
     assert counts["not null documents"] == 2 and counts["not null annotations"] == 8
     assert counts["reference alignment.annotation_id"] == 0 and counts["domain text_units.fragment_type"] == 0
+
+
+def test_large_texts_get_more_buckets(spark, tmp_path, monkeypatch):
+    from spanloom.plans import catalog
+    rows = [(i, f"Line {i} is long enough to be a sentence of it.\nAnd the second one of {i} ends here.", "en", "src", 80)
+            for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    plain = catalog.built(spark, str(tmp_path))
+    monkeypatch.setattr(catalog, "BUCKET_CHARS", 100)
+    monkeypatch.setattr(catalog, "_BUILT", {})
+    wide = catalog.built(spark, str(tmp_path))
+    buckets = spark.read.parquet(f"{os.path.dirname(wide.folder)}/versions").first()["buckets"]
+    assert buckets > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for f in fields(plain):
+        a, b = getattr(plain, f.name), getattr(wide, f.name)
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(*a.columns).collect()))
+    assert spark.conf.get(C.BY_SPLITS) == "true"
