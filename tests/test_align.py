@@ -281,3 +281,19 @@ def test_unit_texts_are_grouped_by_hashes(spark):
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.doc_id, r.norm, r.unit_rep, r.first_kind, r.n_units) for r in found.collect()} == {
         ("d", "a", 1, "fragment", 2), ("d", "b", 3, "sentence", 2), ("e", "b", 1, "fragment", 1), ("e", "a", 3, "sentence", 1)}
+
+
+def test_build_learns_whether_texts_fit(spark, monkeypatch):
+    from spanloom.operators import align as A
+
+    def stop(_):
+        raise InterruptedError
+    monkeypatch.setattr(A, "unit_texts", stop)
+    u = spark.createDataFrame([("d", 1, "d_U1", "sentence", "a text")], "doc_id string, position int, unit_id string, unit_kind string, norm string")
+    s = spark.createDataFrame([("a", "d", 0, "text", "Others", "ra1")], "annotation_id string, doc_id string, src_row int, text string, label string, ranumb string")
+    found = []
+    for fit in (True, False):
+        monkeypatch.setattr(A, "hashes", lambda *_, fit=fit, **__: fit)
+        with pytest.raises(InterruptedError):
+            A.align(u, s, keep=lambda df, _: df, fits=lambda fit=fit: found.append(fit))
+    assert found == [True]
