@@ -26,7 +26,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 from math import comb
-from typing import Iterable, Iterator
+from typing import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -208,22 +208,32 @@ def joined(pairs: DataFrame) -> DataFrame:
         stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def links_of(found: DataFrame, own: DataFrame, held: DataFrame, percent: int, words_in: int) -> DataFrame:
+def links_of(found: DataFrame, own: DataFrame, held: DataFrame, percent: int, words_in: int,
+             known: DataFrame | None = None) -> DataFrame:
     """(a, b) node pairs of the id pairs ``found`` (a, b) whose whole sets are similar enough.
 
-    Of an id of several texts, one set is compared: its sets are linked anyway.
+    Of an id of several texts, one set is compared: its sets are linked anyway. Written links
+    ``known`` are among the result: pairs that they join are not compared.
     """
     one = held.where("n > 0").groupBy("id").agg(F.min(F.struct("node", "n")).alias("_s"))
     x, y = (one.select(F.col("id").alias(c), F.col("_s.node").alias(f"node_{c}"),
                        F.col("_s.n").alias(f"n_{c}")) for c in "ab")
-    pairs = staged(found.join(x, "a").join(y, "b").where("node_a <> node_b").where(
-        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select(
+    pairs = found.join(x, "a").join(y, "b").where("node_a <> node_b").where(
+        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    if known is not None:
+        placed = joined(known)
+        for c in "ab":
+            pairs = pairs.join(placed.select(F.col("node").alias(f"node_{c}"), F.col("component").alias(f"own_{c}")),
+                               f"node_{c}", "left")
+        pairs = pairs.where(F.coalesce("own_a", "node_a") != F.coalesce("own_b", "node_b"))
+    pairs = staged(pairs.select(
         F.col("a").alias("id_a"), F.col("b").alias("id_b"),
         F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")), "pairs_of_ids")
     nodes = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().join(held, "id").where(
         "n > 0").groupBy("node").agg(F.min("id").alias("id"))
     sets = staged(whole_sets(own, staged(nodes, "nodes_of_ids"), words_in), "sets_of_pairs")
-    return staged(_similar(pairs.select("a", "b").distinct(), sets, percent), "links_of_pairs")
+    more = staged(_similar(pairs.select("a", "b").distinct(), sets, percent), "links_of_pairs")
+    return more if known is None else known.unionByName(more)
 
 
 def links(own: DataFrame, signed: DataFrame, percent: int, words_in: int, miss: float,
@@ -289,13 +299,13 @@ def links(own: DataFrame, signed: DataFrame, percent: int, words_in: int, miss:
 
 def near_copies(docs: DataFrame, percent: int = 80, words_in: int = 5, miss: float = 1e-9,
                 doc_id: str = "doc_id", text: str = "text", link_empty: bool = False,
-                pairs: DataFrame | None = None) -> DataFrame:
+                pairs: DataFrame | Sequence[DataFrame] = ()) -> DataFrame:
     """(id, n_shingles, first), one row for each row of ``docs``: the size of its set and
     the smallest id that can be reached over links. No id is ``NULL_ID``.
 
     Links join documents whose shingle sets have a Jaccard similarity of ``percent``
     hundredths or more. ``pairs`` (a, b) of ids that another method found are compared
-    first, on whole sets; the bands find what these leave.
+    first, on whole sets, one table of them after the other; the bands find what these leave.
     """
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"),
                       F.col(text).alias("text"))
@@ -305,7 +315,9 @@ def near_copies(docs: DataFrame, percent: int = 80, words_in: int = 5, miss: flo
         .where("least < most").select("id", "least")       # an id of several texts
     same_id = held.join(same, "id").where("node <> least").select(
         F.col("node").alias("a"), F.col("least").alias("b"))
-    known = None if pairs is None else links_of(pairs, own, held, percent, words_in)
+    known = None
+    for found in [pairs] if isinstance(pairs, DataFrame) else pairs:
+        known = links_of(found, own, held, percent, words_in, known)
     found = joined(staged(links(own, signed, percent, words_in, miss, known).unionByName(same_id), "all_links"))
     placed = held.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")).join(
         found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("own"))
@@ -331,7 +343,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words_in: int = 5, miss:
 
 def keep_first(docs: DataFrame, percent: int = 80, words_in: int = 5, miss: float = 1e-9,
                doc_id: str = "doc_id", text: str = "text", link_empty: bool = False,
-               pairs: DataFrame | None = None) -> DataFrame:
+               pairs: DataFrame | Sequence[DataFrame] = ()) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of its class; rows with one id go together."""
     lost = staged(near_copies(docs, percent, words_in, miss, doc_id, text, link_empty, pairs).where("id <> first")
                   .select(F.col("id").alias("_lost")).distinct(), "lost")

@@ -149,28 +149,59 @@ def _links_by_balls(nodes: DataFrame, distance: int) -> DataFrame:
             F.col("node").alias("a"), F.col("m").alias("b")))
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, words_in: int = 4, seed: int = 42,
-                    segments: int | None = None, doc_id: str = "doc_id",
-                    text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id), one row for each row of ``docs``.
-
-    ``component_id`` is the smallest id that can be reached over links. By default
-    three segments are used up to 2^26 different fingerprints and two beyond, so that
-    buckets stay small; both give the same classes.
+def linked(docs: DataFrame, distance: int = 4, words_in: int = 4, seed: int = 42,
+           segments: int | None = None, doc_id: str = "doc_id",
+           text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints (doc_id, fp) of all rows, the node of each fingerprint, and links (a, b) of nodes.
+
+    A node is the smallest id of its fingerprint. By default three segments are used up to
+    2^26 different fingerprints and two beyond, so that buckets stay small; both give the
+    same classes.
     """
     prints = staged(fingerprints(docs, words_in, seed, doc_id, text), "fingerprints")
     nodes = staged(prints.groupBy("fp").agg(
         F.min(F.coalesce(F.col(doc_id), F.lit(NULL_ID))).alias("node")), "nodes")
     if segments is None:
         segments = 3 if nodes.count() <= 1 << 26 else 2
-    found = components(links(nodes, distance, segments))
-    classes = staged(nodes.join(found, "node", "left").select(
+    return prints, nodes, links(nodes, distance, segments)
+
+
+def _classes(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, component): the smallest node that each fingerprint reaches over the links ``found``."""
+    return staged(nodes.join(components(found), "node", "left").select(
         "fp", F.coalesce("component", "node").alias("component")), "classes")
-    return prints.join(classes, "fp").select(
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, words_in: int = 4, seed: int = 42,
+                    segments: int | None = None, doc_id: str = "doc_id",
+                    text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id), one row for each row of ``docs``.
+
+    ``component_id`` is the smallest id that can be reached over links.
+    """
+    prints, nodes, found = linked(docs, distance, words_in, seed, segments, doc_id, text)
+    return prints.join(_classes(nodes, found), "fp").select(
         doc_id, "fp", F.when(F.col("component") != NULL_ID, F.col("component"))
         .alias("component_id"))
 
 
+def near_pairs(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of ids for an operator that compares them, in two tables.
+
+    First each document with the first one of its class, then all that is linked directly:
+    fingerprints that are near each other, and documents of one fingerprint with the first
+    of them. No id is ``NULL_ID``.
+    """
+    prints, nodes, found = linked(docs, **options)
+    found = staged(found, "links_of_fingerprints")
+    own = F.coalesce(F.col(options.get("doc_id", "doc_id")).cast("long"), F.lit(NULL_ID))
+    held = prints.select(own.alias("a"), "fp")
+    firsts = held.join(_classes(nodes, found), "fp").select("a", F.col("component").cast("long").alias("b"))
+    direct = held.join(nodes, "fp").select("a", F.col("node").cast("long").alias("b")).unionByName(
+        found.select(F.col("a").cast("long"), F.col("b").cast("long")))
+    return tuple(x.where("a <> b").distinct() for x in (firsts, direct))
+
+
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of its class; rows with one id are one document."""
     found = near_duplicates(docs, **options)

@@ -171,6 +171,26 @@ def test_pipeline_stage_links_by_fingerprints_first(spark, monkeypatch):
     assert len(compared[0]) == 2
 
 
+def test_pipeline_stage_compares_every_link_of_fingerprints(spark, monkeypatch):
+    """Members that only resemble other members than the first of their class, and rows without an id."""
+    rnd = random.Random(409)
+    chain = [[f"w{rnd.randrange(10 ** 6)}" for _ in range(60)]]
+    for k in range(3):
+        chain.append([*chain[-1][:10 + k * 15], f"x409-{k}", *chain[-1][11 + k * 15:]])
+    texts = [" ".join(x) for x in chain]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    assert all((a ^ b).bit_count() <= 4 for a, b in zip(prints, prints[1:]))
+    sets = [set(minhash.shingles(t, 5).tolist()) for t in texts]
+    assert [100 * len(sets[0] & x) >= 80 * len(sets[0] | x) for x in sets] == [True, True, False, False]
+
+    def no_bands(own, signed, percent, words_in, miss, found=None):
+        return found
+    monkeypatch.setattr(minhash, "links", no_bands)
+    for ids in ([1, 2, 3, 4], [1, 2, 3, None]):
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        assert [r.doc_id for r in corpus_pipeline.first_of_near_copies(spark, docs, "").collect()] == [1]
+
+
 def test_fingerprint_pairs_are_verified_and_lose_no_link(spark):
     rows = sample(random.Random(11))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
