@@ -193,7 +193,7 @@ def near_pairs(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     of them. No id is ``NULL_ID``.
     """
     prints, nodes, found = linked(docs, **options)
-    found = staged(found, "links_of_fingerprints")
+    found = staged(found.distinct(), "links_of_fingerprints")
     own = F.coalesce(F.col(options.get("doc_id", "doc_id")).cast("long"), F.lit(NULL_ID))
     held = prints.select(own.alias("a"), "fp")
     firsts = held.join(_classes(nodes, found), "fp").select("a", F.col("component").cast("long").alias("b"))
