@@ -376,3 +376,13 @@ def test_overlaps_need_no_corpus(spark, lines, given):
     best = {tuple(r) for r in catalog.QUERIES["overlap_best"](spark, lines).collect()}
     assert not given and not catalog.is_built(spark, lines)
     assert {("en_1", 0, 1), ("en_5", 0, 1), ("en_6", 0, 1), ("en_11", 0, 1), ("en_16", 0, 1)} < best
+
+
+def test_indexed_searches_align_the_documents_they_find(spark, lines, given):
+    from spanloom.plans import catalog
+    names = ("search_units_indexed", "units_filter_q_indexed")
+    found = [sorted(map(tuple, catalog.QUERIES[n](spark, lines).collect())) for n in names]
+    holding = sorted(f"en_{i}" for i in range(0, 30, 3))
+    assert given == [[holding[:6]] * 3, [holding] * 3]
+    assert [r[0] for r in found[0]] == [f"{d}_U1" for d in holding[:6]] and len(found[1]) == 10
+    assert {r[1] for r in found[1]} & {"single_label", "multi_label"} and not catalog.is_built(spark, lines)

@@ -65,6 +65,29 @@ def test_postings_are_made_once(units, monkeypatch, tmp_path):
     assert not any(x in plans[0] for x in ("Generate", "MapInArrow", "ObjectHashAggregate"))
 
 
+def test_postings_are_lists_by_block(units, tmp_path, monkeypatch):
+    from spanloom.operators import textindex
+    index = TextIndex.build(units.coalesce(1), str(tmp_path / "one"))
+    assert index.blocks.count() == 1 and index.lists.count() == index.grams.count() > 50
+    twice = TextIndex.build(units.unionByName(units).coalesce(2), str(tmp_path / "twice"))
+    assert twice.blocks.count() == 2 and twice.rarest(["zebra the"]) == index.rarest(["zebra the"])
+    assert sorted((r.doc_id, sorted(r.places)) for r in twice.places(["dat"]).collect()) == sorted(
+        (r.doc_id, sorted(r.places)) for r in index.places(["dat"]).collect())
+
+
+def test_lists_hold_the_texts_of_each_trigram():
+    from spanloom.operators.textindex import _grams_of
+    many = [chr(c) * 2 + "É" for c in range(0x3400, 0xD000)]       # so many letters and texts that trigrams are ranked
+    for texts in ([], ["", "ab"], ["abcABC", "", "xabé", "😀é😀x"], many + [""] * 400_000):
+        wanted = {}
+        for i, t in enumerate(texts):
+            low = "".join(c.lower() if c.isascii() else c for c in t)
+            for gram in {low[j:j + 3] for j in range(len(low) - 2)}:
+                wanted.setdefault(gram, []).append(i)
+        grams, ends, numbers = _grams_of(texts)
+        assert {g: numbers[a:b].tolist() for g, a, b in zip(grams, ends, ends[1:])} == wanted
+
+
 def test_changes_of_versions(spark, units, tmp_path):
     old = snapshots.Tree.build(units, str(tmp_path / "old"))
     same = snapshots.Tree.build(units.repartition(7), str(tmp_path / "same"))
